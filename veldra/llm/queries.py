@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.llm import chat_format, license_scan, pii, url_filter
+from veldra.llm import ann, chat_format, decontaminate, license_scan, near_dup, pii, quality, sentencepiece_sampling, toxicity, url_filter
 from veldra.llm.common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 TRICKY = "\\### Assistant: </turn> ok"
 
 
+def crc_class(n: int):
+    """crc32 of the id as text, modulo n: what the folds are made by."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentation of every document, read back: ids, their number, and whether decoding gives the text again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = sentencepiece_sampling.decode(sentencepiece_sampling.encode(docs))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], turns.schema)
@@ -51,6 +63,11 @@ FROM e GROUP BY conv_id
 """
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its near-duplicate class, named by the class's smallest doc_id."""
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
 def span_digest(spans, only_base: bool):
     kept = F.filter(spans, lambda s: s["base"]) if only_base else spans
     return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -68,6 +85,18 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    field = toxicity.train(docs, labels, crc_class(4) != 2)
+    made = docs.select("doc_id", (crc_class(4) == 2).alias("held_out"), toxicity.score(field).alias("t"))
+    offsets = F.array_join(F.transform("t.spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return made.select("doc_id", "held_out", F.col("t.score").alias("score"), F.when(F.col("t.score") >= 0.3, 1).otherwise(0).alias("predicted"), offsets.alias("spans"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents"))
     return found.select(
@@ -78,6 +107,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    weights = quality.train(docs, labels, crc_class(5) != 0)
+    made = docs.select("doc_id", (crc_class(5) == 0).alias("held_out"), quality.score(docs, weights).alias("score"))
+    return made.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -101,10 +137,34 @@ WITH r(rule_host, rule_path, rule_verdict) AS (
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
 """
 
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / (q.n * v.n) AS score FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_chat_format": op2_chat_format,
+    "op3_near_dup": op3_near_dup,
     "op4_pii": op4_pii,
+    "op5_toxicity": op5_toxicity,
+    "op6_decontaminate": op6_decontaminate,
     "op7_license_scan": op7_license_scan,
+    "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
+    "op10_ann": op10_ann,
 }
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_ann": OP10_SQL}
