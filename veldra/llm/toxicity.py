@@ -7,7 +7,7 @@ plain ones (different words before it, so that copies of one text count once). T
 prefixes, suffixes and shapes; it is fitted by AdaGrad on the likelihood, by forward-backward over windows of tokens.
 
 For scoring, forward-backward runs over all tokens of a whole text, in windows of ``WINDOW`` tokens. A document's score is
-a logistic function of its expected number of toxic tokens; tokens with a marginal of at least 0.5 are returned as spans.
+a logistic function of the log of its number of surely toxic tokens; tokens with a marginal of at least 0.5 are returned as spans.
 
 Defined cases: null text is empty; an empty text has no toxic tokens and gets the score of such texts; rows with a null
 label or id aren't learned from; with no labelled rows of both kinds every score is 0; of several labels for an id the
@@ -16,6 +16,7 @@ largest counts; repeated rows are scored each; an empty table gives no rows; col
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -61,7 +62,7 @@ def marginals(odds: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return both / (1 + both)
 
 
-def token_labels(texts: list[str], toxic: np.ndarray, least: int = 4, rate: float = 0.02) -> tuple[list[list[str]], list[np.ndarray]]:
+def token_labels(texts: list[str], toxic: np.ndarray, least: float = 0.005, rate: float = 0.02) -> tuple[list[list[str]], list[np.ndarray]]:
     """Lower-case words of each text and their labels."""
     words = [WORD.findall(t.lower()) for t in texts]
     before: dict[str, set[int]] = defaultdict(set)
@@ -74,11 +75,12 @@ def token_labels(texts: list[str], toxic: np.ndarray, least: int = 4, rate: floa
             if bad:
                 ahead = zlib.crc32(ws[i - 1].encode("utf-8", "replace")) if i else 0
                 for p in parts(w):
-                    if len(before[p]) < 50:
+                    if len(before[p]) < 200:
                         before[p].add(ahead)
         (seen if bad else plain).update(own)
     bad_docs, good_docs = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    telling = {p for p, s in before.items() if len(s) >= least and plain[p] / good_docs <= rate * seen[p] / bad_docs}
+    enough = max(4, least * bad_docs)
+    telling = {p for p, s in before.items() if len(s) >= enough and plain[p] / good_docs <= rate * seen[p] / bad_docs}
     return words, [np.fromiter((bad and any(p in telling for p in parts(w)) for w in ws), bool, len(ws)) for ws, bad in zip(words, toxic, strict=True)]
 
 
@@ -129,14 +131,16 @@ class Field:
 
 
 class Odds(dict):
+    """word -> exp(its score for T); forgets everything when it grows large."""
+
     def __init__(self, weights: np.ndarray):
         super().__init__()
-        self.weights = weights
+        self.weights = weights.tolist()
 
     def __missing__(self, word: str) -> float:
         if len(self) > 300_000:
             self.clear()
-        self[word] = x = float(np.exp(np.clip(self.weights[feature_ids(word)].sum(), -20, 20)))
+        self[word] = x = math.exp(max(-20.0, min(20.0, sum(map(self.weights.__getitem__, feature_ids(word))))))
         return x
 
 
@@ -157,8 +161,9 @@ def token_marginals(texts: list[str], field: Field, odds: Odds) -> list[np.ndarr
     return [p[e - len(f) : e - len(f) + n] for e, f, n in zip(ends, found, sizes, strict=True)]
 
 
-def expected(p: np.ndarray) -> float:
-    return float(np.log(1e-3 + p.sum()))
+def evidence(p: np.ndarray) -> float:
+    """Log of the number of surely toxic tokens; the power keeps many faint doubts of a long text from adding up."""
+    return float(np.log(1e-2 + (p**8).sum()))
 
 
 def fit(texts: list[str], toxic: np.ndarray, share: float) -> Field:
@@ -168,7 +173,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Field:
     words, labels = token_labels(texts, toxic)
     field = Field(*fit_field(words, labels))
     odds = Odds(field.weights)
-    x = np.array([expected(p) for i in range(0, len(texts), 256) for p in token_marginals(texts[i : i + 256], field, odds)])
+    x = np.array([evidence(p) for i in range(0, len(texts), 256) for p in token_marginals(texts[i : i + 256], field, odds)])
     y = toxic.astype(float)
     weight = np.where(toxic, share / y.mean(), (1 - share) / (1 - y.mean()))
     a, b = 1.0, 0.0
@@ -183,7 +188,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Field:
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column, max_rows: int = 8000) -> Field:
+def train(docs: DataFrame, labels: DataFrame, keep: Column, max_rows: int = 5000) -> Field:
     """Fits on about max_rows labelled documents, in one task; the field (1 MB) comes back to the driver."""
     known = labels.where(keep & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
@@ -217,7 +222,7 @@ def score(field: Field, text_col: str = "text", spans: bool = True) -> Column:
             for at in range(0, len(texts), 256):
                 some = texts.iloc[at : at + 256].tolist()
                 for i, p in enumerate(token_marginals(some, field, odds)):
-                    z = field.slope * expected(p) + field.bias
+                    z = field.slope * evidence(p) + field.bias
                     scores[at + i] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                     if spans and len(p) and p.max() >= 0.5:
                         found[at + i] = [{"start": m.start(), "end": m.end()} for m, q in zip(WORD.finditer(some[i]), p, strict=True) if q >= 0.5]
