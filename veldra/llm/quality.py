@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained with follow-the-regularised-leader updates.
 
 Tokens are words and runs of punctuation. Features are hashed into ``1 << BITS`` places: word unigrams and bigrams, the
-same n-grams over token shapes (capitals, digits, punctuation as written), and a mark where a token repeats the one before.
+same n-grams over token shapes (capitals, digits, punctuation as written), and marks where a token repeats the one or the second before.
 A text's feature values are counts over its number of tokens; a score is the sparse dot product with the weights.
 
 Training takes at most about ``max_rows`` labelled rows (a documented bound; all of them if there are fewer), chosen by hash
@@ -50,15 +50,15 @@ class Codes(dict):
 
 
 def features(text: str, codes: Codes) -> np.ndarray:
-    """Indices of all features of a text, with repeats; SIZE is the place of the repeat mark."""
+    """Indices of all features of a text, with repeats; SIZE and SIZE + 1 mark tokens equal to the one and the second before."""
     tokens = TOKEN.findall(text)
     packed = np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens))
     word, form = packed >> 32, packed & 0xFFFFFFFF
     if len(word) < 2:
         return np.concatenate([word, form])
     pairs = lambda x, salt: (x[:-1] * 7919 + x[1:] * 104729 + salt) % SIZE
-    repeats = np.full(int((word[1:] == word[:-1]).sum()), SIZE)
-    return np.concatenate([word, form, pairs(word, 1), pairs(form, 2), repeats])
+    near, far = int((word[1:] == word[:-1]).sum()), int((word[2:] == word[:-2]).sum())
+    return np.concatenate([word, form, pairs(word, 1), pairs(form, 2), np.full(near, SIZE), np.full(far, SIZE + 1)])
 
 
 def vector(text: str, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
@@ -68,8 +68,8 @@ def vector(text: str, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], passes: int = 2, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.002, l2: float = 0.001) -> np.ndarray:
-    """Weights (the last but one place is the repeat mark's, the last the bias's)."""
-    z, n = np.zeros(SIZE + 2), np.zeros(SIZE + 2)
+    """Weights (the last three places are the repeat marks' and the bias's)."""
+    z, n = np.zeros(SIZE + 3), np.zeros(SIZE + 3)
 
     def weights(i: np.ndarray) -> np.ndarray:
         far = np.abs(z[i]) > l1
@@ -77,14 +77,14 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], passes: int = 2,
 
     for _ in range(passes):
         for index, value, label in rows:
-            i, x = np.append(index, SIZE + 1), np.append(value, 1.0)
+            i, x = np.append(index, SIZE + 2), np.append(value, 1.0)
             w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
             g = (p - label) * x
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
             z[i] += g - sigma * w
             n[i] += g * g
-    return weights(np.arange(SIZE + 2))
+    return weights(np.arange(SIZE + 3))
 
 
 def labelled(labels: DataFrame, label_col: str, keep: Column, max_rows: int) -> DataFrame:
@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "qu
 
     made = rows.withColumn("shard", F.pmod("order", F.lit(SHARDS))).groupBy("shard").applyInPandas(shard, "place long, weight double, n long")
     mean = made.groupBy("place").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n")).toPandas()
-    weights = np.zeros(SIZE + 2)
+    weights = np.zeros(SIZE + 3)
     if len(mean):
         weights[mean["place"].to_numpy()] = mean["weight"].to_numpy() / mean["n"].max()
     return weights.astype(np.float32)
