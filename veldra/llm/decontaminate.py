@@ -4,7 +4,8 @@ The test items are the indexed documents; the training documents are cut into pa
 enough that any item lies whole in one of them. A passage's words are the query; an item's BM25 score is divided by the
 score that the item's own words would get, so one threshold serves all items, and all items at or above it are retrieved:
 lists are walked in item order, upper bounds of lists choose the pivot, and the bounds of the pivot's blocks allow skips.
-Passages whose bounds over all items stay below the threshold need no walk. Retrieved pairs are then verified: the shares
+A passage is
+walked only if some item could reach the threshold by the exact sum over its short lists and a bound for its long ones. Retrieved pairs are then verified: the shares
 of the question's and of the answer's word runs of five that occur in the passage must both reach ``overlap``. The answer
 is the item's last sentence, the question what precedes it (an item of one sentence is cut in the middle).
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-RUN, BLOCK, SHARD = 5, 32, 20_000
+RUN, BLOCK, SHARD, SHORT = 5, 32, 20_000, 20
 K1, B = 1.2, 0.75
 
 
@@ -73,6 +74,33 @@ class Index:
         self.bound = np.array([max(s) for s in self.scores] or [0.0])
         self.block_max = [[max(s[i : i + BLOCK]) for i in range(0, len(s), BLOCK)] for s in self.scores]
         self.longest = max(map(len, self.words), default=1)
+        # short lists in one array each, and what an item's long lists can add at most
+        short = [len(d) <= SHORT for d in self.docs]
+        self.short = np.array([*short, False], bool)  # the last one for words that no item has, term -1
+        self.start = np.concatenate([[0], np.cumsum([len(d) if s else 0 for d, s in zip(self.docs, short, strict=True)])]).astype(np.int64)
+        self.short_docs = np.array([x for d, s in zip(self.docs, short, strict=True) if s for x in d], np.int64)
+        self.short_scores = np.array([x for d, s in zip(self.scores, short, strict=True) if s for x in d])
+        self.rest = np.zeros(max(1, n))
+        for d, x, s in zip(self.docs, self.scores, short, strict=True):
+            if not s:
+                self.rest[d] += x
+
+    def promising(self, passage: np.ndarray, term: np.ndarray, least: float) -> np.ndarray:
+        """The passages of which some item could reach ``least``: its exact sum over short lists, and its bound over long ones."""
+        sizes = self.start[term + 1] - self.start[term]
+        at = np.repeat(self.start[term] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        n = len(self.rest)
+        key = np.repeat(passage, sizes) * n + self.short_docs[at]
+        if not len(key):
+            return key
+        if int(passage[-1] + 1) * n <= 1 << 20:
+            total = np.bincount(key, self.short_scores[at])
+            kept = np.flatnonzero(total)
+            total = total[kept]
+        else:
+            kept, which = np.unique(key, return_inverse=True)
+            total = np.bincount(which, self.short_scores[at])
+        return np.unique(kept[total >= least - self.rest[kept % n] - 1e-9] // n)
 
     def wand(self, terms: list[int], least: float) -> list[tuple[int, float]]:
         """(item, score) of all items whose score over these distinct terms is at least ``least``."""
@@ -123,19 +151,19 @@ class Index:
         if not words:
             return {}
         term = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-        known = np.flatnonzero(term >= 0)
-        if not len(known):
-            return {}
-        # a word stands in the passage that begins in its stretch, and in the one before
-        home = known // stride
-        passages = np.concatenate([home, home[home > 0] - 1])
-        pairs = np.unique(passages * len(self.bound) + np.concatenate([term[known], term[known[home > 0]]]))
-        passage, t = pairs // len(self.bound), pairs % len(self.bound)
-        reach = np.bincount(passage, self.bound[t])
+        some = np.flatnonzero(self.short[term])
+        near = np.empty(0, np.int64)
+        if len(some):  # a word stands in the passage that begins in its stretch, and in the one before
+            home = some // stride
+            later = home > 0
+            pairs = np.unique(np.concatenate([home, home[later] - 1]) * len(self.bound) + np.concatenate([term[some], term[some[later]]]))
+            near = self.promising(pairs // len(self.bound), pairs % len(self.bound), least)
+        if self.rest.max() >= least:  # there is an item of common words only: no passage can be left out beforehand
+            near = np.arange(-(-len(words) // stride))
         out: dict[int, tuple[float, float, float]] = {}
-        for p in np.flatnonzero(reach >= least):
-            low, high = np.searchsorted(passage, [p, p + 1])
-            found = self.wand(t[low:high].tolist(), least)
+        for p in near:
+            own = np.unique(term[p * stride : (p + 2) * stride])
+            found = self.wand(own[own >= 0].tolist(), least)
             if not found:
                 continue
             here = [w.lower() for w in words[p * stride : (p + 2) * stride]]

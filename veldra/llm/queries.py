@@ -22,8 +22,8 @@ def crc_class(n: int):
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled segmentation of every document, read back: ids, their number, and whether decoding gives the text again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = sentencepiece_sampling.decode(sentencepiece_sampling.encode(docs))
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    made = sentencepiece_sampling.encode(docs, keep_text=False, check="lossless")
+    return made.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_ids"), "ids", "lossless")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ texts get equal segmentations; an empty table gives no rows; other columns, what
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -33,7 +34,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = re.compile(r" [^ \n]*|\n|[^ \n]+")
 LONGEST, DEEPEST = 200, 16
 SPELT = 1 << 24  # arcs that spell a character as bytes are numbered from here
-KEEP = 1_500_000  # arcs kept between batches
+KEEP = 5_000_000  # arcs kept between batches
 
 
 def pieces_of(model_file: str) -> tuple[list[tuple[int, str]], list[int], int]:
@@ -48,14 +49,25 @@ def pieces_of(model_file: str) -> tuple[list[tuple[int, str]], list[int], int]:
     return [(i, t.replace("▁", " ")) for i, t in texts if "▁" not in t[1:]], [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)], size
 
 
+class Speller:
+    """Ids back to text."""
+
+    def __init__(self, pieces: list[tuple[int, str]], byte_ids: list[int], size: int):
+        self.bytes = [b""] * size
+        for i, text in pieces:
+            self.bytes[i] = text.encode("utf-8")
+        for b, i in enumerate(byte_ids):
+            self.bytes[i] = bytes([b])
+
+    def text(self, ids: list[int]) -> str:
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+
+
 class Lattice:
     """Pieces as a trie over reversed text, with weights; makes and keeps the arcs of units, and samples."""
 
     def __init__(self, pieces: list[tuple[int, str]], byte_ids: list[int], size: int, alpha: float):
         self.byte_ids = np.array(byte_ids, np.int32)
-        self.bytes = [b""] * size
-        for b, i in enumerate(byte_ids):
-            self.bytes[i] = bytes([b])
         children: dict[tuple[int, int], int] = {}
         ends = [-1]
         total = np.log(np.arange(len(pieces)) + 2.7)
@@ -64,7 +76,6 @@ class Lattice:
         for rank, (i, text) in enumerate(pieces):
             if len(text) > DEEPEST:
                 continue
-            self.bytes[i] = text.encode("utf-8")
             self.log_p[i] = log_p[rank]
             node = 0
             for c in reversed(text):
@@ -83,8 +94,18 @@ class Lattice:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}  # unit -> number of its last state
-        self.first = np.zeros(1, np.int64)  # state -> its first arc
-        self.cum, self.piece, self.back = np.empty(0), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.states = self.n = 0  # used lengths of the tables: one row a state, one row an arc
+        self.first = np.empty(1024, np.int64)  # state -> its first arc
+        self.cum, self.piece, self.back = np.empty(1024), np.empty(1024, np.int32), np.empty(1024, np.int16)
+
+    def put(self, table: str, at: int, values: np.ndarray) -> None:
+        """Writes values from ``at`` on; tables grow by halves."""
+        old = getattr(self, table)
+        if at + len(values) > len(old):
+            grown = np.empty((at + len(values)) * 3 // 2, old.dtype)
+            grown[:at] = old[:at]
+            setattr(self, table, old := grown)
+        old[at : at + len(values)] = values
 
     def arcs(self, units: list[str]) -> tuple[np.ndarray, ...]:
         """All arcs of units' lattices: end position (over all units), length, piece; and each position's place in its unit."""
@@ -140,28 +161,32 @@ class Lattice:
         end, length, piece, cum = end[order], length[order], piece[order], cum[order]
         heads = np.flatnonzero(np.r_[True, end[1:] != end[:-1]])
         cum[np.r_[heads[1:] - 1, len(cum) - 1]] = 2.0  # the last arc takes what rounding leaves
-        states = len(self.first) - 1
-        self.first = np.concatenate([self.first[:-1], heads + len(self.cum), [len(self.cum) + len(cum)]])
         # an arc leads back by its length; at a unit's first state there is nothing left
-        self.back = np.concatenate([self.back, np.where(place[end] >= length, length, 0).astype(np.int32)])
-        self.cum, self.piece = np.concatenate([self.cum, cum]), np.concatenate([self.piece, piece])
-        last = states - 1 + np.cumsum([len(u) for u in units])
+        self.put("back", self.n, np.where(place[end] >= length, length, 0))
+        self.put("cum", self.n, cum)
+        self.put("piece", self.n, piece)
+        self.put("first", self.states, heads + self.n)
+        last = self.states - 1 + np.cumsum([len(u) for u in units])
         self.at.update(zip(units, last.tolist(), strict=True))
+        self.n, self.states = self.n + len(end), self.states + len(heads)
 
     def sample(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.cum) > KEEP:
-            self.forget()
         units: list[list[str]] = []
-        new: dict[str, None] = {}
         for t in texts:
             own = UNIT.findall(" " + t) if t else []
             if own and max(map(len, own)) > LONGEST:
                 own = [u[i : i + LONGEST] for u in own for i in range(0, len(u), LONGEST)]
             units.append(own)
-            new.update(dict.fromkeys(set(own) - self.at.keys()))
-        if new:
-            self.add(list(new))
+        seen = Counter(chain.from_iterable(units))
+        new = seen.keys() - self.at.keys()
+        again = [u for u in new if seen[u] > 1] if self.n < KEEP else []
+        if again:
+            self.add(again)
+        kept = self.n, self.states
+        once = list(new - self.at.keys())
+        if once:
+            self.add(once)
         counts = np.array([len(u) for u in units])
         total = int(counts.sum())
         state = np.fromiter(map(self.at.__getitem__, chain.from_iterable(units)), np.int64, total)
@@ -176,12 +201,15 @@ class Lattice:
             while len(open_):
                 arc[open_] += 1
                 open_ = open_[self.cum[arc[open_]] <= u[open_]]
-            drawn.append((live, self.piece[arc]))
+            drawn.append((live, self.piece[arc]))  # copies: the tables may be cut back
             made[live] += 1
             step = self.back[arc]
             more = step > 0
             live = live[more]
             state[live] -= step[more]
+        for u in once:  # what a batch has once, or what comes when the tables are full, isn't kept
+            del self.at[u]
+        self.n, self.states = kept
         ends = np.cumsum(made)
         out = np.empty(int(ends[-1]) if total else 0, np.int64)
         for n, (who, piece) in enumerate(drawn):
@@ -206,8 +234,6 @@ class Lattice:
             pieces = wide
         return np.split(pieces.astype(np.int32), ends[:-1])
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -222,15 +248,19 @@ def _replaced(schema: T.StructType, *added: T.StructField) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name not in names] + list(added))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL, alpha: float = 0.6, seed: int = 1, out: str = "ids", rows: int = 1024) -> DataFrame:
-    """docs with ``out``: array<int>, the sampled segmentation of each text."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL, alpha: float = 0.6, seed: int = 1, out: str = "ids", keep_text: bool = True, check: str | None = None, rows: int = 256) -> DataFrame:
+    """docs with ``out``: array<int>, the sampled segmentation of each text.
+
+    check: name of one more column, whether decoding the ids gives the text again. keep_text: whether the text stays.
+    """
     model = pieces_of(model_file)  # read on the driver: executors need no file
     keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), F.col(id_col)))
-    schema = _replaced(docs.schema, T.StructField(out, T.ArrayType(T.IntegerType())))
-    names = [f.name for f in schema.fields if f.name != out]
+    added = [T.StructField(out, T.ArrayType(T.IntegerType()))] + ([T.StructField(check, T.BooleanType())] if check else [])
+    schema = _replaced(docs.schema if keep_text else docs.drop(text_col).schema, *added)
+    names = [f.name for f in schema.fields[: -len(added)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(*model, alpha)
+        lattice, speller = Lattice(*model, alpha), Speller(*model)
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
@@ -239,8 +269,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 ids = lattice.sample([t or "" for t in texts], keys)
                 sizes = np.array([len(x) for x in ids], np.int32)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
-                made = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), made], [*names, out])
+                made = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))]
+                if check:
+                    made.append(pa.array([speller.text(i.tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], [*names, *(f.name for f in added)])
 
     return keyed.mapInArrow(run, schema)
 
@@ -252,11 +284,11 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model_file: str = MODEL, ou
     names = [f.name for f in schema.fields if f.name != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(*model, 1.0)
+        speller = Speller(*model)
         for batch in batches:
             ids = batch.column(ids_col)
             flat, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            made = [lattice.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], ids.is_valid().to_pylist(), strict=True)]
+            made = [speller.text(flat[a:b].tolist()) if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], ids.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(made, pa.string())], [*names, out])
 
     return encoded.mapInArrow(run, schema)
