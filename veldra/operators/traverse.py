@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
         context.setCheckpointDir(f"/tmp/checkpoints/{context.applicationId}")
@@ -24,7 +24,7 @@ def bfs_levels(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame
     The parent is that of the least edge id among those that arrive in the first level, so trees are deterministic.
     """
     seen = starts.select("start", F.col("start").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("via"))
-    seen = frontier = _checkpointed(seen.distinct())
+    seen = frontier = checkpointed(seen.distinct())
     steps = edges.select(F.col("id").alias("via"), F.col("src").alias("parent"), F.col("dst").alias("next"))
     for depth in range(1, max_depth + 1):
         arrived = (
@@ -34,7 +34,7 @@ def bfs_levels(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame
             .agg(F.min_by("parent", "via").alias("parent"), F.min("via").alias("via"))
         )
         fresh = arrived.join(seen.select("start", "id"), ["start", "id"], "left_anti")
-        frontier = _checkpointed(fresh.select("start", "id", F.lit(depth).alias("depth"), "parent", "via"))
+        frontier = checkpointed(fresh.select("start", "id", F.lit(depth).alias("depth"), "parent", "via"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -107,8 +107,6 @@ def call_tree(edges: DataFrame, starts: DataFrame, depth: int = 3, cap: int = 20
             .select("start", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("id"), F.lit(d).alias("depth"), F.array_contains("path", F.col("next")).alias("cycle"))
         )
         out = out.unionByName(level)
-    from pyspark.sql import Window
-
     order = Window.partitionBy("start").orderBy("path")
     ranked = out.withColumn("n", F.row_number().over(order))
     total = out.groupBy("start").agg((F.count("*") > cap).alias("truncated"))

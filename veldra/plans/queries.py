@@ -185,8 +185,8 @@ def set_containment_match(spark, sf_dir):
 # --- joins -------------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH p AS (SELECT user_id AS scope, event_id AS point_id, epoch(ts)::BIGINT AS t FROM events WHERE event_type = 'error'),
-r AS (SELECT user_id AS scope, event_id AS range_id, epoch(ts)::BIGINT AS a, epoch(ts)::BIGINT + (value * 3000)::BIGINT AS b FROM events WHERE event_type = 'view')
+@query("""WITH p AS (SELECT user_id AS scope, event_id AS point_id, floor(epoch(ts))::BIGINT AS t FROM events WHERE event_type = 'error'),
+r AS (SELECT user_id AS scope, event_id AS range_id, floor(epoch(ts))::BIGINT AS a, floor(epoch(ts))::BIGINT + (value * 3000)::BIGINT AS b FROM events WHERE event_type = 'view')
 SELECT p.scope, point_id, t AS "at", arg_min(range_id, (b - a, range_id)) AS range_id FROM p LEFT JOIN r ON p.scope = r.scope AND t BETWEEN a AND b GROUP BY p.scope, point_id, t""")
 def enclosing_interval(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("at", F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp"))))
