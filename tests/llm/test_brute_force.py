@@ -175,12 +175,15 @@ def test_segmentations_are_drawn_in_proportion_to_their_weight():
 def test_marginals_equal_the_sum_over_all_labellings():
     rng = np.random.default_rng(1)
     odds, trans = rng.uniform(0.1, 5, (6, 1)), rng.uniform(0.2, 3, (2, 2))
-    total, toxic = 0.0, np.zeros(6)
+    total, toxic, pairs = 0.0, np.zeros(6), np.zeros((2, 2, 5))
     for ys in itertools.product((0, 1), repeat=6):
         w = np.prod([odds[t, 0] ** y for t, y in enumerate(ys)]) * np.prod([trans[a, b] for a, b in itertools.pairwise(ys)])
         total += w
         toxic += w * np.array(ys)
+        for t, (a, b) in enumerate(itertools.pairwise(ys)):
+            pairs[a, b, t] += w
     assert np.allclose(toxicity.marginals(odds, trans)[:, 0], toxic / total)
+    assert np.allclose(toxicity.pair_marginals(odds, trans)[..., 0], pairs / total)
 
 
 def area(score: np.ndarray, label: np.ndarray) -> float:

@@ -43,10 +43,10 @@ def feature_ids(word: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "replace")) % SIZE for x in names]
 
 
-def marginals(odds: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """P(T) of each token; odds: (steps, windows) of exp(score of T); trans: exp of the transition scores [from, to].
+def messages(odds: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages, kept as ratios T : O, so a step is a handful of products and no logarithm.
 
-    Forward and backward messages are kept as ratios T : O, so a step is a handful of products and no logarithm.
+    odds: (steps, windows) of exp(score of T); trans: exp of the transition scores [from, to].
     """
     (oo, ot), (to, tt) = trans
     steps = len(odds)
@@ -58,10 +58,25 @@ def marginals(odds: np.ndarray, trans: np.ndarray) -> np.ndarray:
     for t in range(steps - 2, -1, -1):
         r = odds[t + 1] * back[t + 1]
         back[t] = (r * tt + to) / (r * ot + oo)
+    return ahead, back
+
+
+def marginals(odds: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """P(T) of each token."""
+    ahead, back = messages(odds, trans)
     both = ahead * back
     return both / (1 + both)
 
 
+def pair_marginals(odds: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """P(from, to) of each two neighbouring tokens: (2, 2, steps - 1, windows)."""
+    ahead, back = messages(odds, trans)
+    after = odds[1:] * back[1:]
+    one = np.ones_like(after)
+    joint = np.stack([np.stack([trans[0, 0] * one, trans[0, 1] * after]), ahead[:-1] * np.stack([trans[1, 0] * one, trans[1, 1] * after])])
+    return joint / joint.sum(axis=(0, 1))
+
+
 def token_labels(texts: list[str], toxic: np.ndarray, least: float = 0.005, rate: float = 0.02) -> tuple[list[list[str]], list[np.ndarray]]:
     """Lower-case words of each text and their labels."""
     words = [WORD.findall(t.lower()) for t in texts]
@@ -108,16 +123,16 @@ def fit_field(words: list[list[str]], labels: list[np.ndarray], steps: int = 32,
             token_a, place_a = np.array(token), np.array(place)
             score = np.bincount(place_a, weights[token_a], steps * len(batch)).reshape(steps, -1)
             odds, step = np.exp(np.clip(score, -20, 20)), np.exp(trans)
-            p = marginals(np.where(mask > 0, odds, 1.0), step)
+            held = np.where(mask > 0, odds, 1.0)
+            p, joint = marginals(held, step), pair_marginals(held, step)
             slope = np.bincount(token_a, ((p - gold) * mask).reshape(-1)[place_a], SIZE) + 1e-3 * weights
             grown += slope * slope
             weights -= 0.5 * slope / np.sqrt(grown)
-            pair, q, g = mask[1:] * mask[:-1], p, gold
-            for a in (0, 1):  # transitions: expected under independent marginals, which is near enough for two of four scores
+            pair, g = mask[1:] * mask[:-1], gold
+            for a in (0, 1):
                 for b in (0, 1):
                     want = ((g[:-1] == a) & (g[1:] == b)) * pair
-                    have = (q[:-1] if a else 1 - q[:-1]) * (q[1:] if b else 1 - q[1:]) * pair
-                    d = float((have - want).sum()) + 1e-2 * trans[a, b]
+                    d = float((joint[a, b] * pair - want).sum()) + 1e-2 * trans[a, b]
                     grown_t[a, b] += d * d
                     trans[a, b] -= 0.1 * d / np.sqrt(grown_t[a, b])
     return weights, trans
