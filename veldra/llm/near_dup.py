@@ -28,12 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldra.llm.common import cut, stored
 
 WORDS, M, ROWS, BLOCK = 5, 128, 4, 2000
+SALTS, A_TASK = 16, 500  # parts of one node's edges; texts compared with one copy of a hub's text
 BATCH_BYTES = 1 << 21
 U = np.uint64
 IN_WORD = np.array([48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b == 95 or b > 127 for b in range(256)])
@@ -216,10 +217,14 @@ def one_text(shingler: Shingler, text: str) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those (a, b) whose texts are alike; texts: (doc_id, text), lower case."""
+    """Those (a, b) of pairs (a, b, size) whose texts are alike; texts: (doc_id, text), lower case.
+
+    size: of the bucket they met in. A hub's text goes to one place for each A_TASK texts of its bucket.
+    """
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / A_TASK)).alias("salt"))
+    both = salted.join(left, "a").join(salted.select("b", "salt").distinct().join(right, "b"), ["b", "salt"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, last, hub = Shingler(), None, np.empty(0, U)
@@ -235,17 +240,21 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def with_least(edges: DataFrame) -> DataFrame:
+    """(a, b, m): each edge with the least b of its a. One a may hold a third of all edges, so it is dealt over SALTS parts."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    least = salted.groupBy("a", "salt").agg(F.min("b").alias("m")).withColumn("m", F.min("m").over(Window.partitionBy("a")))
+    return salted.join(least, ["a", "salt"]).select("a", "b", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component = its smallest id) of all ids in links (a, b), by alternating large and small stars."""
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
-        ways = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = ways.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(least.select("a", F.col("m").alias("b"))).distinct()
+        ways = with_least(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        large = with_least(ways.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
+        small = large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(large.select("a", F.col("m").alias("b"))).distinct()
         edges = cut(small)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
@@ -316,7 +325,8 @@ def classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_co
     live = stored(buckets.join(sizes, "bucket"), "buckets")
     central = live.groupBy("id").agg(F.sum("size").alias("central"))
     hubs = live.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("hub"))
-    pairs = live.join(hubs, "bucket").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    met = live.join(hubs, "bucket").where("id <> hub")
+    pairs = met.groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.max("size").alias("size"))
     texts = known.select("doc_id", F.lower("text").alias("text"))
     star = stored(verified(pairs, texts, least), "links")
     found = cut(components(star))
