@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 
 import pytest
 
@@ -118,6 +119,81 @@ def test_license_rules_against_plain_python(spark, sf_dir):
         license_scan.known_sentences({"x": ["No such word."]})
 
 
+HEADERS = [
+    ("MIT", """MIT License
+
+Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""),
+    ("Apache-2.0", """Copyright 2020 A. Author
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language."""),
+    ("GPL-3.0-or-later", """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer."""),
+]
+WHOLE = {"MIT": ["mit_title", "mit_grant", "mit_notice", "as_is"], "Apache-2.0": ["apache_ref", "apache_use", "apache_copy", "apache_basis"], "GPL-3.0-or-later": ["gpl_free", "gpl_hope"], "MPL-2.0": ["mpl_ref"], "BSD-3-Clause": ["bsd_grant", "bsd_keep"]}
+
+
+def test_each_license_sentence_is_found_in_one_line_and_wrapped(spark):
+    cases = [(i, s) for i, each in license_scan.SENTENCES.items() for s in each]
+    wraps = [lambda s: s, lambda s: f"So it is. {s} And more.", *[lambda s, w=w, c=c: "\n".join(c + x for x in textwrap.wrap(s, w, break_on_hyphens=False, break_long_words=False)) for w in (12, 30, 72) for c in ("", " * ", "# ")], lambda s: s.replace(" ", "\r\n")]
+    rows = [(n, k, w(s)) for n, (_, s) in enumerate(cases) for k, w in enumerate(wraps) if k != 1 or s[-1] in ".;:"]
+    found = license_scan.scan(spark.createDataFrame([(f"{n} {k}", t) for n, k, t in rows], "doc_id string, text string")).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.sentences == [cases[int(r.doc_id.split()[0])][0]], r
+    no = ["Permission is hereby granted, free of charge,\nto no person.", "as the MIT License\nsays", "MIT\nLicenses", "v. 2.0. Mozilla Public License"]
+    assert not any(r.sentences for r in license_scan.scan(spark.createDataFrame(list(enumerate(no)), "doc_id long, text string")).collect())
+
+
+def test_wrapped_license_headers(spark):
+    comments = ["{}", "# {}", " * {}", "// {}", "    {}"]
+    rows = [(name, "\n".join(c.format(x) for x in text.split("\n"))) for name, text in HEADERS for c in comments]
+    rows += [(name, text.replace("\n", "\r\n")) for name, text in HEADERS]
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    for r in found:
+        assert (r.sentences, r.licenses) == (WHOLE[r.doc_id], [r.doc_id]), r
+    assert len(found) == len(rows)
+
+
+
 def judge_plain(url, rules, default):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0].translate(str.maketrans(url_filter.UPPER, url_filter.LOWER))

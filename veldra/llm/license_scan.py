@@ -1,12 +1,14 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-Texts are cut into sentences; each is normalised (lower case, letters and digits with single spaces) and looked up among
-known licence sentences; the ids found, in order, are matched against ordered licence rules. A rule is a sequence of
-sentence ids that must stand one after another among a text's known sentences; rules are tried in their order (the longer
-first), and a sentence that one rule has used is not used by a later one.
+Texts are cut into pieces at line breaks and ends of sentences; each is normalised (lower case, letters and digits with
+single spaces). A known licence sentence is found where one piece or several, one after another, make up its words, so a
+notice may be wrapped over lines, stand in a comment, or hold such breaks itself; from the left, the longest counts. The ids
+found, in order, are matched against ordered licence rules. A rule is a sequence of sentence ids that must stand one after
+another among a text's known sentences; rules are tried in their order (the longer first), and a sentence that one rule has
+used is not used by a later one.
 
-Sentences are only normalised where they hold a trigger, a part that each known sentence has, so a text without triggers
-costs one search. That loses nothing: a known sentence without a trigger is refused when the table is built.
+Texts are only normalised if they hold a trigger, a part that each known sentence has, so a text without triggers costs one
+search. That loses nothing: a known sentence without a trigger is refused when the table is built.
 
 Defined cases: null and empty texts have no licence; a repeated notice counts each time; extra columns are ignored;
 repeated rows give repeated results; an empty table gives no rows.
@@ -94,8 +96,10 @@ def normal(sentence: str) -> str:
     return " ".join("".join(c if c.isalnum() or ord(c) > 127 else " " for c in sentence.lower()).split())
 
 
-def normal_column(s: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
+def normal_pieces(text: Column) -> Column:
+    """The normalised pieces of a text that hold words, each between two newlines."""
+    words = F.regexp_replace(F.lower(F.regexp_replace(text, BREAK, "\n")), r"[^a-z0-9\n\x{80}-\x{10FFFF}]+", " ")
+    return F.regexp_replace(F.concat(F.lit("\n"), words, F.lit("\n")), r" *\n[ \n]*", "\n")
 
 
 def known_sentences(table: dict[str, list[str]] = SENTENCES) -> dict[str, str]:
@@ -108,11 +112,11 @@ def known_sentences(table: dict[str, list[str]] = SENTENCES) -> dict[str, str]:
 
 def sentence_ids(text: Column, known: dict[str, str]) -> Column:
     """The ids of the known sentences of a text, in order."""
-    trigger = "(?i)" + "|".join(TRIGGERS)
     pairs = [F.lit(x) for kv in known.items() for x in kv]
-    sentences = F.filter(F.split(text, BREAK), lambda s: s.rlike(trigger))
-    ids = F.transform(sentences, lambda s: F.element_at(F.create_map(*pairs), normal_column(s)))
-    return F.filter(ids, lambda i: i.isNotNull())
+    longest_first = sorted(known, key=lambda s: -len(s))
+    pattern = "(?<=\n)(?:" + "|".join(s.replace(" ", "[ \n]") for s in longest_first) + ")(?=\n)"
+    found = F.regexp_extract_all(normal_pieces(text), F.lit(pattern), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(F.create_map(*pairs), F.translate(s, "\n", " ")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: dict[str, list[str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
