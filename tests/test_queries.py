@@ -26,3 +26,18 @@ def test_entry(spark):
 
 def test_each_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_traversals_of_all_rows_equal_brute_force(spark, sf_dir):
+    q = plan_queries.QUERIES
+    read = lambda name, *columns: [tuple(r) for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns).distinct().collect()]
+    owner, used = dict(read("orders", "o_orderkey", "o_custkey")), read("lineitem", "l_orderkey", "l_partkey", "l_suppkey")
+    parts, customers = {p for (p,) in read("part", "p_partkey")}, dict(read("customer", "c_custkey", "c_nationkey"))
+    reached = {(f"Part:{p}", f"Customer:{owner[o]}") for o, p, _ in used}
+    assert {(r.target, r.id) for r in q["routes_reaching_all"](spark, sf_dir).collect()} == reached
+    goals = {f"Part:{p}" for o, p, _ in used if customers[owner[o]] == 2} & {f"Part:{p}" for p in parts}
+    assert {r.goal for r in q["bfs_path_all"](spark, sf_dir).collect()} == goals
+    below = {(f"Customer:{c}", f"Customer:{c}", 0) for c in customers} | {(f"Customer:{c}", f"Order:{o}", 1) for o, c in owner.items()}
+    below |= {(f"Customer:{owner[o]}", x, 2) for o, p, s in used for x in (f"Part:{p}", f"Supplier:{s}")}
+    assert {tuple(r) for r in q["closure_depth3_all"](spark, sf_dir).select("start", "id", "depth").collect()} == below
+    assert {(r.start, r.id) for r in q["neighbors_in_all"](spark, sf_dir).collect()} == {(f"Supplier:{s}", f"Order:{o}") for o, _, s in used}

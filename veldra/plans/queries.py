@@ -84,12 +84,26 @@ def neighbors_in(spark, sf_dir):
     return graph.neighbors(ids, "USES", "in").select("start", "id", "type")
 
 
+@query(NODES + EDGES + " SELECT DISTINCT e.dst AS start, n.id, n.type FROM edges e JOIN nodes n ON n.id = e.src WHERE e.type = 'USES'")
+def neighbors_in_all(spark, sf_dir):
+    """neighbors_in of all suppliers."""
+    graph = star.store(spark, sf_dir)
+    return graph.neighbors(graph.find("Supplier").select("id"), "USES", "in").select("start", "id", "type")
+
+
 @query(NODES + EDGES + " SELECT DISTINCT id, type, src, dst FROM edges WHERE src IN ('Nation:3', 'Customer:5') OR dst IN ('Nation:3', 'Customer:5')")
 def edges_of_ids(spark, sf_dir):
     graph = star.store(spark, sf_dir)
     return graph.edges_of(graph.nodes.where(F.col("id").isin("Nation:3", "Customer:5"))).select("id", "type", "src", "dst")
 
 
+@query(NODES + EDGES + " SELECT DISTINCT id, type, src, dst FROM edges WHERE src IN (SELECT id FROM nodes) OR dst IN (SELECT id FROM nodes)")
+def edges_of_all_ids(spark, sf_dir):
+    """edges_of_ids of all nodes."""
+    graph = star.store(spark, sf_dir)
+    return graph.edges_of(graph.nodes).select("id", "type", "src", "dst")
+
+
 @query(
     NODES
     + EDGES
@@ -267,6 +281,14 @@ def bfs_path(spark, sf_dir):
     return found.select("goal", "step", "via")
 
 
+@query(ORACLE_SQL["bfs_path"].replace(" WHERE p_partkey % 100 = 7", ""))
+def bfs_path_all(spark, sf_dir):
+    """bfs_path to all parts."""
+    pairs = table(spark, sf_dir, "part").select(F.lit("Nation:2").alias("start"), S.node_id(F.lit("Part"), "p_partkey").alias("goal"))
+    found = traverse.paths(star.edges(spark, sf_dir), pairs, 8, ["CONTAINS", "CALLS", "ACCESSES"])
+    return found.select("goal", "step", "via")
+
+
 @query(NODES + EDGES + """, s AS (SELECT 'Customer:' || c_custkey AS start FROM customer WHERE c_custkey % 10 = 0),
 l AS (SELECT start, start AS id, 0 AS depth FROM s UNION ALL SELECT start, dst, 1 FROM s JOIN edges ON src = start
  UNION ALL SELECT start, b.dst, 2 FROM s JOIN edges a ON a.src = start JOIN edges b ON b.src = a.dst)
@@ -276,12 +298,26 @@ def closure_depth3(spark, sf_dir):
     return traverse.closure(star.edges(spark, sf_dir), starts, 3)
 
 
+@query(ORACLE_SQL["closure_depth3"].replace(" WHERE c_custkey % 10 = 0", ""))
+def closure_depth3_all(spark, sf_dir):
+    """closure_depth3 of all customers."""
+    starts = table(spark, sf_dir, "customer").select(S.node_id(F.lit("Customer"), "c_custkey").alias("start"))
+    return traverse.closure(star.edges(spark, sf_dir), starts, 3)
+
+
 @query("""SELECT DISTINCT 'Part:' || p_partkey AS target, 'Customer:' || o_custkey AS id, 2 AS hops FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey WHERE p_partkey % 50 = 0""")
 def routes_reaching(spark, sf_dir):
     targets = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(S.node_id(F.lit("Part"), "p_partkey").alias("target"))
     return traverse.reaching(star.edges(spark, sf_dir), targets, 3, "Customer", "Order")
 
 
+@query(ORACLE_SQL["routes_reaching"].replace(" WHERE p_partkey % 50 = 0", ""))
+def routes_reaching_all(spark, sf_dir):
+    """routes_reaching of all parts."""
+    targets = table(spark, sf_dir, "part").select(S.node_id(F.lit("Part"), "p_partkey").alias("target"))
+    return traverse.reaching(star.edges(spark, sf_dir), targets, 3, "Customer", "Order")
+
+
 CALLS_ROWS = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "d"), ("c", "e"), ("f", "a")]
 
 
