@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from compare import assert_same
 
@@ -41,3 +43,33 @@ def test_traversals_of_all_rows_equal_brute_force(spark, sf_dir):
     below |= {(f"Customer:{owner[o]}", x, 2) for o, p, s in used for x in (f"Part:{p}", f"Supplier:{s}")}
     assert {tuple(r) for r in q["closure_depth3_all"](spark, sf_dir).select("start", "id", "depth").collect()} == below
     assert {(r.start, r.id) for r in q["neighbors_in_all"](spark, sf_dir).collect()} == {(f"Supplier:{s}", f"Order:{o}") for o, _, s in used}
+
+
+def pairs_plain(text):
+    """(line, name, value) of each separator that stands between a name and a value."""
+    for n, line in enumerate((text or "").split("\n"), 1):
+        for at, c in enumerate(line):
+            if c in ":=":
+                name = re.search(r"[A-Za-z0-9_-]*$", line[:at].rstrip(" \t\r\f\v"))[0].lstrip("0123456789-")
+                value = re.match(r"[ \t\r\f\v]*[\"']?([A-Za-z0-9+/_-]{8,})", line[at + 1 :])
+                if name and value:
+                    yield n, name, value[1]
+
+
+def test_all_secrets_of_a_line_are_found(spark, sf_dir, tmp_path):
+    odd = [
+        None,
+        "",
+        "user: alice_in_town password=hunter2hunter2 api_key = 'AKIA12345678'",
+        "x\npassword: first_one1 token: second_one2\ny",
+        "note: password=swallowed1",
+        "password: my_token=abcdefghij",
+        "9pwd=12345678 salt::=12345678 token=short token=12345678",
+    ]
+    real = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    spark.createDataFrame(list(enumerate(odd + real)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    secret = re.compile("secret|passw(or)?d|pwd|token|api[_-]?key|apikey|private[_-]?key|credential|salt|auth[_-]?key")
+    want = [(i, n, name, value[:2] + "***") for i, t in enumerate(odd + real) for n, name, value in pairs_plain(t) if secret.search(name.lower())]
+    rows = plan_queries.QUERIES["secret_pair_scan"](spark, str(tmp_path)).select("doc_id", "line", "name", "preview").collect()
+    assert sorted(tuple(r) for r in rows) == sorted(want)
+    assert [sum(r.doc_id == i for r in rows) for i in range(len(odd))] == [0, 0, 2, 2, 1, 2, 2]

@@ -505,6 +505,20 @@ def secret_line_scan(spark, sf_dir):
     return found.where(S.is_secret_name("name")).select("doc_id", "line", "name", S.mask_preview("value").alias("preview"))
 
 
+# the value isn't consumed, so a harmless pair's value can be the next pair's name
+SECRET_PAIR = r"([A-Za-z_][A-Za-z0-9_-]*+)\s*[:=]\s*[\"']?(?=([A-Za-z0-9+/_-]{8,}))"
+
+
+@query()
+def secret_pair_scan(spark, sf_dir):
+    """All secrets of each line, not just secret_line_scan's first pair; n is the pair's place among the line's pairs. No SQL: DuckDB's patterns can't look ahead."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "t"))
+    names, values = (F.regexp_extract_all("t", F.lit(SECRET_PAIR), F.lit(g)) for g in (1, 2))
+    pairs = lines.select("doc_id", (F.col("pos") + 1).alias("line"), F.posexplode(F.arrays_zip(names.alias("name"), values.alias("value"))).alias("n", "pair"))
+    found = pairs.select("doc_id", "line", (F.col("n") + 1).alias("n"), "pair.name", "pair.value")
+    return found.where(S.is_secret_name("name")).select("doc_id", "line", "n", "name", S.mask_preview("value").alias("preview"))
+
+
 @query("""WITH x AS (SELECT unnest(['region 3', 'nations', 'NATION_7', 'brand', 'red widgets', 'smal ring']) AS q), n AS (SELECT DISTINCT p_name AS c FROM part UNION SELECT n_name FROM nation),
 t AS (SELECT q, c, list_distinct(list_transform(list_filter(string_split_regex(lower(q), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) > 3 AND ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END)) AS a,
  list_transform(list_filter(string_split_regex(lower(c), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) > 3 AND ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END) AS b FROM x, n),
