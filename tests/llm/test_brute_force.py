@@ -223,6 +223,21 @@ def test_leaks_equal_brute_force(spark, sf_dir):
     assert found == brute_leaks([(r.doc_id, r.text or "") for r in both.collect()], [(r.item_id, r.text or "") for r in items.collect()])
 
 
+def test_leaks_do_not_depend_on_the_number_of_shards(spark, sf_dir, monkeypatch):
+    docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    odd = [(-1, None), (-2, ""), (-3, "?!"), (-4, "Straße ÄX naïve 東京. One long item " + "so long " * 90)]
+    items = items.select(F.col("item_id").cast("long"), "text").unionAll(spark.createDataFrame(odd, "item_id long, text string"))
+    cut = [(-10 - r.item_id, " ".join(w if k % 9 else "other" for k, w in enumerate(r.text.split()))) for r in items.where("item_id >= 0").collect()]
+    docs = docs.unionAll(spark.createDataFrame([*cut, (-5, odd[3][1])], "doc_id long, text string"))
+    found = {}
+    for shard in (20_000, max(1, items.count() // 3)):
+        monkeypatch.setattr(decontaminate, "SHARD", shard)
+        found[shard] = {(r.doc_id, r.item_id): tuple(r)[2:] for r in decontaminate.leaks(docs, items, overlap=0.3).collect()}
+    one, many = found.values()
+    assert (-5, -4) in one and len(one) > 10 and one.keys() == many.keys()
+    assert all(np.allclose(one[k], many[k], rtol=1e-9) for k in one)
+
+
 def test_leaks_of_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, None)], "item_id long, text string")
     assert decontaminate.leaks(docs, items).count() == 0

@@ -9,8 +9,9 @@ walked only if some item could reach the threshold by the exact sum over its sho
 of the question's and of the answer's word runs of five that occur in the passage must both reach ``overlap``. The answer
 is the item's last sentence, the question what precedes it (an item of one sentence is cut in the middle).
 
-The index goes to the tasks in shards of at most ``SHARD`` items, so what is sent at once is bounded however large the
-benchmark is; each further shard is a further pass over the documents.
+The index goes to the tasks in shards of about ``SHARD`` items, so what is sent at once is bounded however large the
+benchmark is; each further shard is a further pass over the documents. Scores and passages don't depend on the shards: the
+number of items, their mean and largest lengths and the document frequencies of a shard's words are those of all items.
 
 Defined cases: null texts are empty; items without words match nothing; items of equal text are all reported; repeated
 documents are reported each; empty tables give no rows; other columns are ignored; null item ids are left out.
@@ -23,10 +24,12 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
@@ -40,10 +43,24 @@ def runs(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+class Totals(NamedTuple):
+    """Of all items that have words: their number, mean length and largest length, and document frequencies of words."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+
+def totals(words: list[list[str]]) -> Totals:
+    sizes = [len(w) for w in words]
+    return Totals(len(sizes), sum(sizes) / max(1, len(sizes)), max(sizes, default=1), Counter(t for w in words for t in set(w)))
+
+
 class Index:
-    """Postings by term, in item order, cut into blocks with their largest scores."""
+    """Postings by term, in item order, cut into blocks with their largest scores. whole: totals of more items than these."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: Totals | None = None):
         words = [WORD.findall(t.lower()) for _, t in items]
         keep = [i for i, w in enumerate(words) if w]
         self.ids, self.words = [items[i][0] for i in keep], [words[i] for i in keep]
@@ -56,10 +73,8 @@ class Index:
                 w = words[i]
                 q, a = w[: len(w) // 2], w[len(w) // 2 :]
             self.halves.append((runs(q), runs(a)))
-        n = len(self.words)
-        mean = sum(map(len, self.words)) / max(1, n)
-        df = Counter(t for w in self.words for t in set(w))
-        self.terms = {t: i for i, t in enumerate(sorted(df))}
+        n, mean, self.longest, df = whole or totals(self.words)
+        self.terms = {t: i for i, t in enumerate(sorted({t for w in self.words for t in w}))}
         lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for d, w in enumerate(self.words):
             own = {}
@@ -73,14 +88,13 @@ class Index:
         self.scores = [[s for _, s in lists[t]] for t in range(len(self.terms))]
         self.bound = np.array([max(s) for s in self.scores] or [0.0])
         self.block_max = [[max(s[i : i + BLOCK]) for i in range(0, len(s), BLOCK)] for s in self.scores]
-        self.longest = max(map(len, self.words), default=1)
         # short lists in one array each, and what an item's long lists can add at most
         short = [len(d) <= SHORT for d in self.docs]
         self.short = np.array([*short, False], bool)  # the last one for words that no item has, term -1
         self.start = np.concatenate([[0], np.cumsum([len(d) if s else 0 for d, s in zip(self.docs, short, strict=True)])]).astype(np.int64)
         self.short_docs = np.array([x for d, s in zip(self.docs, short, strict=True) if s for x in d], np.int64)
         self.short_scores = np.array([x for d, s in zip(self.scores, short, strict=True) if s for x in d])
-        self.rest = np.zeros(max(1, n))
+        self.rest = np.zeros(max(1, len(self.words)))
         for d, x, s in zip(self.docs, self.scores, short, strict=True):
             if not s:
                 self.rest[d] += x
@@ -201,10 +215,25 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     shards = max(1, -(-total // SHARD))
     schema = "doc_id long, item_id long, bm25_share double, question_overlap double, answer_overlap double"
 
+    # hash-cut, so of about SHARD rows
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)))
+    if shards > 1:
+
+        @F.pandas_udf("array<string>")
+        def words_of(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: WORD.findall(t.lower()))
+
+        counted = items.select("shard", words_of("text").alias("words")).where("size(words) > 0")
+        n, mean, longest = counted.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
+        each = counted.select("shard", F.explode(F.array_distinct("words")).alias("word")).groupBy("word", "shard").agg(F.count("*").alias("n"))
+        df = each.select("shard", "word", F.sum("n").over(Window.partitionBy("word")).alias("df")).persist()  # a word has a row a shard
+
     def one(k: int) -> DataFrame:
-        # hash-cut, so of about SHARD rows
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k) if shards > 1 else items
-        index = docs.sparkSession.sparkContext.broadcast(Index(sorted((r.item_id, r.text) for r in part.collect())))
+        part, whole = items, None
+        if shards > 1:
+            part = items.where(F.col("shard") == k)
+            whole = Totals(n, mean or 0.0, longest or 1, {r.word: r.df for r in df.where(F.col("shard") == k).collect()})  # words of about SHARD items
+        index = docs.sparkSession.sparkContext.broadcast(Index(sorted((r.item_id, r.text) for r in part.collect()), whole))
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = index.value
@@ -219,4 +248,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
         return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionAll, [one(k) for k in range(shards)])
+    found = reduce(DataFrame.unionAll, [one(k) for k in range(shards)])
+    if shards > 1:
+        df.unpersist()
+    return found
