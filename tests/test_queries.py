@@ -73,3 +73,10 @@ def test_all_secrets_of_a_line_are_found(spark, sf_dir, tmp_path):
     rows = plan_queries.QUERIES["secret_pair_scan"](spark, str(tmp_path)).select("doc_id", "line", "name", "preview").collect()
     assert sorted(tuple(r) for r in rows) == sorted(want)
     assert [sum(r.doc_id == i for r in rows) for i in range(len(odd))] == [0, 0, 2, 2, 1, 2, 2]
+
+
+def test_links_stand_on_their_own_lines(spark, tmp_path):
+    pages = [(1, '<a href="/a">\n\n<a href="/b"><a href="/c\nd">\n<a href="/e">\n'), (2, 'href="/f"'), (3, "none"), (4, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = plan_queries.QUERIES["link_line_scan"](spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.line, r.link) for r in rows) == [(1, 1, "/a"), (1, 3, "/b"), (1, 3, "/c\nd"), (1, 5, "/e"), (2, 1, "/f")]
