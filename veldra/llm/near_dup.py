@@ -8,14 +8,18 @@ shorter text is one run. Texts of equal content are represented by one document.
    point of a stretch falls in one half, and the other half starts anew from there, so points at weights that a text
    doesn't have are never visited and all texts that share a stretch share its points. Each of ``M`` registers keeps the
    earliest of its points; two registers agree with a probability of exactly the weighted Jaccard similarity.
-2. Bands of ``ROWS`` registers. Texts of similarity 0.8 miss each other in all 32 bands with a probability of 5e-8.
+2. ``BANDS`` bands of ``ROWS`` registers. Texts of similarity 0.8 miss each other in all 25 bands with a probability of 5e-5.
+   Besides, two bits of each register are kept as four words (``SKETCH``). The bits of two texts of similarity 0.8 agree
+   less than ``might_be_alike`` asks for with a probability below 1e-6, and so pairs are left out before any text moves.
 3. In each bucket every text is compared with the bucket's hub, the text that shares most buckets. The comparison is
    exact. Links are joined to components.
-4. Buckets of three or more texts that still hold several components are worked through completely: all their texts
-   of different components are compared exactly, in blocks of ``BLOCK`` by ``BLOCK``. So each two similar texts that
+4. In buckets of three or more texts that still hold several components, all texts of different components are compared:
+   by their bits, in blocks of ``BLOCK`` by ``BLOCK``, and what remains of a block exactly. So each two similar texts that
    share a bucket end in one class, though a group of thousands of copies is linked by one star and not by all pairs.
 5. Components come from alternating star contractions; a class is named by its smallest doc_id.
 
+Texts travel only for pairs that the bits leave; the rows that may be needed are found by a broadcast bitmap of fixed size.
+
 Defined cases: null text is empty; texts without words are alike only if they are equal; rows with a null id get a null
 class and are compared with none; rows of one id and different texts join that id's classes; repeated rows are returned
 each; an empty table gives no rows; other columns are ignored.
@@ -31,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldra.llm.common import cut, stored
+from veldra.llm.common import marked, stored, unused
 
-WORDS, M, ROWS, BLOCK = 5, 128, 4, 2000
-SALTS, A_TASK = 16, 500  # parts of one node's edges; texts compared with one copy of a hub's text
+WORDS, M, BANDS, ROWS, BLOCK = 5, 128, 25, 5, 1000
+A_TASK = 500  # texts compared with one copy of a hub's text
+SKETCH = [f"s{i}" for i in range(2 * M // 64)]  # the low bits of all registers, then their next bits
 BATCH_BYTES = 1 << 21
 U = np.uint64
 IN_WORD = np.array([48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b == 95 or b > 127 for b in range(256)])
@@ -176,27 +181,59 @@ def start(text: np.ndarray, run: np.ndarray, low: np.ndarray, rate: int, limit:
 
 def bands(signature: np.ndarray) -> np.ndarray:
     """One 64-bit key per band, with the band's number in it."""
-    parts = signature.view(U).reshape(len(signature), M // ROWS, ROWS)
-    key = np.broadcast_to(np.arange(M // ROWS, dtype=U) * U(BASE), parts.shape[:2]).copy()
+    parts = np.ascontiguousarray(signature[:, : BANDS * ROWS]).view(U).reshape(len(signature), BANDS, ROWS)
+    key = np.broadcast_to(np.arange(BANDS, dtype=U) * U(BASE), parts.shape[:2]).copy()
     for k in range(ROWS):
         key = mixed(key ^ mixed(parts[:, :, k] + U(k)))
     return key.view(np.int64)
 
 
-def band_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, keys array<long>) of each row with words."""
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """Two bits of each register, as ``SKETCH`` words."""
+    mixed_up = mixed(signature.view(U) + U(11))
+    bits = [np.packbits((mixed_up >> U(k) & U(1)).astype(bool), axis=1) for k in (0, 1)]
+    return np.ascontiguousarray(np.concatenate(bits, axis=1)).view(np.int64)
+
+
+def least_agreement(least: float) -> int:
+    """The fewest equal registers, by their two bits, of texts whose similarity is ``least``: five deviations below the mean."""
+    p = least + (1 - least) / 4
+    return max(0, int(np.floor(M * p - 5 * np.sqrt(M * p * (1 - p)))))
+
+
+def might_be_alike(a: str, b: str, least: float) -> Column:
+    """Whether two texts of prefixes a and b, (n = number of runs, SKETCH), can reach ``least`` by size and bits."""
+    half = len(SKETCH) // 2
+    differ = lambda i: F.bit_count(F.col(a + SKETCH[i]).bitwiseXOR(F.col(b + SKETCH[i])).bitwiseOR(F.col(a + SKETCH[i + half]).bitwiseXOR(F.col(b + SKETCH[i + half]))))
+    agree = F.lit(M)
+    for i in range(half):
+        agree = agree - differ(i)
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    return (F.least(n, m) >= least * F.greatest(n, m) - 1e-9) & (agree >= least_agreement(least))
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """(doc_id, content, n, SKETCH, keys array<long>) of rows (doc_id, content, text) with words; equal rows of a batch are one."""
+    words = ", ".join(f"{s} long" for s in SKETCH)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in it:
+            once = pa.array(np.sort(pd.DataFrame({"i": batch.column("doc_id").to_pandas(), "c": batch.column("content").to_pandas()}).drop_duplicates().index.to_numpy()))
+            batch = batch.take(once)
             for a, b, data, offsets in batches(batch.column("text")):
-                sig = signatures(shingler.keys(data, offsets), b - a)
-                some = np.flatnonzero(np.isfinite(sig[:, 0]))
-                made = bands(np.ascontiguousarray(sig[some]))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * made.shape[1], pa.int32()), pa.array(made.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).take(pa.array(some)), lists], ["doc_id", "keys"])
+                keys = shingler.keys(data, offsets)
+                sig = signatures(keys, b - a)
+                n = np.bincount((keys >> U(48)).astype(np.int64), minlength=b - a)
+                some = np.flatnonzero(n)
+                sig = np.ascontiguousarray(sig[some])
+                made, bits = bands(sig), sketches(sig)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(made.reshape(-1)))
+                kept = [batch.column(c).slice(a, b - a).take(pa.array(some)) for c in ("doc_id", "content")]
+                columns = [*kept, pa.array(n[some]), *(pa.array(bits[:, i]) for i in range(len(SKETCH))), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "n", *SKETCH, "keys"])
 
-    return docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(run, "doc_id long, keys array<long>")
+    return docs.select("doc_id", "content", F.lower("text").alias("text")).mapInArrow(run, f"doc_id long, content binary, n long, {words}, keys array<long>")
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -224,7 +261,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / A_TASK)).alias("salt"))
-    both = salted.join(left, "a").join(salted.select("b", "salt").distinct().join(right, "b"), ["b", "salt"])
+    hubs = salted.select("b", "salt").distinct().join(right, "b")
+    both = salted.join(left, "a").join(hubs, ["b", "salt"]).sortWithinPartitions("b", "salt")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, last, hub = Shingler(), None, np.empty(0, U)
@@ -240,57 +278,84 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def with_least(edges: DataFrame) -> DataFrame:
-    """(a, b, m): each edge with the least b of its a. One a may hold a third of all edges, so it is dealt over SALTS parts."""
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    least = salted.groupBy("a", "salt").agg(F.min("b").alias("m")).withColumn("m", F.min("m").over(Window.partitionBy("a")))
-    return salted.join(least, ["a", "salt"]).select("a", "b", "m")
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each a has one b, and no b is an a."""
+    twice = edges.groupBy("a").count().where("count > 1").select("a")
+    chained = edges.select(F.col("b").alias("a")).distinct().join(edges, "a", "left_semi")
+    return twice.unionAll(chained).isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component = its smallest id) of all ids in links (a, b), by alternating large and small stars."""
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
-        ways = with_least(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-        large = with_least(ways.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
-        small = large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(large.select("a", F.col("m").alias("b"))).distinct()
-        edges = cut(small)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-
-
-def blockwise(members: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between texts of one bucket and different components; members: (bucket, size, id, component, text).
-
-    A bucket is cut by hash into as many parts as its size needs; each two parts meet in a task of their own.
+    """(id, component) of all ids in links (a, b) but those that are their own component, the smallest id of each.
+
+    Alternating large and small stars. The least neighbour of a node is an aggregate, and is stored before the edges are
+    joined with it: both sides of the join are plain tables then, so that a node with a third of all edges can be split.
     """
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while not are_stars(edges):
+        ways = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = stored(ways.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = stored(ways.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")), "large")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        pulled = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = stored(pulled.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+
+
+def cells(members: DataFrame) -> DataFrame:
+    """members (bucket, size, ...) with (i, j, second): a bucket is cut by hash of the id into as many parts as its size
+    needs, and each two parts, i and j, meet in a task of their own."""
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), parts.cast("long")).cast("int")
     meet = members.withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    meet = meet.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("second"), "id", "component", "text")
+    return meet.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).withColumn("second", F.col("part") > F.col("other")).drop("part", "other", "size")
+
+
+def odd_ones(component: np.ndarray) -> np.ndarray:
+    """Places outside the most frequent component: each pair of different components has one of them at least."""
+    values, n = np.unique(component, return_counts=True)
+    return np.flatnonzero(component != values[n.argmax()])
+
+
+def doubtful(meet: DataFrame, least: float) -> DataFrame:
+    """The rows of cells that have a partner of another component there which they might be like."""
+    limit, half = least_agreement(least), len(SKETCH) // 2
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        component, second, n = pdf["component"].to_numpy(), pdf["second"].to_numpy(), pdf["n"].to_numpy()
+        bits = pdf[SKETCH].to_numpy(np.int64)
+        found = np.zeros(len(pdf), bool)
+        for i in odd_ones(component):
+            unlike = bits ^ bits[i]
+            agree = M - np.bitwise_count(unlike[:, :half] | unlike[:, half:]).sum(axis=1, dtype=np.int64)
+            good = (agree >= limit) & (component != component[i]) & (np.minimum(n, n[i]) >= least * np.maximum(n, n[i]) - 1e-9)
+            if key[1] != key[2]:
+                good &= second != second[i]
+            if good.any():
+                found |= good
+                found[i] = True
+        return pdf.loc[found, ["bucket", "i", "j", "second", "id", "component"]]
+
+    return meet.groupBy("bucket", "i", "j").applyInPandas(run, "bucket long, i int, j int, second boolean, id long, component long")
+
+
+def bridges(meet: DataFrame, least: float) -> DataFrame:
+    """(a, b): components that two alike texts of one cell join; meet: (bucket, i, j, second, id, component, text)."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id").reset_index(drop=True)
         shingler = Shingler()
         data = pa.array(pdf["text"], pa.string())
         keys = [shingler.keys(d, o) + (U(a) << U(48)) for a, _, d, o in batches(data)]
         flat = np.concatenate(keys) if keys else np.empty(0, U)
-        text, run_id = (flat >> U(48)).astype(np.int64), flat & U((1 << 48) - 1)
         heads = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, np.int64)
         count = np.diff(np.r_[heads, len(flat)])
-        text, (values, run_no) = text[heads], np.unique(run_id[heads], return_inverse=True)
+        text = (flat[heads] >> U(48)).astype(np.int64)
+        values, run_no = np.unique(flat[heads] & U((1 << 48) - 1), return_inverse=True)
         size = np.bincount(text, count, len(pdf))
         component, second = pdf["component"].to_numpy(), pdf["second"].to_numpy()
         bounds = np.searchsorted(text, np.arange(len(pdf) + 1))
-        # the texts outside the largest component meet all others
-        values_c, n_c = np.unique(component, return_counts=True)
-        odd = np.flatnonzero(component != values_c[n_c.argmax()])
-        found, held = [], np.zeros(len(values), count.dtype)
-        for i in odd:
+        found, held = set(), np.zeros(len(values), count.dtype)
+        for i in odd_ones(component):
             mine = slice(bounds[i], bounds[i + 1])
             held[run_no[mine]] = count[mine]
             shared = np.bincount(text, np.minimum(held[run_no], count), len(pdf))
@@ -298,52 +363,63 @@ def blockwise(members: DataFrame, least: float) -> DataFrame:
             good = (shared >= least * (size + size[i] - shared) - 1e-9) & (component != component[i]) & (shared > 0)
             if key[1] != key[2]:
                 good &= second != second[i]
-            found += [(int(pdf["id"].iat[i]), int(pdf["id"].iat[j])) for j in np.flatnonzero(good)[:1000]] if good.sum() <= 1000 else spanning(pdf, i, good)
-        return pd.DataFrame(found, columns=["a", "b"])
+            found |= {(int(component[i]), int(c)) for c in np.unique(component[good])}
+        return pd.DataFrame(sorted(found), columns=["a", "b"])
 
     return meet.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
-def spanning(pdf: pd.DataFrame, i: int, good: np.ndarray) -> list[tuple[int, int]]:
-    """One link of text i to each component among many links: the same components result."""
-    firsts = pdf[good].drop_duplicates("component")["id"]
-    return [(int(pdf["id"].iat[i]), int(b)) for b in firsts]
-
-
 def classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id) of each row of docs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("content"))
     known = rows.where("doc_id IS NOT NULL")
-    same = stored(known.select("doc_id", F.sha2("text", 256).alias("content")), "contents")
-    first = same.groupBy("content").agg(F.min("doc_id").alias("first"))
-    same = same.join(first, "content").select("doc_id", "first")
-    copies = same.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    kept = first.select(F.col("first").alias("doc_id")).distinct()
-    keys = stored(band_keys(known).join(kept, "doc_id", "left_semi"), "bands")
-    buckets = keys.select(F.col("doc_id").alias("id"), F.explode("keys").alias("bucket"))
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    live = stored(buckets.join(sizes, "bucket"), "buckets")
-    central = live.groupBy("id").agg(F.sum("size").alias("central"))
-    hubs = live.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("hub"))
-    met = live.join(hubs, "bucket").where("id <> hub")
-    pairs = met.groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.max("size").alias("size"))
     texts = known.select("doc_id", F.lower("text").alias("text"))
-    star = stored(verified(pairs, texts, least), "links")
-    found = cut(components(star))
-    member = live.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = member.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("open"), F.max("size").alias("size")).where("open AND size > 2")
-    rest = member.select("bucket", "id", "component").join(split.select("bucket", "size"), "bucket")
-    more = blockwise(rest.join(texts.withColumnRenamed("doc_id", "id"), "id"), least)
-    # copies are linked to their first document only, which is a star of any size
-    final = components(star.unionAll(more).unionAll(copies))
-    ids = rows.select("doc_id")
-    return ids.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
+    first = stored(known.groupBy("content").agg(F.min("doc_id").alias("first")), "firsts")
+    marks = stored(signed(known), "signatures").join(first.withColumnRenamed("first", "doc_id"), ["content", "doc_id"], "left_semi").drop("content")
+    marks = stored(marks, "marks")
+
+    # buckets of two texts or more, and each one's hub
+    buckets = marks.select(F.col("doc_id").alias("id"), F.explode("keys").alias("bucket"))
+    sizes = stored(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    live = buckets.join(sizes, "bucket")
+    live = live.withColumn("central", F.sum("size").over(Window.partitionBy("id")))  # a text has BANDS rows
+    live = stored(live.join(marks.select(F.col("doc_id").alias("id"), "n", *SKETCH), "id"), "buckets")
+    best = F.max_by(F.struct("id", "n", *SKETCH), F.struct("central", -F.col("id")))
+    hubs = stored(live.groupBy("bucket").agg(best.alias("hub")), "hubs")
+    met = live.join(hubs.select("bucket", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("id", "n", *SKETCH)]), "bucket")
+    met = met.where((F.col("id") != F.col("hub_id")) & might_be_alike("", "hub_", least))
+    pairs = stored(met.groupBy(F.col("id").alias("a"), F.col("hub_id").alias("b")).agg(F.max("size").alias("size")), "pairs")
+    near = stored(marked(texts, "doc_id", pairs.select("a").unionAll(pairs.select("b")), "near").where("near").drop("near"), "near")
+    star = verified(pairs, near, least)
+
+    # an id with several texts joins their classes
+    several = known.groupBy("doc_id").agg(F.min(F.xxhash64("content")).alias("lo"), F.max(F.xxhash64("content")).alias("hi")).where("lo < hi")
+    few = marked(known.select("doc_id", "content"), "doc_id", several.select("doc_id"), "few").where("few").join(several, "doc_id", "left_semi")
+    same_id = few.distinct().join(first, "content").select("first", F.min("first").over(Window.partitionBy("doc_id")).alias("b"))
+    found = components(star.unionAll(same_id.select(F.col("first").alias("a"), "b")))
+
+    # what the stars leave open
+    member = live.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("central")
+    member = stored(member.where("size > 2"), "members")
+    open_ = stored(member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"), "open")
+    rest = stored(doubtful(cells(member.join(open_, "bucket")), least), "doubtful")
+    needed = marked(texts, "doc_id", rest.select("id"), "needed").where("needed").select(F.col("doc_id").alias("id"), "text")
+    joined = components(bridges(rest.join(needed, "id"), least)).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+
+    final = found.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("class_id"))
+    final = final.unionAll(joined.select("component", "whole").join(found.select("id"), F.col("component") == F.col("id"), "left_anti"))
+    named = first.join(final.withColumnRenamed("id", "first"), "first", "left").select("content", F.coalesce("class_id", "first").alias("class_id"))
+    return rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("content")).alias("content")).join(named, "content", "left").select("doc_id", "class_id")
 
 
 def one_of_each(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose id isn't their class's name; rows with a null id stay."""
-    away = classes(docs, least, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(away, id_col, "left_anti")
+    away = stored(classes(docs, least, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct(), "away")
+    mark = unused(docs, "away")
+    split = marked(docs, id_col, away, mark)
+    kept = split.where(~F.col(mark)).drop(mark)
+    return kept.unionAll(split.where(mark).drop(mark).join(away, id_col, "left_anti").select(docs.columns))
 
 
 def similarity(a: Column, b: Column) -> Column:
