@@ -4,13 +4,16 @@ Tokens are words; a token is plain (O) or toxic (T). Training takes about ``max_
 documented bound), as many toxic as plain ones. Token labels come from the document labels: in toxic documents a token is
 labelled T if its word or one of its prefixes is found after many *different* words in toxic documents and hardly ever in
 plain ones (different words before it, so that copies of one text count once). The field's features are hashed words,
-prefixes, suffixes and shapes; it is fitted by AdaGrad on the likelihood, by forward-backward over windows of tokens.
+prefixes, suffixes and shapes; it is fitted by AdaGrad on the likelihood of stretches of 32 tokens, by forward-backward.
 
-For scoring, forward-backward runs over all tokens of a whole text, in windows of ``WINDOW`` tokens. A document's score is
-a logistic function of the log of its number of surely toxic tokens; tokens with a marginal of at least 0.5 are returned as spans.
+For scoring, forward-backward runs over the whole chain of a text: the transfer matrices of stretches of ``WINDOW`` tokens
+are multiplied first, messages go from stretch to stretch through these, and then all stretches are filled in at once, so
+the marginals are those of the uncut chain. A document's score is a logistic function of the log of its number of surely
+toxic tokens; tokens with a marginal of at least 0.5 are returned as spans.
 
 Defined cases: null text is empty; an empty text has no toxic tokens and gets the score of such texts; rows with a null
-label or id aren't learned from; with no labelled rows of both kinds every score is 0; of several labels for an id the
+label or id aren't learned from; of several rows of an id the
+least text is learned from; with no labelled rows of both kinds every score is 0; of several labels for an id the
 largest counts; repeated rows are scored each; an empty table gives no rows; columns named like results are replaced.
 """
 
@@ -43,34 +46,101 @@ def feature_ids(word: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "replace")) % SIZE for x in names]
 
 
-def messages(odds: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def messages(odds: np.ndarray, trans: np.ndarray, real: np.ndarray | None = None, ahead_in: np.ndarray | None = None, back_in: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward messages, kept as ratios T : O, so a step is a handful of products and no logarithm.
 
-    odds: (steps, windows) of exp(score of T); trans: exp of the transition scores [from, to].
+    odds: (steps, stretches) of exp(score of T); trans: exp of the transition scores [from, to]; real: where tokens stand
+    (the others, at a stretch's end, aren't there). ahead_in: what comes from the token before a stretch, or NaN at the
+    first token of a text; back_in: what comes back into its last token, 1 where nothing follows.
     """
     (oo, ot), (to, tt) = trans
     steps = len(odds)
     ahead, back = np.empty_like(odds), np.ones_like(odds)
     ahead[0] = odds[0]
+    if ahead_in is not None:
+        ahead[0] = np.where(np.isnan(ahead_in), odds[0], odds[0] * (ahead_in * tt + ot) / (ahead_in * to + oo))
+    if back_in is not None:
+        back[-1] = back_in
     for t in range(1, steps):
         r = ahead[t - 1]
         ahead[t] = odds[t] * (r * tt + ot) / (r * to + oo)
     for t in range(steps - 2, -1, -1):
         r = odds[t + 1] * back[t + 1]
         back[t] = (r * tt + to) / (r * ot + oo)
+        if real is not None:
+            gone = ~real[t + 1]
+            back[t, gone] = back[t + 1, gone]
     return ahead, back
 
 
-def marginals(odds: np.ndarray, trans: np.ndarray) -> np.ndarray:
+def transfers(odds: np.ndarray, trans: np.ndarray, real: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """(2, 2, stretches): products of the steps' matrices [from, to], scaled; begins: stretches with a text's first token."""
+    (oo, ot), (to, tt) = trans
+    a, b, c, d = (np.where(begins, x, y) for x, y in ((1.0, oo), (0.0, ot), (0.0, to), (1.0, tt)))
+    b, d = b * odds[0], d * odds[0]
+    for t in range(1, len(odds)):
+        x, here = odds[t], real[t]
+        if not here.all():
+            na, nb, nc, nd = a * oo + b * to, (a * ot + b * tt) * x, c * oo + d * to, (c * ot + d * tt) * x
+            a, b, c, d = np.where(here, na, a), np.where(here, nb, b), np.where(here, nc, c), np.where(here, nd, d)
+        else:
+            a, b, c, d = a * oo + b * to, (a * ot + b * tt) * x, c * oo + d * to, (c * ot + d * tt) * x
+        if t % 8 == 0:  # exp(20 * 8) at most between two scalings
+            top = np.maximum(np.maximum(a, b), np.maximum(c, d))
+            a, b, c, d = a / top, b / top, c / top, d / top
+    return np.array([[a, b], [c, d]])
+
+
+def chain_marginals(odds: np.ndarray, trans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """P(T) of the tokens of several texts of ``sizes`` tokens each, one text after another in ``odds``."""
+    sizes = np.asarray(sizes, np.int64)
+    n = -(-sizes // WINDOW)  # stretches of each text
+    total = int(n.sum())
+    if not total:
+        return np.empty(0)
+    last = np.cumsum(n)
+    first = last - n
+    begin = np.cumsum(sizes) - sizes
+    at = np.repeat(first * WINDOW - begin, sizes) + np.arange(len(odds))
+    flat, real = np.ones(total * WINDOW), np.zeros(total * WINDOW, bool)
+    flat[at], real[at] = odds, True
+    flat, real = np.ascontiguousarray(flat.reshape(total, WINDOW).T), np.ascontiguousarray(real.reshape(total, WINDOW).T)
+    ahead_in, back_in = np.full(total, np.nan), np.ones(total)
+    long = np.flatnonzero(n > 1)
+    if len(long):
+        begins = np.zeros(total, bool)
+        begins[first[n > 0]] = True
+        of_long = np.repeat(n > 1, n)
+        moved = np.empty((2, 2, total))
+        moved[:, :, of_long] = transfers(flat[:, of_long], trans, real[:, of_long], begins[of_long])
+        long = long[np.argsort(-n[long], kind="stable")]
+        f = np.ones((2, len(long)))
+        b = np.ones((2, len(long)))
+        for k in range(int(n[long[0]]) - 1):  # from stretch to stretch, all texts that have so many at once
+            live = long[: int(np.searchsorted(-n[long], -(k + 1), side="left"))]
+            w = first[live] + k
+            f = np.einsum("ix,ijx->jx", f[:, : len(live)], moved[:, :, w])
+            f /= f.max(axis=0)
+            ahead_in[w + 1] = f[1] / np.maximum(f[0], 1e-300)
+            w = last[live] - 1 - k
+            b = np.einsum("ijx,jx->ix", moved[:, :, w], b[:, : len(live)])
+            b /= b.max(axis=0)
+            back_in[w - 1] = b[1] / np.maximum(b[0], 1e-300)
+    ahead, back = messages(flat, trans, real, ahead_in, back_in)
+    both = ahead * back
+    return np.ascontiguousarray((both / (1 + both)).T).reshape(-1)[at]
+
+
+def marginals(odds: np.ndarray, trans: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
     """P(T) of each token."""
-    ahead, back = messages(odds, trans)
+    ahead, back = messages(odds, trans, real)
     both = ahead * back
     return both / (1 + both)
 
 
-def pair_marginals(odds: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """P(from, to) of each two neighbouring tokens: (2, 2, steps - 1, windows)."""
-    ahead, back = messages(odds, trans)
+def pair_marginals(odds: np.ndarray, trans: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
+    """P(from, to) of each two neighbouring tokens: (2, 2, steps - 1, stretches)."""
+    ahead, back = messages(odds, trans, real)
     after = odds[1:] * back[1:]
     one = np.ones_like(after)
     joint = np.stack([np.stack([trans[0, 0] * one, trans[0, 1] * after]), ahead[:-1] * np.stack([trans[1, 0] * one, trans[1, 1] * after])])
@@ -83,6 +153,8 @@ def token_labels(texts: list[str], toxic: np.ndarray, least: float = 0.005, rate
     before: dict[str, set[int]] = defaultdict(set)
     plain: Counter[str] = Counter()
     seen: Counter[str] = Counter()
+    bad_docs, good_docs = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    enough = max(4, least * bad_docs)
     for ws, bad in zip(words, toxic, strict=True):
         own = set()
         for i, w in enumerate(ws):
@@ -90,52 +162,53 @@ def token_labels(texts: list[str], toxic: np.ndarray, least: float = 0.005, rate
             if bad:
                 ahead = zlib.crc32(ws[i - 1].encode("utf-8", "replace")) if i else 0
                 for p in parts(w):
-                    if len(before[p]) < 200:
+                    if len(before[p]) < enough:  # no more are needed
                         before[p].add(ahead)
         (seen if bad else plain).update(own)
-    bad_docs, good_docs = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    enough = max(4, least * bad_docs)
     telling = {p for p, s in before.items() if len(s) >= enough and plain[p] / good_docs <= rate * seen[p] / bad_docs}
     return words, [np.fromiter((bad and any(p in telling for p in parts(w)) for w in ws), bool, len(ws)) for ws, bad in zip(words, toxic, strict=True)]
 
 
 def fit_field(words: list[list[str]], labels: list[np.ndarray], steps: int = 32, passes: int = 6, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Feature weights of T against O, and transition scores; windows without toxic tokens are thinned to as many again."""
-    windows = [(ws[i : i + steps], ys[i : i + steps]) for ws, ys in zip(words, labels, strict=True) for i in range(0, len(ws), steps)]
+    """Feature weights of T against O, and transition scores; stretches without toxic tokens are thinned to as many again."""
+    stretches = [(ws[i : i + steps], ys[i : i + steps]) for ws, ys in zip(words, labels, strict=True) for i in range(0, len(ws), steps)]
     rng = np.random.default_rng(seed)
-    odd, even = [w for w in windows if w[1].any()], [w for w in windows if not w[1].any()]
+    odd, even = [w for w in stretches if w[1].any()], [w for w in stretches if not w[1].any()]
     picked = odd + [even[i] for i in rng.permutation(len(even))[: 2 * len(odd) + 200]]
-    weights, trans = np.zeros(SIZE), np.array([[1.0, -1.0], [0.0, 0.0]])
-    grown, grown_t = np.full(SIZE, 1e-6), np.full((2, 2), 1e-6)
-    cache: dict[str, list[int]] = {}
+    # each stretch as numbers of words; a word's features, filled up with one that always weighs 0
+    number: dict[str, int] = {}
+    token, gold, real = np.zeros((len(picked), steps), np.int64), np.zeros((len(picked), steps)), np.zeros((len(picked), steps), bool)
+    for j, (ws, ys) in enumerate(picked):
+        token[j, : len(ws)] = [number.setdefault(w, len(number)) for w in ws]
+        gold[j, : len(ys)], real[j, : len(ws)] = ys, True
+    features = np.full((max(1, len(number)), 8), SIZE)
+    for w, i in number.items():
+        ids = feature_ids(w)
+        features[i, : len(ids)] = ids
+    weights, trans = np.zeros(SIZE + 1), np.array([[1.0, -1.0], [0.0, 0.0]])
+    grown, grown_t = np.full(SIZE + 1, 1e-6), np.full((2, 2), 1e-6)
     for _ in range(passes if odd else 0):
         order = rng.permutation(len(picked))
         for at in range(0, len(order), 256):
-            batch = [picked[i] for i in order[at : at + 256]]
-            token, place, gold = [], [], np.zeros((steps, len(batch)))
-            mask = np.zeros((steps, len(batch)))
-            for j, (ws, ys) in enumerate(batch):
-                mask[: len(ws), j], gold[: len(ys), j] = 1, ys
-                for t, w in enumerate(ws):
-                    ids = cache.get(w) or cache.setdefault(w, feature_ids(w))
-                    token += ids
-                    place += [t * len(batch) + j] * len(ids)
-            token_a, place_a = np.array(token), np.array(place)
-            score = np.bincount(place_a, weights[token_a], steps * len(batch)).reshape(steps, -1)
-            odds, step = np.exp(np.clip(score, -20, 20)), np.exp(trans)
-            held = np.where(mask > 0, odds, 1.0)
-            p, joint = marginals(held, step), pair_marginals(held, step)
-            slope = np.bincount(token_a, ((p - gold) * mask).reshape(-1)[place_a], SIZE) + 1e-3 * weights
+            some = order[at : at + 256]
+            here, g = real[some].T, gold[some].T
+            own, which = np.unique(token[some].T, return_inverse=True)
+            score = weights[features[own]].sum(axis=1)[which.reshape(here.shape)]
+            odds, step = np.where(here, np.exp(np.clip(score, -20, 20)), 1.0), np.exp(trans)
+            p, joint = marginals(odds, step, here), pair_marginals(odds, step, here)
+            error = np.bincount(which.reshape(-1), np.where(here, p - g, 0.0).reshape(-1), len(own))
+            slope = np.bincount(features[own].reshape(-1), np.repeat(error, features.shape[1]), SIZE + 1) + 1e-3 * weights
+            slope[SIZE] = 0.0
             grown += slope * slope
             weights -= 0.5 * slope / np.sqrt(grown)
-            pair, g = mask[1:] * mask[:-1], gold
+            pair = here[1:] & here[:-1]
             for a in (0, 1):
                 for b in (0, 1):
-                    want = ((g[:-1] == a) & (g[1:] == b)) * pair
-                    d = float((joint[a, b] * pair - want).sum()) + 1e-2 * trans[a, b]
+                    want = (g[:-1] == a) & (g[1:] == b)
+                    d = float(((joint[a, b] - want) * pair).sum()) + 1e-2 * trans[a, b]
                     grown_t[a, b] += d * d
                     trans[a, b] -= 0.1 * d / np.sqrt(grown_t[a, b])
-    return weights, trans
+    return weights[:SIZE], trans
 
 
 class Field:
@@ -161,19 +234,10 @@ class Odds(dict):
 
 def token_marginals(texts: list[str], field: Field, odds: Odds) -> list[np.ndarray]:
     """P(T) of each word of each text, all texts in one run of forward-backward."""
-    step = np.exp(field.trans)
-    found, sizes = [], []
-    for t in texts:
-        words = WORD.findall(t)
-        sizes.append(len(words))
-        pad = -len(words) % WINDOW
-        found.append(np.concatenate([np.fromiter(map(odds.__getitem__, words), np.float64, len(words)), np.ones(pad)]))
-    flat = np.concatenate(found) if found else np.empty(0)
-    if not len(flat):
-        return [np.empty(0) for _ in texts]
-    p = np.ascontiguousarray(marginals(np.ascontiguousarray(flat.reshape(-1, WINDOW).T), step).T).reshape(-1)
-    ends = np.cumsum([len(f) for f in found])
-    return [p[e - len(f) : e - len(f) + n] for e, f, n in zip(ends, found, sizes, strict=True)]
+    words = [WORD.findall(t) for t in texts]
+    sizes = [len(w) for w in words]
+    flat = np.fromiter((odds[w] for ws in words for w in ws), np.float64, sum(sizes))
+    return np.split(chain_marginals(flat, np.exp(field.trans), np.array(sizes, np.int64)), np.cumsum(sizes)[:-1]) if texts else []
 
 
 def evidence(p: np.ndarray) -> float:
@@ -212,6 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, max_rows: int = 5000
     limit = lambda n: int((1 << 40) * min(1.0, 0.48 * max_rows / max(1, n)))
     chosen = known.withColumn("order", order).where(F.col("order") < F.when(F.col("toxic") == 1, F.lit(limit(bad))).otherwise(F.lit(limit(good))))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by max_rows
+    rows = rows.groupBy("doc_id", "order", "toxic").agg(F.min("text").alias("text"))  # one row an id, however often it occurs
     share = bad / max(1, bad + good)
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
