@@ -1,10 +1,10 @@
 """SentencePiece encoding by forward-filtering backward-sampling over the piece lattice, and lossless decoding.
 
-A text, with one space put before it, is cut before each space and around each newline (no piece crosses these; runs of
-more than ``LONGEST`` characters are cut there, too). The lattice of such a unit has an arc for each piece of the model
-that matches, and for a character without a piece an arc that spells its UTF-8 bytes. Arc weights are
+A text, with one space put before it, is cut before each run of spaces and around each newline, which no piece of the
+model crosses (a model with such pieces is refused). The lattice of such a unit has an arc for each piece of the model that
+matches, and for a character without a piece an arc that spells its UTF-8 bytes. Arc weights are
 ``exp(alpha * log p)``, where p follows Zipf's law in the piece's rank in the model. Forward filtering sums weights up
-to each position; backward sampling then draws arcs from the end, so whole segmentations are drawn with probability in
+to each position, scaled by logarithms, so a unit may have any length; backward sampling then draws arcs from the end, so whole segmentations are drawn with probability in
 proportion to their weight. The numbers drawn are a hash of (row key, seed, unit, step): a row's segmentation depends
 neither on the partitioning nor on other rows.
 
@@ -14,7 +14,7 @@ decoding returns each text exactly.
 
 Defined cases: a null text has null ids; an empty text has none, and decodes to an empty text; rows with equal keys and
 texts get equal segmentations; an empty table gives no rows; other columns, whatever their names, pass unchanged
-(result columns replace columns of the same name).
+(result columns replace columns of the same name, in any case).
 """
 
 from __future__ import annotations
@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veldra.llm.common import unused
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNIT = re.compile(r" [^ \n]*|\n|[^ \n]+")
-LONGEST, DEEPEST = 200, 16
+UNIT = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 SPELT = 1 << 24  # arcs that spell a character as bytes are numbered from here
 KEEP = 5_000_000  # arcs kept between batches
 
@@ -43,10 +44,12 @@ def pieces_of(model_file: str) -> tuple[list[tuple[int, str]], list[int], int]:
 
     p = sentencepiece.SentencePieceProcessor(model_file=model_file)
     size = p.get_piece_size()
-    ordinary = [i for i in range(size) if not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i) or p.is_byte(i)) and p.get_score(i) > -1e8]
+    ordinary = [i for i in range(size) if not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i) or p.is_byte(i)) and (p.get_score(i) > -1e8 or not p.id_to_piece(i).strip("▁"))]
     ordinary.sort(key=lambda i: -p.get_score(i))
     texts = [(i, p.id_to_piece(i)) for i in ordinary]
-    return [(i, t.replace("▁", " ")) for i, t in texts if "▁" not in t[1:]], [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)], size
+    if any("▁" in t.lstrip("▁") or "\n" in t for _, t in texts):
+        raise ValueError(f"{model_file} has pieces that go on after a word's end")
+    return [(i, t.replace("▁", " ")) for i, t in texts], [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)], size
 
 
 class Speller:
@@ -73,9 +76,9 @@ class Lattice:
         total = np.log(np.arange(len(pieces)) + 2.7)
         log_p = -total - np.log(np.exp(-total).sum())
         self.log_p = np.full(size, 2 * log_p.min())
+        self.deepest = max((len(text) for _, text in pieces), default=1)
+        self.shift = self.deepest.bit_length()
         for rank, (i, text) in enumerate(pieces):
-            if len(text) > DEEPEST:
-                continue
             self.log_p[i] = log_p[rank]
             node = 0
             for c in reversed(text):
@@ -89,7 +92,7 @@ class Lattice:
         order = np.argsort(keys)
         self.keys, self.next = keys[order], np.array(list(children.values()), np.int64)[order]
         self.ends = np.array(ends, np.int64)
-        self.alpha, self.per_char, self.spelt = alpha, 2.5, float(log_p.min())
+        self.alpha, self.spelt = alpha, float(log_p.min())
         self.forget()
 
     def forget(self) -> None:
@@ -115,7 +118,7 @@ class Lattice:
         at, node = np.arange(len(chars)), np.zeros(len(chars), np.int64)
         found = []
         whole = np.zeros(len(chars), bool)
-        for d in range(1, DEEPEST + 1):
+        for d in range(1, self.deepest + 1):
             key = node << 21 | chars[at - d + 1]
             i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[i] == key
@@ -140,24 +143,27 @@ class Lattice:
         ordinary = piece < SPELT
         log_w = np.full(len(piece), self.spelt)
         log_w[ordinary] = self.log_p[piece[ordinary]]
-        many = np.select([piece - SPELT < 0x80, piece - SPELT < 0x800, piece - SPELT < 0x10000], [1, 2, 3], 4)
-        log_w[~ordinary] *= many[~ordinary]
-        weight = np.exp(self.alpha * (log_w + self.per_char * length))
-        order = np.argsort(place[end] << 40 | end << 5 | (DEEPEST - length))
-        end, length, piece, weight = end[order], length[order], piece[order], weight[order]
+        in_bytes = np.select([piece - SPELT < 0x80, piece - SPELT < 0x800, piece - SPELT < 0x10000], [1, 2, 3], 4)
+        log_w[~ordinary] *= in_bytes[~ordinary]
+        log_w *= self.alpha
+        order = np.lexsort((-length, end, place[end]))
+        end, length, piece, log_w = end[order], length[order], piece[order], log_w[order]
         inside = place[end]
         steps = np.flatnonzero(np.r_[True, inside[1:] != inside[:-1], True])
-        ahead = np.ones(len(place))
+        ahead = np.zeros(len(place))  # logarithm of the weight of all ways up to a position
         cum = np.empty(len(end))
         for a, b in zip(steps[:-1], steps[1:], strict=True):
             e, n = end[a:b], length[a:b]
-            w = weight[a:b] * np.where(inside[a] >= n, ahead[e - n], 1.0)
+            log_v = log_w[a:b] + np.where(inside[a] >= n, ahead[e - n], 0.0)
             heads = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
+            many = np.diff(np.r_[heads, b - a])
+            top = np.maximum.reduceat(log_v, heads)
+            w = np.exp(log_v - np.repeat(top, many))
             total = np.add.reduceat(w, heads)
-            ahead[e[heads]] = total
-            run = np.cumsum(w / np.repeat(total, np.diff(np.r_[heads, b - a])))
-            cum[a:b] = run - np.repeat(np.r_[0.0, run[heads[1:] - 1]], np.diff(np.r_[heads, b - a]))
-        order = np.argsort(end << 5 | (DEEPEST - length))
+            ahead[e[heads]] = top + np.log(total)
+            run = np.cumsum(w / np.repeat(total, many))
+            cum[a:b] = run - np.repeat(np.r_[0.0, run[heads[1:] - 1]], many)
+        order = np.argsort(end << self.shift | (self.deepest - length))
         end, length, piece, cum = end[order], length[order], piece[order], cum[order]
         heads = np.flatnonzero(np.r_[True, end[1:] != end[:-1]])
         cum[np.r_[heads[1:] - 1, len(cum) - 1]] = 2.0  # the last arc takes what rounding leaves
@@ -174,10 +180,7 @@ class Lattice:
         """Ids of each text."""
         units: list[list[str]] = []
         for t in texts:
-            own = UNIT.findall(" " + t) if t else []
-            if own and max(map(len, own)) > LONGEST:
-                own = [u[i : i + LONGEST] for u in own for i in range(0, len(u), LONGEST)]
-            units.append(own)
+            units.append(UNIT.findall(" " + t) if t else [])
         seen = Counter(chain.from_iterable(units))
         new = seen.keys() - self.at.keys()
         again = [u for u in new if seen[u] > 1] if self.n < KEEP else []
@@ -244,8 +247,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _replaced(schema: T.StructType, *added: T.StructField) -> T.StructType:
-    names = {f.name for f in added}
-    return T.StructType([f for f in schema.fields if f.name not in names] + list(added))
+    names = {f.name.lower() for f in added}
+    return T.StructType([f for f in schema.fields if f.name.lower() not in names] + list(added))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL, alpha: float = 0.6, seed: int = 1, out: str = "ids", keep_text: bool = True, check: str | None = None, rows: int = 256) -> DataFrame:
@@ -254,7 +257,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     check: name of one more column, whether decoding the ids gives the text again. keep_text: whether the text stays.
     """
     model = pieces_of(model_file)  # read on the driver: executors need no file
-    keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), F.col(id_col)))
+    key = unused(docs, "key")
+    keyed = docs.withColumn(key, F.xxhash64(F.lit(seed), F.col(id_col)))
     added = [T.StructField(out, T.ArrayType(T.IntegerType()))] + ([T.StructField(check, T.BooleanType())] if check else [])
     schema = _replaced(docs.schema if keep_text else docs.drop(text_col).schema, *added)
     names = [f.name for f in schema.fields[: -len(added)]]
@@ -265,7 +269,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
                 texts = batch.column(text_col).to_pylist()
-                keys = batch.column("_key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                keys = batch.column(key).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 ids = lattice.sample([t or "" for t in texts], keys)
                 sizes = np.array([len(x) for x in ids], np.int32)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
@@ -281,7 +285,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model_file: str = MODEL, ou
     """encoded with ``out``: the text that the ids stand for."""
     model = pieces_of(model_file)
     schema = _replaced(encoded.schema, T.StructField(out, T.StringType()))
-    names = [f.name for f in schema.fields if f.name != out]
+    names = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = Speller(*model)
