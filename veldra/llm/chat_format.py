@@ -10,7 +10,7 @@ where ``<next>`` stands between the merged turns of a block, so that every turn
 writing is reversible. The loss mask covers the texts of assistant turns, without the control strings around them.
 
 Defined cases: null texts and roles are empty; turns that tie are ordered by role, then text; repeated rows stay; rows
-with a null conversation id form one conversation; an empty table gives no rows; other columns are ignored.
+with a null conversation id form one conversation, as GROUP BY has it; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,19 +44,21 @@ def format_chats(turns: DataFrame, trained_role: str = "assistant") -> DataFrame
     )
     sorted_turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
 
-    def pieces(t: Column, i: Column) -> Column:
-        before, after = F.get("ts", i - 1)["role"], F.get("ts", i + 1)["role"]
-        same = F.coalesce(before == t["role"], F.lit(False))
-        more = F.coalesce(after == t["role"], F.lit(False))
-        head = F.when(same, F.lit(NEXT)).otherwise(F.concat(F.lit(OPEN), escaped(t["role"]), F.lit(SHUT)))
-        tail = F.when(more, F.lit("")).otherwise(F.lit(END))
-        segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-        return F.array(
-            segment(head, F.lit(False)), segment(escaped(t["text"]), t["role"] == trained_role), segment(tail, F.lit(False))
-        )
-
-    segments = F.flatten(F.transform("ts", pieces))
-    return sorted_turns.select("conv_id", segments.alias("segments")).withColumn(
+    # a block begins where the role is another than before; its turns are a slice
+    places = F.transform("ts", lambda t, i: F.when((i == 0) | (F.get("ts", i - 1)["role"] != t["role"]), i + 1))
+    begun = sorted_turns.select("conv_id", "ts", F.filter(places, lambda i: i.isNotNull()).alias("begins"))
+    until = lambda i: F.coalesce(F.get("begins", i + 1), F.size("ts") + 1)
+    merged = F.transform("begins", lambda b, i: F.struct(F.get("ts", b - 1)["role"].alias("role"), F.transform(F.slice("ts", b, until(i) - b), lambda t: t["text"]).alias("texts")))
+    segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+
+    def written(block: Column) -> Column:
+        learn = block["role"] == trained_role
+        text = lambda t, i: F.array(segment(F.when(i == 0, F.lit("")).otherwise(F.lit(NEXT)), F.lit(False)), segment(escaped(t), learn))
+        head, tail = F.concat(F.lit(OPEN), escaped(block["role"]), F.lit(SHUT)), F.lit(END)
+        return F.concat(F.array(segment(head, F.lit(False))), F.flatten(F.transform(block["texts"], text)), F.array(segment(tail, F.lit(False))))
+
+    blocks = begun.select("conv_id", merged.alias("blocks"))
+    return blocks.select("conv_id", F.flatten(F.transform("blocks", written)).alias("segments")).withColumn(
         "formatted", F.array_join(F.transform("segments", lambda s: s["text"]), "")
     )
 
