@@ -63,5 +63,13 @@ def marked(rows: DataFrame, id_col: str, ids: DataFrame, out: str) -> DataFrame:
     return found.select(*rows.columns, F.coalesce(seen, F.lit(False)).alias(out))
 
 
+def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows whose id, the column that ids has, isn't among ids; rows with a null id stay. Only marked rows are joined."""
+    id_col, mark = ids.columns[0], unused(rows, "mark")
+    split = marked(rows, id_col, ids, mark)
+    kept = split.where(~F.col(mark)).drop(mark)
+    return kept.unionAll(split.where(mark).drop(mark).join(ids, id_col, "left_anti").select(rows.columns))
+
+
 def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

@@ -9,7 +9,7 @@ walked only if some item could reach the threshold by the exact sum over its sho
 of the question's and of the answer's word runs of five that occur in the passage must both reach ``overlap``. The answer
 is the item's last sentence, the question what precedes it (an item of one sentence is cut in the middle).
 
-The index goes to the tasks in shards of about ``SHARD`` items, so what is sent at once is bounded however large the
+The index goes to the tasks in shards of about ``SHARD`` items and ``SHARD_CHARS`` characters, so what is sent at once is bounded however large the
 benchmark is; each further shard is a further pass over the documents. Scores and passages don't depend on the shards: the
 number of items, their mean and largest lengths and the document frequencies of a shard's words are those of all items.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-RUN, BLOCK, SHARD, SHORT = 5, 32, 20_000, 20
+RUN, BLOCK, SHARD, SHARD_CHARS, SHORT = 5, 32, 20_000, 8_000_000, 20
 K1, B = 1.2, 0.75
 
 
@@ -211,11 +211,11 @@ class Codes(dict):
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.6, overlap: float = 0.8) -> DataFrame:
     """(doc_id, item_id, bm25_share, question_overlap, answer_overlap) of each verified pair."""
     items = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.count()
-    shards = max(1, -(-total // SHARD))
+    total, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    shards = max(1, -(-total // SHARD), -(-chars // SHARD_CHARS))
     schema = "doc_id long, item_id long, bm25_share double, question_overlap double, answer_overlap double"
 
-    # hash-cut, so of about SHARD rows
+    # hash-cut, so of about SHARD rows and SHARD_CHARS characters
     items = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)))
     if shards > 1:
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldra.llm.common import marked, stored, unused
+from veldra.llm.common import marked, stored, without
 
 WORDS, M, BANDS, ROWS, BLOCK = 5, 128, 25, 5, 1000
 A_TASK = 500  # texts compared with one copy of a hub's text
@@ -416,10 +416,7 @@ def classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_co
 def one_of_each(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose id isn't their class's name; rows with a null id stay."""
     away = stored(classes(docs, least, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct(), "away")
-    mark = unused(docs, "away")
-    split = marked(docs, id_col, away, mark)
-    kept = split.where(~F.col(mark)).drop(mark)
-    return kept.unionAll(split.where(mark).drop(mark).join(away, id_col, "left_anti").select(docs.columns))
+    return without(docs, away)
 
 
 def similarity(a: Column, b: Column) -> Column:
