@@ -59,21 +59,74 @@ SENTENCES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
     ],
     "bsd_keep": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
+    "bsd_binary": [
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    ],
+    "bsd_endorse": [
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    ],
+    "isc_grant": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "gpl2_free": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ],
+    "agpl_free": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ],
+    "lgpl_free": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ],
+    "lgpl_hope": [
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    ],
+    "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "zlib_as_is": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib_grant": [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"
+    ],
+    "bsl_grant": [
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"
+    ],
+    "epl_ref": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "cc0_ref": ["Licensed under CC0 1.0.", "This work is licensed under CC0 1.0."],
     "ccbync_ref": ["Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0."],
     "ccby_ref": ["Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0."],
     "ccbysa_ref": ["Licensed under CC BY-SA 4.0.", "This work is licensed under CC BY-SA 4.0."],
     "mpl_ref": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0",
+    "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
+SENTENCES |= {f"spdx_{name}": [f"SPDX-License-Identifier: {name}"] for name in SPDX}
 # fixed values: licence rules in the order in which they are tried
 RULES = [
     ("MIT", ["mit_title", "mit_grant", "mit_notice", "as_is"]),
     ("Apache-2.0", ["apache_ref", "apache_use", "apache_copy", "apache_basis"]),
     ("MIT", ["mit_grant", "mit_notice", "as_is"]),
+    ("BSD-3-Clause", ["bsd_grant", "bsd_keep", "bsd_binary", "bsd_endorse"]),
+    ("BSD-2-Clause", ["bsd_grant", "bsd_keep", "bsd_binary"]),
     ("GPL-3.0-or-later", ["gpl_free", "gpl_hope"]),
-    ("BSD-3-Clause", ["bsd_grant", "bsd_keep"]),
+    ("GPL-2.0-or-later", ["gpl2_free", "gpl_hope"]),
+    ("AGPL-3.0-or-later", ["agpl_free", "gpl_hope"]),
+    ("LGPL-2.1-or-later", ["lgpl_free", "lgpl_hope"]),
+    ("BSD-2-Clause", ["bsd_grant", "bsd_keep"]),  # what both have, cut off before the clause that tells them apart
+    ("Zlib", ["zlib_as_is", "zlib_grant"]),
     ("MIT", ["mit_title", "mit_grant"]),
     ("MIT", ["mit_grant"]),
     ("GPL-3.0-or-later", ["gpl_free"]),
+    ("GPL-2.0-or-later", ["gpl2_free"]),
+    ("AGPL-3.0-or-later", ["agpl_free"]),
+    ("LGPL-2.1-or-later", ["lgpl_free"]),
+    ("ISC", ["isc_grant"]),
+    ("Unlicense", ["unlicense"]),
+    ("Zlib", ["zlib_grant"]),
+    ("BSL-1.0", ["bsl_grant"]),
+    ("EPL-2.0", ["epl_ref"]),
+    ("CC0-1.0", ["cc0_ref"]),
     ("MIT", ["mit_ref"]),
     ("Apache-2.0", ["apache_ref"]),
     ("GPL-3.0-only", ["gpl3_ref"]),
@@ -86,8 +139,9 @@ RULES = [
     ("CC-BY-SA-4.0", ["ccbysa_ref"]),
     ("MPL-2.0", ["mpl_ref"]),
     ("MIT", ["mit_title"]),
+    *((name, [f"spdx_{name}"]) for name in SPDX),
 ]
-TRIGGERS = ("licen", "warrant", "permission", "redistribut")
+TRIGGERS = ("licen", "warrant", "permission", "redistribut", "unencumbered")
 BREAK = r"(?<=[.!?;:])\s+|[\n\r]+"
 
 
