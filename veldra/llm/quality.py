@@ -9,7 +9,7 @@ of the id, in ``SHARDS`` shards; each shard is one task that reads its rows in h
 averaged. At most ``1 << BITS`` weights reach the driver and are sent out again (2 MB).
 
 Defined cases: null text is empty; an empty text scores by the bias alone; rows with a null label, or a null id, aren't
-learned from; with no labelled rows every score is 0.5; of several labels for an id the largest counts; repeated rows are
+learned from; of several rows of an id the least text is learned from; with no labelled rows every score is 0.5; of several labels for an id the largest counts; repeated rows are
 scored each; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -99,6 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "qu
     """Averaged weights; keep: which label rows may be learned from."""
     chosen = labelled(labels, label_col, keep, max_rows)  # max_rows rows of 20 bytes: a proven bound for the broadcast
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "order", "label").agg(F.min("text").alias("text"))  # one row an id, however often it occurs
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         codes = Codes()
