@@ -34,9 +34,10 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 
 # fixed values: gazetteers and cue words
-MAIL_ENDS = r"\.(com|net|org|edu|gov|info|io|de|fr|es|uk|eu)$"
-ISSUERS = r"^(4|5[1-5]|2[2-7]|3[47]|6011|65)"
-COUNTRIES = r"^\+(1|33|34|39|41|43|44|49|52|54|55|61|81|86|91)\b"
+MAIL_ENDS = r"\.(com|net|org|edu|gov|mil|int|info|biz|name|pro|coop|museum|aero|jobs|mobi|travel|app|dev|cloud|online|shop|site|store|tech|xyz|blog|email|[a-z]{2})$"
+ISSUERS = r"^(4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|30[0-59]|3[689]|35[2-8]|6011|64[4-9]|65|62)"
+# country calling codes in use, by zones
+COUNTRIES = r"^\+(1|7|2[07]|21[12368]|2[23][0-9]|24[0-9]|25[0-8]|26[0-9]|29[01789]|3[0-469]|35[0-9]|37[0-8]|38[0-35-79]|4[013-9]|42[013]|5[1-8]|50[0-9]|59[0-9]|6[0-6]|67[02-9]|68[0-35-9]|69[0-2]|8[1246]|80[08]|85[02356]|87[0-9]|88[0-368]|9[0-58]|96[0-8]|97[0-79]|99[2-689])"
 RESERVED = r"^(0|127|255)\."
 CUES = {
     "email": r"(mail|contact|write|address)",
@@ -129,7 +130,7 @@ def judged(text: Column, spans: Column) -> Column:
             F.when(kind == "email", F.when(F.lower(value).rlike(MAIL_ENDS), 1).otherwise(0))
             .when(kind == "ip", F.when(value.rlike(RESERVED), -1).otherwise(0))
             .when(kind == "card", F.when(_digits(value).rlike(ISSUERS), 1).otherwise(-1))
-            .when(kind == "phone", F.when(value.rlike(COUNTRIES), 1).otherwise(0))
+            .when(kind == "phone", F.when(F.concat(F.lit("+"), _digits(value)).rlike(COUNTRIES), 1).otherwise(-1))
             .otherwise(F.when(F.lower(value).rlike("password|token|secret"), 1).otherwise(0))
         )
         cue = F.lit(False)
