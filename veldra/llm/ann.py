@@ -1,8 +1,10 @@
 """Nearest neighbours by cosine over randomly rotated one-bit codes.
 
-Each vector is normalised, rotated into ``bits`` dimensions by one random orthonormal matrix (fixed seed) and kept as its
-signs, packed, with a correction scalar: the inner product of the rotated vector and its sign vector. From these the inner
-product with a query is estimated without bias, and it lies within ``sureness`` deviations of the estimate. In a block, the
+Each vector is scaled by a power of two, normalised, rotated into ``bits`` dimensions by one random orthonormal matrix
+(fixed seed) and kept as its signs, packed in words, with a correction scalar: the inner product of the rotated vector and
+its sign vector. A rotated query is rounded to ``PLANES`` bits a component, and its inner product with a sign vector is a
+weighted sum of bit counts of packed words. From this the inner product with the query is estimated without bias; it lies
+within ``sureness`` deviations, and what the rounding can add, of the estimate. In a block, the
 vectors with the best estimates are measured exactly; then each further one whose upper bound reaches the k-th exact
 measure is, too. Estimates only choose what is measured: the scores returned are cosines of the original vectors in double
 precision, ties go to the smaller id.
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUP = 16
+GROUP, PLANES = 16, 6
 
 
 def rotation(dim: int, bits: int, seed: int) -> np.ndarray:
@@ -34,8 +36,14 @@ def rotation(dim: int, bits: int, seed: int) -> np.ndarray:
     return np.ascontiguousarray(q.T)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, their largest component within [0.5, 1): no square over- or underflows, cosines stay."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 def encode(vectors: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Packed signs and correction scalars of float64 rows."""
+    vectors = scaled(vectors)
     unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
     turned = unit @ rotation(vectors.shape[1], bits, seed)
     return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(bits)
@@ -49,15 +57,24 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, corr: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int, sureness: float, seed: int) -> list[tuple[int, int, float]]:
     bits = codes.shape[1] * 8
+    words = np.ascontiguousarray(codes).view(np.uint64)
+    ones = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+    vectors, queries = scaled(vectors), scaled(queries)
     norms = np.sqrt((vectors * vectors).sum(axis=1))
     qnorms = np.sqrt((queries * queries).sum(axis=1))
-    signs = np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
-    turned = ((queries / qnorms[:, None]) @ rotation(queries.shape[1], bits, seed)).astype(np.float32)
-    estimate = (turned @ signs.T) / (np.sqrt(bits) * corr)[None, :].astype(np.float32)
-    margin = (sureness * np.sqrt(np.maximum(0.0, 1 - corr**2)) / corr / np.sqrt(bits - 1) + 1e-5).astype(np.float32)
+    turned = (queries / qnorms[:, None]) @ rotation(queries.shape[1], bits, seed)
+    margin = sureness * np.sqrt(np.maximum(0.0, 1 - corr**2)) / corr / np.sqrt(bits - 1) + 1e-5
+    low, step = turned.min(axis=1), np.maximum(np.ptp(turned, axis=1), 1e-12) / (2**PLANES - 1)
+    levels = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+    rounded = low[:, None] + levels * step[:, None]
+    off = np.sqrt(((turned - rounded) ** 2).sum(axis=1))  # times the length of a sign vector: what rounding can add
+    planes = [np.packbits(levels >> p & 1, axis=1).view(np.uint64) for p in range(PLANES)]
     found = []
     for i, qid in enumerate(qids):
-        upper = estimate[i] + margin
+        # <signs, q> = 2 <ones, q> - sum(q), and <ones, q> comes from bit counts, one plane of q's levels after another
+        counted = sum((np.bitwise_count(words & planes[p][i]).sum(axis=1, dtype=np.int64) << p for p in range(PLANES)), np.zeros(len(ids), np.int64))
+        estimate = (2 * (low[i] * ones + step[i] * counted) - rounded[i].sum()) / (np.sqrt(bits) * corr)
+        upper = estimate + margin + off[i] / corr
         upper[ids == qid] = -np.inf
         first = np.argpartition(-upper, min(4 * k, len(ids) - 1))[: 4 * k]
         first = first[upper[first] > -np.inf]
@@ -87,7 +104,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         for pdf in it:
             for dim, part in pdf.groupby("dim"):
                 mat = np.array(part["v"].tolist(), dtype=np.float64)
-                codes, corr = encode(mat, max(bits, -(-int(dim) // 8) * 8), seed)
+                codes, corr = encode(mat, -(-max(bits, int(dim)) // 64) * 64, seed)
                 yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "dim": int(dim), "raw": [x.tobytes() for x in mat], "code": [x.tobytes() for x in codes], "corr": corr})
 
     coded = rows.mapInPandas(index, "vec_id long, dim int, raw binary, code binary, corr double")
