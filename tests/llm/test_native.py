@@ -1,6 +1,7 @@
 """The operators made of DataFrame functions only: against plain Python on fixtures and on the smallest tables."""
 
 import hashlib
+import random
 import re
 import textwrap
 
@@ -79,6 +80,34 @@ def test_em_trusts_the_better_labeler():
     assert min(model.reliability["email"][0], model.reliability["email"][3]) >= model.reliability["email"][1]
 
 
+def test_pii_added_spans_are_right(spark):
+    """Planted hidden mail addresses and secrets among look-alikes: precision and recall of what the method adds."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abcdefghijkmnpqrstuvwxyz", k=n))
+    key = lambda: "".join(rng.choices("abcdef0123456789", k=20))
+    rows, planted = [], set()
+    for i in range(400):
+        mail, secret = f"{word(6)} [at] {word(7)} [dot] {rng.choice(['com', 'org', 'de'])}", key()
+        before, value = rng.choice([("please write to ", mail), ("contact: ", mail), ("user login password=", secret), ("auth token: ", secret), ("credential api_key = ", secret), ("", "")])
+        near = rng.choice(["the token: ring", "meet us [at] noon", "a secret = ", "version 1.2.3.400 of it", "order 12 and 13", "plain words"])
+        head = f"{word(5)} {word(4)} "
+        text = f"{head}{before}{value} {word(5)}. {near} {word(4)}"
+        rows.append((i, text))
+        if value:
+            planted.add((i, len(head + before), len(head + before + value)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    added = {(r.doc_id, s.start, s.end) for r in pii.detect(docs, pii.train(docs)).collect() for s in r.pii if not s.base}
+    assert len(planted) > 250
+    assert len(added & planted) / len(added) > 0.9 and len(added & planted) / len(planted) > 0.9
+
+
+def test_pii_country_codes_need_no_separator(spark):
+    texts = ["+14155550100", "+1 4155550100", "+44 20 7946 0000", "+2101234567"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    votes = [r.candidates[-1].votes[1] for r in pii.with_candidates(docs).orderBy("doc_id").collect()]
+    assert votes == [1, 1, 1, -1]
+
+
 def test_chat_round_trip(spark):
     nasty = ["", "\\", "<next>", "a\\[b<", "</turn>\n<turn:assistant>x", "\\\\<\\>", queries.TRICKY, None]
     rows = [(1, i, "assistant" if i % 3 else "user", t) for i, t in enumerate(nasty)] + [(None, 0, None, None), (2, 1, "a>b<\\", "x"), (2, 1, "a>b<\\", "x")]
@@ -166,9 +195,26 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
 modification, are permitted provided that the following conditions are met:
 
 1. Redistributions of source code must retain the above copyright notice, this
-   list of conditions and the following disclaimer."""),
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""),
 ]
-WHOLE = {"MIT": ["mit_title", "mit_grant", "mit_notice", "as_is"], "Apache-2.0": ["apache_ref", "apache_use", "apache_copy", "apache_basis"], "GPL-3.0-or-later": ["gpl_free", "gpl_hope"], "MPL-2.0": ["mpl_ref"], "BSD-3-Clause": ["bsd_grant", "bsd_keep"]}
+WHOLE = {"MIT": ["mit_title", "mit_grant", "mit_notice", "as_is"], "Apache-2.0": ["apache_ref", "apache_use", "apache_copy", "apache_basis"], "GPL-3.0-or-later": ["gpl_free", "gpl_hope"], "MPL-2.0": ["mpl_ref"], "BSD-3-Clause": ["bsd_grant", "bsd_keep", "bsd_binary", "bsd_endorse"], "BSD-2-Clause": ["bsd_grant", "bsd_keep", "bsd_binary"]}
 
 
 def test_each_license_sentence_is_found_in_one_line_and_wrapped(spark):
@@ -193,6 +239,14 @@ def test_wrapped_license_headers(spark):
     assert len(found) == len(rows)
 
 
+def test_each_license_rule_fires_on_its_own_wrapped_text(spark):
+    rows = []
+    for n, (_, sequence) in enumerate(license_scan.RULES):
+        own = ["\n".join(" * " + x for x in textwrap.wrap(license_scan.SENTENCES[i][-1], 76, break_on_hyphens=False, break_long_words=False)) for i in sequence]
+        rows.append((n, "Copyright 2020 A. Author\n" + "\n *\n".join(own) + "\nint main(void) { return 0; }"))
+    found = {r.doc_id: r.licenses for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {n: [name] for n, (name, _) in enumerate(license_scan.RULES)}
+
 
 def judge_plain(url, rules, default):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
