@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldra.llm import decontaminate, near_dup, pii, sentencepiece_sampling, toxicity
-from veldra.llm.common import stored, table
+from veldra.llm.common import stored, table, without
 from veldra.llm.queries import crc_class
 
 TOXIC = 0.3
@@ -33,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a verified benchmark item; one pass finds them, one leaves them out."""
     found = stored(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, found)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
