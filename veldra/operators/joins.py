@@ -27,10 +27,10 @@ def enclosing(points: DataFrame, ranges: DataFrame, scope: str, width: int = 64)
 
 def first_candidate(wanted: DataFrame, candidates: Column, known: DataFrame, key: str) -> DataFrame:
     """wanted with ``found``: the first of the candidate array that is a key of known, or null."""
-    rows = wanted.withColumn("_row", F.xxhash64(F.struct("*")))
-    tried = rows.select("_row", F.posexplode(candidates).alias("rank", "name")).distinct()
-    best = tried.join(known.select(F.col(key).alias("name")).distinct(), "name").groupBy("_row").agg(F.min_by("name", "rank").alias("found"))
-    return rows.join(best, "_row", "left").drop("_row")
+    rows = wanted.withColumn("_tried", candidates)
+    tried = rows.select("_tried").distinct().select("_tried", F.posexplode("_tried").alias("rank", "name"))
+    best = tried.join(known.select(F.col(key).alias("name")).distinct(), "name").groupBy("_tried").agg(F.min(F.struct("rank", "name"))["name"].alias("found"))
+    return rows.join(best, "_tried", "left").drop("_tried")
 
 
 def prefix_lookup(rows: DataFrame, name: str, table: DataFrame) -> DataFrame:

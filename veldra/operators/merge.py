@@ -5,7 +5,7 @@ All are order-explicit (an ``ord`` column or struct), so results don't depend on
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,17 +15,20 @@ def first_by(value: str, ord_: str | Column) -> Column:
     return F.min_by(value, F.when(F.col(value).isNotNull(), order))
 
 
-def union_by(value: str, ord_: str) -> Column:
-    """Distinct values in the order of their first occurrence."""
-    rows = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(ord_).alias("o"), F.col(value).alias("v")))))
-    return F.array_distinct(F.transform(rows, lambda r: r["v"]))
+def union_rows(rows: DataFrame, keys: list[str], value: str, ord_: list[str], out: str) -> DataFrame:
+    """(keys, out): distinct values of each key in the order of their first occurrence.
 
+    A value's first place is a partial aggregate, so what is collected for a key is its distinct values only.
+    """
+    once = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(F.struct(*ord_)).alias("at"))
+    listed = once.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("at"), F.col(value).alias("v")))).alias("listed"))
+    return listed.select(*keys, F.transform("listed", lambda r: r["v"]).alias(out))
 
-def capped(value: str | Column, rank: str, cap: int, ord_: str) -> Column:
-    """The first ``cap`` values by order; rank is each row's place in its group, taken before, so no group is collected whole."""
-    one = F.col(value) if isinstance(value, str) else value
-    rows = F.collect_list(F.when(F.col(rank) <= cap, F.struct(F.col(ord_).alias("o"), one.alias("v"))))
-    return F.transform(F.array_sort(rows), lambda r: r["v"])
+
+def capped_rows(rows: DataFrame, keys: list[str], value: Column, ord_: list[str], cap: int, out: str) -> DataFrame:
+    """(keys, out): the first ``cap`` values of each key; the limit is taken before the shuffle and after it."""
+    ranked = rows.select(*keys, value.alias("v"), *ord_).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*ord_)))
+    return ranked.where(F.col("rank") <= cap).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "v"))).alias("listed")).select(*keys, F.transform("listed", lambda r: r["v"]).alias(out))
 
 
 def any_flag(flag: str) -> Column:

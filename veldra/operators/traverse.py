@@ -6,32 +6,34 @@ Frontiers are checkpointed where the number of steps isn't fixed, so plans stay
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldra.sources.landing import checkpointed
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(f"/tmp/checkpoints/{context.applicationId}")
-    return df.checkpoint(eager=True)
 
+def by_source(edges: DataFrame, key: str) -> DataFrame:
+    """Edges made once and dealt by the column that each level is joined on, so that only frontiers are shuffled."""
+    return checkpointed(edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))
 
-def bfs_levels(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
+
+def bfs_levels(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(start, id, depth, parent, via): first arrival of each node from each start (starts: start).
 
     The parent is that of the least edge id among those that arrive in the first level, so trees are deterministic.
     """
     seen = starts.select("start", F.col("start").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("via"))
     seen = frontier = checkpointed(seen.distinct())
-    steps = edges.select(F.col("id").alias("via"), F.col("src").alias("parent"), F.col("dst").alias("next"))
-    for depth in range(1, max_depth + 1):
+    steps = by_source(edges.select(F.col("id").alias("via"), F.col("src").alias("parent"), F.col("dst").alias("next")), "parent")
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         arrived = (
             frontier.select("start", F.col("id").alias("parent"))
             .join(steps, "parent")
             .groupBy("start", F.col("next").alias("id"))
-            .agg(F.min_by("parent", "via").alias("parent"), F.min("via").alias("via"))
+            .agg(F.min(F.struct("via", "parent")).alias("first"))
+            .select("start", "id", "first.parent", "first.via")
         )
         fresh = arrived.join(seen.select("start", "id"), ["start", "id"], "left_anti")
         frontier = checkpointed(fresh.select("start", "id", F.lit(depth).alias("depth"), "parent", "via"))
@@ -48,47 +50,58 @@ def paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 8, types: Sequenc
     """
     used = edges.where(F.col("type").isin(list(types))) if types else edges
     tree = bfs_levels(used, pairs.select("start").distinct(), max_depth)
-    goals = pairs.join(tree.select("start", F.col("id").alias("goal"), "depth"), ["start", "goal"])
+    goals = checkpointed(pairs.join(tree.select("start", F.col("id").alias("goal"), "depth"), ["start", "goal"]))
     here = goals.select("start", "goal", "depth", F.col("depth").alias("step"), F.col("goal").alias("id"))
     out = None
-    for _ in range(max_depth + 1):
-        row = here.join(tree.select("start", "id", "parent", "via"), ["start", "id"])
+    for back in range((goals.agg(F.max("depth")).first()[0] or 0) + 1):
+        # what stands ``back`` steps before a goal lies at most so deep
+        row = here.join(tree.select("start", "id", "parent", "via", F.col("depth").alias("step")), ["start", "id", "step"])
         rows = row.select("start", "goal", "depth", "step", "id", "via")
         out = rows if out is None else out.unionByName(rows)
-        here = row.where("parent IS NOT NULL").select("start", "goal", "depth", (F.col("step") - 1).alias("step"), F.col("parent").alias("id"))
+        here = checkpointed(row.where("parent IS NOT NULL").select("start", "goal", "depth", (F.col("step") - 1).alias("step"), F.col("parent").alias("id")))
     return out
 
 
-def closure(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(start, id, depth): nodes within ``depth`` steps, the least depth each; the start at 0. Unrolled joins."""
-    level = out = starts.select("start", F.col("start").alias("id"), F.lit(0).alias("depth")).distinct()
-    steps = edges.select(F.col("src").alias("id"), F.col("dst").alias("next")).distinct()
+def closure(edges: DataFrame, starts: DataFrame, depth: int, within: str | None = None) -> DataFrame:
+    """(start, id, depth): nodes within ``depth`` steps, the least depth each; the start at 0.
+
+    A node seen from a start isn't expanded again. within: only nodes of this type are entered.
+    """
+    seen = level = checkpointed(starts.select("start", F.col("start").alias("id"), F.lit(0).alias("depth")).distinct())
+    own = edges.where(F.col("dst").startswith(f"{within}:")) if within else edges
+    steps = by_source(own.select(F.col("src").alias("id"), F.col("dst").alias("next")).distinct(), "id")
     for d in range(1, depth + 1):
-        level = level.join(steps, "id").select("start", F.col("next").alias("id"), F.lit(d).alias("depth")).distinct()
-        out = out.unionByName(level)
-    return out.groupBy("start", "id").agg(F.min("depth").alias("depth"))
+        arrived = level.join(steps, "id").select("start", F.col("next").alias("id")).distinct()
+        level = checkpointed(arrived.join(seen, ["start", "id"], "left_anti").withColumn("depth", F.lit(d)))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return seen
 
 
 def reaching(edges: DataFrame, targets: DataFrame, hops: int, terminal: str, expanded: str) -> DataFrame:
     """(target, id, hops): nodes of the terminal type that reach a target backwards through nodes of the expanded type.
 
-    Types are what precedes the colon of an id.
+    Types are what precedes the colon of an id. A node seen from a target isn't expanded again.
     """
-    back = edges.select(F.col("dst").alias("at"), F.col("src").alias("id")).distinct()
+    back = by_source(edges.select(F.col("dst").alias("at"), F.col("src").alias("id")).distinct(), "at")
     level = targets.select(F.col("target"), F.col("target").alias("at")).distinct()
-    found = None
+    seen = checkpointed(level.select("target", F.col("at").alias("id"), F.lit(0).alias("hops")))
+    kept = F.col("id").startswith(f"{terminal}:") | F.col("id").startswith(f"{expanded}:")
     for h in range(1, hops + 1):
-        step = level.join(back, "at").select("target", "id").distinct()
-        ends = step.where(F.col("id").startswith(f"{terminal}:")).withColumn("hops", F.lit(h))
-        found = ends if found is None else found.unionByName(ends)
+        step = level.join(back, "at").select("target", "id").where(kept).distinct()
+        step = checkpointed(step.join(seen, ["target", "id"], "left_anti").withColumn("hops", F.lit(h)))
+        if step.isEmpty():
+            break
+        seen = seen.unionByName(step)
         level = step.where(F.col("id").startswith(f"{expanded}:")).select("target", F.col("id").alias("at"))
-    return found.groupBy("target", "id").agg(F.min("hops").alias("hops"))
+    return seen.where(F.col("id").startswith(f"{terminal}:") & (F.col("hops") > 0))
 
 
-def subtree(parents: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(root, id, depth) of everything below the roots by (id, parent)."""
+def subtree(parents: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id, depth) of everything below the roots by (id, parent), however deep."""
     steps = parents.where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("id").alias("dst"), F.concat_ws("|", "parent", "id").alias("id"))
-    tree = bfs_levels(steps, roots.select(F.col("root").alias("start")), max_depth)
+    tree = bfs_levels(steps, roots.select(F.col("root").alias("start")))
     return tree.select(F.col("start").alias("root"), "id", "depth")
 
 

@@ -36,9 +36,7 @@ SCHEMAS = {
     "playbooks": "type string, signals array<string>, requires array<string>, applies_to array<string>, kind string, severity string",
 }
 DATA_DEPTH, AUTH_DEPTH, REACH = 3, 2, 6
-MASS_ASSIGN = r"^(create|insertMany|insertOne|new|update\w*|findOneAndUpdate|findByIdAndUpdate|replaceOne)$"
 MUTATING = ("POST", "PUT", "PATCH", "DELETE")
-DOC_OP = r"^(find|findOne|findById|findByIdAndUpdate|findOneAndUpdate|create|new|insertOne)$"
 
 
 def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
@@ -96,7 +94,7 @@ class CodeGraph:
     @cached_property
     def exposure(self) -> DataFrame:
         """(fn, asset, model, tier, line): a response holds the result of a document operation whose rules show the field."""
-        ops = self.t["ops"].where(F.col("op").rlike(DOC_OP)).select("fn", "model", "selects", "result")
+        ops = self.t["ops"].where(F.col("op").rlike(S.DOC_OP)).select("fn", "model", "selects", "result")
         sent = self.t["responses"].select("fn", F.explode("vars").alias("result"), "line")
         seen = sent.join(ops, ["fn", "result"]).join(self.assets, "model").where(S.field_exposed("field", "selects", "hidden"))
         return seen.groupBy("fn", "asset", "model", "tier").agg(F.min("line").alias("line"))
@@ -167,7 +165,7 @@ class CodeGraph:
         data = ops.groupBy("route").agg(
             F.array_sort(F.collect_set("model")).alias("models"),
             F.bool_or(S.is_write_op("op")).alias("writes"),
-            F.bool_or(F.col("op").rlike(MASS_ASSIGN) & F.array_contains("args", "req.body")).alias("mass_assignment"),
+            F.bool_or(F.col("op").rlike(S.MASS_ASSIGN_OP) & F.array_contains("args", "req.body")).alias("mass_assignment"),
             F.bool_or(~F.col("op").rlike(S.NON_FILTER_OP) & F.coalesce("filters_input", F.lit(False))).alias("filter_from_input"),
         )
         shown = self.handler_closure.join(self.exposure, "fn").groupBy("route").agg(

@@ -77,29 +77,14 @@ def neighbors_out(spark, sf_dir):
     return graph.neighbors(graph.find("Customer", props={"segment": "MACHINERY"}).select("id"), "CALLS").select("start", "id", "type")
 
 
-@query(NODES + EDGES + " SELECT DISTINCT e.dst AS start, n.id, n.type FROM edges e JOIN nodes n ON n.id = e.src WHERE e.type = 'USES' AND e.dst IN ('Supplier:1', 'Supplier:7')")
-def neighbors_in(spark, sf_dir):
-    graph = star.store(spark, sf_dir)
-    ids = graph.nodes.where(F.col("id").isin("Supplier:1", "Supplier:7")).select("id")
-    return graph.neighbors(ids, "USES", "in").select("start", "id", "type")
-
-
 @query(NODES + EDGES + " SELECT DISTINCT e.dst AS start, n.id, n.type FROM edges e JOIN nodes n ON n.id = e.src WHERE e.type = 'USES'")
-def neighbors_in_all(spark, sf_dir):
-    """neighbors_in of all suppliers."""
+def neighbors_in(spark, sf_dir):
     graph = star.store(spark, sf_dir)
     return graph.neighbors(graph.find("Supplier").select("id"), "USES", "in").select("start", "id", "type")
 
 
-@query(NODES + EDGES + " SELECT DISTINCT id, type, src, dst FROM edges WHERE src IN ('Nation:3', 'Customer:5') OR dst IN ('Nation:3', 'Customer:5')")
-def edges_of_ids(spark, sf_dir):
-    graph = star.store(spark, sf_dir)
-    return graph.edges_of(graph.nodes.where(F.col("id").isin("Nation:3", "Customer:5"))).select("id", "type", "src", "dst")
-
-
 @query(NODES + EDGES + " SELECT DISTINCT id, type, src, dst FROM edges WHERE src IN (SELECT id FROM nodes) OR dst IN (SELECT id FROM nodes)")
-def edges_of_all_ids(spark, sf_dir):
-    """edges_of_ids of all nodes."""
+def edges_of_ids(spark, sf_dir):
     graph = star.store(spark, sf_dir)
     return graph.edges_of(graph.nodes).select("id", "type", "src", "dst")
 
@@ -269,51 +254,29 @@ def bfs_depths(spark, sf_dir):
     return traverse.bfs_levels(star.edges(spark, sf_dir), starts, 8).select("id", "depth", "via")
 
 
-@query(NODES + EDGES + """, g AS (SELECT 'Part:' || p_partkey AS goal FROM part WHERE p_partkey % 100 = 7),
+@query(NODES + EDGES + """, g AS (SELECT 'Part:' || p_partkey AS goal FROM part),
 l1 AS (SELECT dst AS id, min(id) AS via FROM edges WHERE src = 'Nation:2' AND type <> 'USES' GROUP BY dst),
 l2 AS (SELECT dst AS id, min(e.id) AS via FROM edges e JOIN l1 ON e.src = l1.id WHERE type <> 'USES' GROUP BY dst),
 l3 AS (SELECT dst AS id, min(e.id) AS via FROM edges e JOIN l2 ON e.src = l2.id WHERE type <> 'USES' GROUP BY dst),
 p AS (SELECT goal, l3.via AS v3, l2.via AS v2, l1.via AS v1 FROM g JOIN l3 ON l3.id = goal JOIN l2 ON l2.id = split_part(l3.via, '|', 2) JOIN l1 ON l1.id = split_part(l2.via, '|', 2))
 SELECT goal, 0 AS step, NULL AS via FROM p UNION ALL SELECT goal, 1, v1 FROM p UNION ALL SELECT goal, 2, v2 FROM p UNION ALL SELECT goal, 3, v3 FROM p""")
 def bfs_path(spark, sf_dir):
-    pairs = table(spark, sf_dir, "part").where("p_partkey % 100 = 7").select(F.lit("Nation:2").alias("start"), S.node_id(F.lit("Part"), "p_partkey").alias("goal"))
-    found = traverse.paths(star.edges(spark, sf_dir), pairs, 8, ["CONTAINS", "CALLS", "ACCESSES"])
-    return found.select("goal", "step", "via")
-
-
-@query(ORACLE_SQL["bfs_path"].replace(" WHERE p_partkey % 100 = 7", ""))
-def bfs_path_all(spark, sf_dir):
-    """bfs_path to all parts."""
     pairs = table(spark, sf_dir, "part").select(F.lit("Nation:2").alias("start"), S.node_id(F.lit("Part"), "p_partkey").alias("goal"))
     found = traverse.paths(star.edges(spark, sf_dir), pairs, 8, ["CONTAINS", "CALLS", "ACCESSES"])
     return found.select("goal", "step", "via")
 
 
-@query(NODES + EDGES + """, s AS (SELECT 'Customer:' || c_custkey AS start FROM customer WHERE c_custkey % 10 = 0),
+@query(NODES + EDGES + """, s AS (SELECT 'Customer:' || c_custkey AS start FROM customer),
 l AS (SELECT start, start AS id, 0 AS depth FROM s UNION ALL SELECT start, dst, 1 FROM s JOIN edges ON src = start
  UNION ALL SELECT start, b.dst, 2 FROM s JOIN edges a ON a.src = start JOIN edges b ON b.src = a.dst)
 SELECT start, id, min(depth) AS depth FROM l GROUP BY ALL""")
 def closure_depth3(spark, sf_dir):
-    starts = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(S.node_id(F.lit("Customer"), "c_custkey").alias("start"))
-    return traverse.closure(star.edges(spark, sf_dir), starts, 3)
-
-
-@query(ORACLE_SQL["closure_depth3"].replace(" WHERE c_custkey % 10 = 0", ""))
-def closure_depth3_all(spark, sf_dir):
-    """closure_depth3 of all customers."""
     starts = table(spark, sf_dir, "customer").select(S.node_id(F.lit("Customer"), "c_custkey").alias("start"))
     return traverse.closure(star.edges(spark, sf_dir), starts, 3)
 
 
-@query("""SELECT DISTINCT 'Part:' || p_partkey AS target, 'Customer:' || o_custkey AS id, 2 AS hops FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey WHERE p_partkey % 50 = 0""")
+@query("""SELECT DISTINCT 'Part:' || p_partkey AS target, 'Customer:' || o_custkey AS id, 2 AS hops FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey""")
 def routes_reaching(spark, sf_dir):
-    targets = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(S.node_id(F.lit("Part"), "p_partkey").alias("target"))
-    return traverse.reaching(star.edges(spark, sf_dir), targets, 3, "Customer", "Order")
-
-
-@query(ORACLE_SQL["routes_reaching"].replace(" WHERE p_partkey % 50 = 0", ""))
-def routes_reaching_all(spark, sf_dir):
-    """routes_reaching of all parts."""
     targets = table(spark, sf_dir, "part").select(S.node_id(F.lit("Part"), "p_partkey").alias("target"))
     return traverse.reaching(star.edges(spark, sf_dir), targets, 3, "Customer", "Order")
 
@@ -441,17 +404,19 @@ def open_summary(spark, sf_dir):
     )
 
 
-@query("""WITH c AS (SELECT o_custkey AS project, count(*) FILTER (left(o_orderpriority, 1) = '1') AS crit, count(*) FILTER (left(o_orderpriority, 1) = '2') AS high, count(*) FILTER (left(o_orderpriority, 1) = '3') AS med,
- count(*) FILTER (o_orderstatus <> 'P') AS prot, count(*) AS total FROM orders GROUP BY 1),
-s AS (SELECT project, greatest(10, least(100, floor((85 - 20 * crit - 10 * high - 4 * med) * (prot / greatest(total, 1)) + 0.5)))::INTEGER AS score FROM c)
-SELECT project, score, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C+' ELSE 'D+' END AS grade FROM s""")
+@query("""WITH o AS (SELECT *, o_orderkey % 4 = 0 AS open, left(o_orderpriority, 1) AS p FROM orders),
+c AS (SELECT o_custkey AS project, count(*) FILTER (open AND p = '1') AS crit, count(*) FILTER (open AND p = '2') AS high, count(*) FILTER (open AND p = '3') AS med,
+ count(*) FILTER (o_orderstatus <> 'P') AS prot, count(*) AS total FROM o GROUP BY 1),
+s AS (SELECT *, greatest(10, least(100, floor((85 - 20 * crit - 10 * high - 4 * med) * (prot / greatest(total, 1)) + 0.5)))::INTEGER AS score FROM c)
+SELECT project, score, CASE WHEN score < 40 OR crit > 0 THEN 'D+' WHEN score < 65 OR high > 1 THEN 'C+' WHEN score < 80 THEN 'B' ELSE 'A' END AS grade FROM s""")
 def posture_score(spark, sf_dir):
-    p = F.substring("o_orderpriority", 1, 1)
+    """A customer is a project; every fourth order is an open finding, and orders that aren't pending are protected routes."""
+    open_, p = F.col("o_orderkey") % 4 == 0, F.substring("o_orderpriority", 1, 1)
     counted = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("project")).agg(
-        F.count_if(p == "1").alias("crit"), F.count_if(p == "2").alias("high"), F.count_if(p == "3").alias("med"), F.count_if(F.col("o_orderstatus") != "P").alias("prot"), F.count("*").alias("total")
+        *[F.count_if(open_ & (p == k)).alias(name) for k, name in (("1", "crit"), ("2", "high"), ("3", "med"))], F.count_if(F.col("o_orderstatus") != "P").alias("prot"), F.count("*").alias("total")
     )
-    scored = counted.select("project", S.posture_score("crit", "high", "med", "prot", "total").alias("score"))
-    return scored.withColumn("grade", S.posture_grade("score"))
+    scored = counted.withColumn("score", S.posture_score("crit", "high", "med", "prot", "total"))
+    return scored.select("project", "score", S.posture_grade("score", "crit", "high").alias("grade"))
 
 
 @query(f"""WITH f AS (SELECT o_orderkey AS finding, {SEVERITY_SQL} AS base, CASE WHEN o_totalprice > 400000 THEN 1.0 WHEN o_totalprice > 300000 THEN 0.9 WHEN o_totalprice > 200000 THEN 0.6 ELSE 0.0 END AS weight, o_orderstatus <> 'P' AS protected FROM orders)
@@ -492,26 +457,18 @@ def mask_preview(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.mask_preview("text").alias("preview"), S.estimated_tokens("text").alias("tokens"))
 
 
-SECRET_LINE = r"([A-Za-z_][A-Za-z0-9_-]*)\s*[:=]\s*[\"']?([A-Za-z0-9+/_-]{8,})"
+# the value isn't consumed, so a harmless pair's value can be the next pair's name
+SECRET_PAIR = r"([A-Za-z_][A-Za-z0-9_-]*+)\s*[:=]\s*[\"']?(?=([A-Za-z0-9+/_-]{8,}))"
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(range(len(s))) + 1 AS line, unnest(s) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
-m AS (SELECT doc_id, line, regexp_extract(t, '([A-Za-z_][A-Za-z0-9_-]*)\s*[:=]\s*["'']?([A-Za-z0-9+/_-]{8,})', 1) AS name, regexp_extract(t, '([A-Za-z_][A-Za-z0-9_-]*)\s*[:=]\s*["'']?([A-Za-z0-9+/_-]{8,})', 2) AS value FROM l)
-SELECT doc_id, line::INTEGER AS line, name, left(value, 2) || '***' AS preview FROM m
+p AS (SELECT *, unnest(range(1, length(t) + 1)) AS i FROM l WHERE regexp_matches(t, '[:=]')),
+m AS (SELECT doc_id, line, i, regexp_extract(left(t, i - 1), '([A-Za-z_][A-Za-z0-9_-]*)\s*$', 1) AS name, regexp_extract(substr(t, i + 1), '^\s*["'']?([A-Za-z0-9+/_-]{8,})', 1) AS value FROM p WHERE substr(t, i, 1) IN (':', '=')),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS n FROM m WHERE name <> '' AND value <> '')
+SELECT doc_id, line::INTEGER AS line, n::INTEGER AS n, name, left(value, 2) || '***' AS preview FROM r
 WHERE regexp_matches(lower(name), '(secret|passw(or)?d|pwd|token|api[_-]?key|apikey|private[_-]?key|credential|salt|auth[_-]?key)')""")
 def secret_line_scan(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "t"))
-    found = lines.select("doc_id", (F.col("pos") + 1).alias("line"), F.regexp_extract("t", SECRET_LINE, 1).alias("name"), F.regexp_extract("t", SECRET_LINE, 2).alias("value"))
-    return found.where(S.is_secret_name("name")).select("doc_id", "line", "name", S.mask_preview("value").alias("preview"))
-
-
-# the value isn't consumed, so a harmless pair's value can be the next pair's name
-SECRET_PAIR = r"([A-Za-z_][A-Za-z0-9_-]*+)\s*[:=]\s*[\"']?(?=([A-Za-z0-9+/_-]{8,}))"
-
-
-@query()
-def secret_pair_scan(spark, sf_dir):
-    """All secrets of each line, not just secret_line_scan's first pair; n is the pair's place among the line's pairs. No SQL: DuckDB's patterns can't look ahead."""
+    """All secrets of each line; n is the pair's place among the line's pairs."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "t"))
     names, values = (F.regexp_extract_all("t", F.lit(SECRET_PAIR), F.lit(g)) for g in (1, 2))
     pairs = lines.select("doc_id", (F.col("pos") + 1).alias("line"), F.posexplode(F.arrays_zip(names.alias("name"), values.alias("value"))).alias("n", "pair"))
@@ -533,18 +490,11 @@ def name_suggest(spark, sf_dir):
     return scored.withColumn("n", F.row_number().over(order)).where("n <= 5").select("q", "c", F.round("score", 6).alias("score"))
 
 
-@query(r"""SELECT page_id, link, line::INTEGER AS line FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link, 1 + length(html) - length(replace(html, chr(10), '')) AS line FROM pages)""")
-def link_scan(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    lines = (1 + F.length("html") - F.length(F.replace("html", F.lit("\n"), F.lit("")))).cast("int")
-    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("link"), lines.alias("line"))
-
-
 @query(r"""WITH p AS (SELECT page_id, regexp_extract_all(html, 'href="[^"]+"') AS h, string_split_regex(html, 'href="[^"]+"') AS g FROM pages), l AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM p),
 t AS (SELECT page_id, regexp_extract(h[i], 'href="([^"]+)"', 1) AS link, coalesce(array_to_string(g[1:i], ''), '') || coalesce(array_to_string(h[1:i - 1], ''), '') AS ahead FROM l)
 SELECT page_id, link, (1 + length(ahead) - length(replace(ahead, chr(10), '')))::INTEGER AS line FROM t""")
-def link_line_scan(spark, sf_dir):
-    """Links with the line on which each begins; link_scan's line is the page's last one."""
+def link_scan(spark, sf_dir):
+    """Links with the line on which each begins."""
     hits, gaps = F.regexp_extract_all("html", F.lit('href="[^"]+"'), F.lit(0)), F.split("html", 'href="[^"]+"', -1)
     breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(breaks(g).alias("before"), breaks(h).alias("inside"), h.alias("hit")))

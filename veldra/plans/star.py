@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldra.functions.scalars import edge_id, node_id
@@ -48,16 +48,15 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accesses(spark: SparkSession, sf_dir: str, cap: int = 3) -> DataFrame:
     """Merged order - part edges: first line, flags, the first ``cap`` quantities and all suppliers, in line order."""
     lines = table(spark, sf_dir, "lineitem")
-    pair = Window.partitionBy("l_orderkey", "l_partkey").orderBy("l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
-    ranked = lines.withColumn("rank", F.row_number().over(pair))
-    grouped = ranked.groupBy("l_orderkey", "l_partkey").agg(
-        F.min_by("l_linenumber", "rank").alias("first_line"),
+    pair, order = ["l_orderkey", "l_partkey"], ["l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"]
+    grouped = lines.groupBy(*pair).agg(
+        F.min(F.struct(*order))["l_linenumber"].alias("first_line"),
         F.count("*").alias("calls"),
-        merge.capped(F.col("l_quantity").cast("int"), "rank", cap, "rank").alias("ops"),
-        merge.union_by("l_suppkey", "rank").alias("via"),
         F.bool_or(F.col("l_returnflag") == "R").alias("returned"),
         F.bool_and(F.col("l_linestatus") == "F").alias("finished"),
     )
+    ops = merge.capped_rows(lines, pair, F.col("l_quantity").cast("int"), order, cap, "ops")
+    grouped = grouped.join(ops, pair).join(merge.union_rows(lines, pair, "l_suppkey", order, "via"), pair)
     a, b = node_id(F.lit("Order"), "l_orderkey"), node_id(F.lit("Part"), "l_partkey")
     return grouped.select(edge_id(F.lit("ACCESSES"), a, b).alias("id"), F.lit("ACCESSES").alias("type"), a.alias("src"), b.alias("dst"), "first_line", "calls", "ops", "via", "returned", "finished")
 

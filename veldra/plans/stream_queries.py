@@ -45,5 +45,4 @@ def stream_maintained(spark, sf_dir):
     kind = F.when(F.col("event_type") == "error", "deleted").otherwise("changed")
     path = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), (F.col("event_id") % 7).cast("string"))
     rows = _events(spark, sf_dir).select(path.alias("path"), "event_id", "ts", kind.alias("kind"))
-    at = changes.maintained(rows, "path", ["ts", "event_id"], "kind")
-    return spark.read.parquet(at).where("kind <> 'deleted'").select("path", "event_id", "kind")
+    return changes.maintained(rows, "path", ["ts", "event_id"]).where("kind <> 'deleted'").select("path", "event_id", "kind")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -58,23 +58,26 @@ def statuses(events: DataFrame, key: str) -> DataFrame:
     )
 
 
-def maintained(changes: DataFrame, key: str, order: list[str], kind: str, gone: str = "deleted") -> str:
-    """Keeps a table of the newest change of each key; returns the folder, in which each micro-batch is a version.
+def maintained(changes: DataFrame, key: str, order: list[str], every: int = 8) -> DataFrame:
+    """The newest change of each key, kept as a base and a log of the micro-batches since.
 
-    A batch reads the version before it and overwrites its own, so a repeated batch gives the same table.
+    A batch writes its own rows; each ``every``-th one also merges base and log into a new base. A batch overwrites its own
+    folders only, so a repeated batch gives the same table. Deletions stay as marks, so a late older event can't bring a key back.
     """
     path = fresh(changes.sparkSession, "maintained")
 
+    def table(spark: SparkSession, batch: int) -> DataFrame:
+        base = batch // every * every - 1  # the last batch that wrote a base before this one
+        parts = [f"{path}/log/{i}" for i in range(base + 1, batch + 1)] + ([f"{path}/base/{base}"] if base >= 0 else [])
+        return newest(spark.read.schema(changes.schema).parquet(*parts), [key], [F.desc(c) for c in order])
+
     def apply(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        now = newest(rows, [key], [F.desc(c) for c in order])
-        if batch > 0:
-            old = spark.read.parquet(f"{path}/versions/{batch - 1}")
-            now = newest(old.unionByName(now), [key], [F.desc(c) for c in order])
-        # deletions stay as marks, so a late older event can't bring a key back
-        now.write.mode("overwrite").parquet(f"{path}/versions/{batch}")
+        newest(rows, [key], [F.desc(c) for c in order]).write.mode("overwrite").parquet(f"{path}/log/{batch}")
+        if batch % every == every - 1:
+            table(rows.sparkSession, batch).write.mode("overwrite").parquet(f"{path}/base/{batch}")
 
     run = changes.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(apply).start()
     run.awaitTermination()
-    last = run.lastProgress["batchId"] if run.lastProgress else 0
-    return f"{path}/versions/{last}"
+    if not run.lastProgress:
+        return changes.sparkSession.createDataFrame([], changes.schema)
+    return table(changes.sparkSession, run.lastProgress["batchId"])
