@@ -110,3 +110,12 @@ def page(rows: DataFrame, order: Sequence[str | Column], limit: int = 100, offse
 def newest(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in this order, ties broken by it: append-only logs seen as tables."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def findings_page(findings: DataFrame, limit: int = 200, **filters: str | None) -> DataFrame:
+    """The newest findings (id, type, affected_nodes, created, ...) for which all given columns have the given values, with a title."""
+    for name, value in filters.items():
+        if value is not None:
+            findings = findings.where(F.col(name) == value)
+    title = F.concat_ws(" on ", "type", F.coalesce(F.get("affected_nodes", F.lit(0)), F.lit("(unknown)")))
+    return findings.orderBy(F.desc("created"), "id").limit(limit).withColumn("title", title)

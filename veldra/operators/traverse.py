@@ -105,7 +105,7 @@ def subtree(parents: DataFrame, roots: DataFrame) -> DataFrame:
     return tree.select(F.col("start").alias("root"), "id", "depth")
 
 
-def call_tree(edges: DataFrame, starts: DataFrame, depth: int = 3, cap: int = 200) -> DataFrame:
+def call_tree(edges: DataFrame, starts: DataFrame, depth: int = 3, cap: int | None = 200) -> DataFrame:
     """(start, path, id, depth, cycle, truncated): all call paths; a node already on its path is a leaf marked as a cycle.
 
     At most ``cap`` rows a start, in pre-order; ``truncated`` tells whether there were more.
@@ -120,6 +120,8 @@ def call_tree(edges: DataFrame, starts: DataFrame, depth: int = 3, cap: int = 20
             .select("start", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("id"), F.lit(d).alias("depth"), F.array_contains("path", F.col("next")).alias("cycle"))
         )
         out = out.unionByName(level)
+    if cap is None:
+        return out.withColumn("truncated", F.lit(False))
     order = Window.partitionBy("start").orderBy("path")
     ranked = out.withColumn("n", F.row_number().over(order))
     total = out.groupBy("start").agg((F.count("*") > cap).alias("truncated"))

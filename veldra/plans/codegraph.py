@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veldra.functions import scalars as S
 from veldra.operators import joins, traverse
-from veldra.operators.store import GraphStore
+from veldra.operators.store import GraphStore, page
 
 SCHEMAS = {
     "files": "file string, kind string",
@@ -199,20 +199,51 @@ class CodeGraph:
         out = out.withColumn("mutates", F.col("writes") | F.col("method").isin(*MUTATING)).withColumn("reasons", F.filter(reasons, lambda r: r.isNotNull()))
         return traverse.checkpointed(out)
 
-    def routes(self, **filters) -> DataFrame:
-        """Mounted routes by equality on any fact column; ``model`` and ``path_prefix`` besides."""
-        out = self.route_facts
-        if "mounted" not in filters:
-            out = out.where("mounted")
+    def routes(self, include_unmounted: bool = False, **filters) -> DataFrame:
+        """Mounted routes by equality on any fact column; ``model``, ``path_prefix`` and ``exposes_sensitive`` (whether any) besides."""
+        out = self.route_facts if include_unmounted or "mounted" in filters else self.route_facts.where("mounted")
         for name, value in filters.items():
             if name == "model":
                 out = out.where(F.array_contains("models", value))
             elif name == "path_prefix":
                 out = out.where(F.col("full_path").startswith(value))
+            elif name == "exposes_sensitive":
+                out = out.where((F.size(name) > 0) == value)
+            elif name == "method":
+                out = out.where(F.col(name) == value.upper())
             else:
                 out = out.where(F.col(name) == value)
         return out
 
+    def routes_page(self, limit: int = 100, offset: int = 0, **filters) -> DataFrame:
+        """A page of ``routes`` in the order of their names, with total and truncated."""
+        return page(self.routes(**filters), ["route"], limit, offset)
+
+    def exposures(self, by_route: bool = False) -> DataFrame:
+        """(fn, asset, model, tier, line), or these for each route whose handler comes to the function."""
+        return self.handler_closure.drop("depth").join(self.exposure, "fn") if by_route else self.exposure
+
+    def call_graph(self, starts: DataFrame, depth: int = 3, direction: str = "out", cap: int | None = 200) -> DataFrame:
+        """(start, path, kind, depth, cycle): call trees, downwards with the models used, or upwards with the routes and middleware that call.
+
+        depth is held within 1 and 6; at most ``cap`` rows a start, in pre-order.
+        """
+        depth = min(max(depth, 1), 6)
+        near, far = ("src", "dst") if direction == "out" else ("dst", "src")
+        steps = self.calls.select(F.col(near).alias("src"), F.col(far).alias("dst"))
+        tree = traverse.call_tree(steps, starts, depth, cap=None)
+        rows = tree.select("start", "path", F.lit("function").alias("kind"), "depth", "cycle")
+        if direction == "out":
+            leaves = [("model", self.access_edges.select("fn", F.col("model").alias("leaf")))]
+        else:
+            leaves = [("route", self.t["routes"].select(F.col("handler").alias("fn"), F.col("route").alias("leaf"))), ("middleware", self.t["chain"].select("fn", F.col("name").alias("leaf")).distinct())]
+        for kind, table in leaves:
+            ends = tree.where(~F.col("cycle") & (F.col("depth") < depth)).join(table, F.col("id") == F.col("fn"))
+            rows = rows.unionByName(ends.select("start", F.concat("path", F.array("leaf")).alias("path"), F.lit(kind).alias("kind"), (F.col("depth") + 1).alias("depth"), F.lit(False).alias("cycle")))
+        if cap is None:
+            return rows
+        return rows.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy("path", "kind"))).where(F.col("n") <= cap).drop("n")
+
     def unprotected(self) -> DataFrame:
         return self.routes(protected=False)
 

@@ -1,4 +1,8 @@
-"""Records of a small web shop's server, written by hand: the sample that the code-graph queries and their tests run on."""
+"""Records of a code base of any size, generated from the star schema: what the code-graph queries and their SQL run on.
+
+Parts are library functions, orders are routes with a handler each, line items are calls of handlers; the five functions of
+each group of five parts call each other in a ring. ``SQL`` says the same tables in DuckDB.
+"""
 
 from __future__ import annotations
 
@@ -6,114 +10,63 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veldra.plans.codegraph import SCHEMAS, CodeGraph
 
-CTRL, AUTH, LOGIN, USERS, ADMIN, APP, AUDIT = "orders.ctrl.js", "auth.mw.js", "auth.routes.js", "users.routes.ts", "admin.routes.mjs", "app.js", "audit.js"
-
-# (route, handler, mounted, inside the part of the app that comes after the login check)
-ROUTE_ROWS = [
-    ("GET", "/api/health", f"{APP}#health", True, False),
-    ("GET", "/api/v1/ping", f"{APP}#ping", True, False),
-    ("GET", "/api/v2/ping", f"{APP}#ping", True, False),
-    ("POST", "/api/auth/login", f"{LOGIN}#login", True, False),
-    ("POST", "/api/auth/register", f"{LOGIN}#register", True, False),
-    ("GET", "/api/users/:id", f"{USERS}#one", True, False),
-    ("GET", "/api/users/:id/orders", f"{USERS}#orders", True, False),
-    ("GET", "/api/profile", f"{APP}#profile", True, True),
-    ("GET", "/api/orders/mine/:id", f"{CTRL}#getMyOrder", True, True),
-    ("GET", "/api/orders/:id", f"{CTRL}#getOrder", True, True),
-    ("PUT", "/api/orders/:id", f"{CTRL}#updateOrder", True, True),
-    ("DELETE", "/api/orders/:id", f"{CTRL}#deleteOrder", True, True),
-    ("POST", "/api/orders", f"{CTRL}#createOrder", True, True),
-    ("GET", "/api/admin/stats", f"{ADMIN}#stats", True, True),
-    ("DELETE", "/api/admin/users/:id", f"{ADMIN}#remove", True, True),
-    ("GET", "/", "dynamic.js#letter", False, False),
-]
-GUARD = f"{AUTH}#requireRole.inner"
+#: own rules: (type, signals, requires, applies_to, kind, severity)
 BOOKS = [
-    ("authorization", [], [], ["idor", "privilege-escalation", "missing-auth"], "reference", "info"),
-    ("data-exposure", ["exposes-credential", "exposes-sensitive"], [], [], "rule", "medium"),
-    ("idor", ["authorization:unknown", "authorization:none"], ["user-controlled-id-flows-to-model-read"], [], "rule", "high"),
-    ("jwt-security", ["jwt:hardcoded-secret", "jwt:literal-fallback", "jwt:algorithm-none", "jwt:ignore-expiration", "jwt:no-expiry", "jwt:decode-only"], [], [], "rule", "high"),
-    ("mass-assignment", ["mass-assignment"], [], [], "rule", "high"),
-    ("missing-auth", ["unprotected-touches-data", "auth-weak"], [], [], "rule", "high"),
-    ("nosql-injection", ["query-built-from-input-object"], [], [], "rule", "high"),
-    ("privilege-escalation", ["privileged-path-without-role-check"], [], [], "rule", "high"),
+    ("background", [], [], ["open-data", "open-door"], "reference", "info"),
+    ("leak", ["exposes-credential", "exposes-sensitive"], [], [], "rule", "medium"),
+    ("open-door", ["authorization:unknown", "authorization:none"], ["user-controlled-id-flows-to-model-read"], [], "rule", "high"),
+    ("open-data", ["unprotected-touches-data", "auth-weak"], [], [], "rule", "high"),
+    ("whole-body", ["mass-assignment"], [], [], "rule", "high"),
+    ("loose-filter", ["query-built-from-input-object"], ["writes-data"], [], "rule", "low"),
+    ("back-office", ["privileged-path-without-role-check"], [], [], "rule", "high"),
 ]
 
-
-def rows() -> dict[str, list[tuple]]:
-    chain = []
-    for method, path, _, _, inside in ROUTE_ROWS:
-        own = [("cors", "cors", None, "app", True), ("express.json", "express.json", None, "app", True)]
-        if inside:
-            own.append(("authenticate", None, f"{AUTH}#authenticate", "app", False))
-        if path.startswith("/api/admin"):
-            own.append(("requireRole", "requireRole", f"{AUTH}#requireRole", "mount", False))
-            own.append(("auditLog", None, f"{AUDIT}#auditLog", "router", False))
-        chain += [(f"{method} {path}", i, name, factory, fn, origin, external, False) for i, (name, factory, fn, origin, external) in enumerate(own)]
-
-    def fn(id_: str, line: int, end: int, parent: str | None = None, **traits: bool) -> tuple:
-        return (id_, id_.split("#")[0], id_.split("#")[1], parent, line, end, *(traits.get(t, False) for t in ("verifies", "reads_header", "sets_user", "rejects")))
-
-    functions = [fn(h, 10 * i + 1, 10 * i + 8) for i, h in enumerate(dict.fromkeys(r[2] for r in ROUTE_ROWS))]
-    functions += [
-        fn(f"{AUTH}#authenticate", 3, 12, verifies=True, reads_header=True, sets_user=True, rejects=True),
-        fn(f"{AUTH}#requireRole", 14, 19),
-        fn(GUARD, 15, 18, f"{AUTH}#requireRole", rejects=True),
-        fn(f"{AUDIT}#auditLog", 2, 5),
-    ]
-
-    def op(f: str, pos: int, name: str, model: str, args: list[str], result: str | None = None, selects: list[str] | None = None, filters: bool = False, scoped: bool = False, line: int = 0) -> tuple:
-        return (f, pos, name, model, args, selects, result, filters, scoped, line)
-
-    ops = [
-        op(f"{LOGIN}#login", 0, "findOne", "User", ["req.body.username", "req.body.password"], "user", filters=True, line=8),
-        op(f"{LOGIN}#register", 0, "create", "User", ["req.body"], "user", line=15),
-        op(f"{USERS}#one", 0, "findById", "User", ["req.params.id"], "user", line=8),
-        op(f"{USERS}#orders", 0, "find", "Order", ["req.params.id"], "orders", ["-paymentDetails"], line=13),
-        op(f"{CTRL}#getOrder", 0, "findById", "Order", ["req.params.id"], "order", line=4),
-        op(f"{CTRL}#getMyOrder", 0, "findOne", "Order", ["req.params.id"], "order", scoped=True, line=9),
-        op(f"{CTRL}#updateOrder", 0, "findByIdAndUpdate", "Order", ["req.params.id", "req.body"], "order", line=16),
-        op(f"{CTRL}#deleteOrder", 0, "findById", "Order", ["req.params.id"], "order", line=21),
-        op(f"{CTRL}#deleteOrder", 1, "deleteOne", "Order", [], None, line=25),
-        op(f"{CTRL}#createOrder", 0, "new", "Order", ["req.body"], "order", line=30),
-        op(f"{CTRL}#createOrder", 1, "save", "Order", [], None, line=31),
-        op(f"{ADMIN}#stats", 0, "countDocuments", "User", [], None, line=9),
-        op(f"{ADMIN}#remove", 0, "findByIdAndDelete", "User", ["req.params.id"], None, line=14),
-    ]
-    inputs = [(f"{f}:req.{source}.{path}", f, source, path) for f, source, path in dict.fromkeys((o[0], a.split(".")[1], a.split(".", 2)[2]) for o in ops for a in o[4] if a.count(".") > 1)]
-    fields = {
-        "User": ["username", "password", "email", "role", "apiKey"],
-        "Order": ["user", "items", "items.sku", "items.qty", "total", "paymentDetails", "paymentDetails.cardNumber", "paymentDetails.cvv", "customerId"],
-    }
-    sent = {f"{LOGIN}#login": "user", f"{LOGIN}#register": "user", f"{USERS}#one": "user", f"{USERS}#orders": "orders", f"{CTRL}#getOrder": "order", f"{CTRL}#getMyOrder": "order", f"{CTRL}#updateOrder": "order", f"{CTRL}#createOrder": "order"}
-    return {
-        "files": [(f, "server") for f in (APP, AUTH, LOGIN, USERS, ADMIN, AUDIT, CTRL, "dynamic.js")],
-        "functions": functions,
-        "calls": [],
-        "routes": [(f"{m} {p}", m, p, h.split("#")[0], h, mounted, not mounted) for m, p, h, mounted, _ in ROUTE_ROWS],
-        "chain": chain,
-        "inputs": inputs,
-        "ops": ops,
-        "models": [("User", "User.js"), ("Order", "Order.js")],
-        "fields": [(m, i, f, f == "apiKey") for m, fs in fields.items() for i, f in enumerate(fs)],
-        "responses": [(f, [v], 99) for f, v in sent.items()],
-        "jwt_ops": [
-            (f"{LOGIN}#login", "sign", "literal", ["hardcoded-secret"], "7d", 10),
-            (f"{AUTH}#authenticate", "verify", "env", ["literal-fallback"], None, 7),
-        ],
-        "authz": [(f"{CTRL}#deleteOrder", "ownership-compare", "order.user !== req.user.id", True, 22), (GUARD, "role-check", "req.user.role !== role", True, 16)],
-        "secrets": [("hardcoded:auth.routes.js:10", "code", "hardcoded-secret", LOGIN, 10, "se***"), ("JWT_SECRET", "env", "env-file-secret", ".env", 1, "ab***")],
-        "env_reads": [("JWT_SECRET", f"{AUTH}#authenticate", AUTH, True), ("PORT", None, APP, True)],
-        "deps": [("express", "^4.17.1", False), ("jsonwebtoken", "^8.5.1", False), ("axios", "^1.0.0", False), ("vitest", "^1.0.0", True)],
-        "imports": [(APP, "express"), (APP, "./auth.routes"), (LOGIN, "jsonwebtoken"), (AUTH, "jsonwebtoken"), (LOGIN, "express")],
-        "playbooks": BOOKS,
-    }
+# each table as an expression that Spark and DuckDB both read; {list} stands for the array constructor
+TABLES = {
+    "files": "SELECT concat('s', s_suppkey, '.js') AS file, 'server' AS kind FROM supplier",
+    "functions": """SELECT concat('p', p_partkey) AS fn, concat('s', p_partkey % 10, '.js') AS file, p_name AS name, CASE WHEN p_partkey % 7 = 6 THEN concat('p', p_partkey - 1) END AS parent,
+ CAST(p_partkey * 10 AS int) AS line, CAST(p_partkey * 10 + 8 AS int) AS end_line, p_size = 1 AS verifies, p_size IN (2, 3) AS reads_header, p_size = 2 AS sets_user, p_size < 20 AS rejects FROM part
+ UNION ALL SELECT concat('h', o_orderkey), 's1.js', 'handler', NULL, 1, 2, o_orderkey % 50 = 0, false, false, false FROM orders""",
+    "calls": """SELECT concat('h', l_orderkey) AS fn, CAST(l_linenumber AS int) AS pos, concat('p', l_partkey) AS callee, CASE WHEN l_linenumber % 2 = 1 THEN {list}('req.params.id') ELSE {list}('x') END AS args, CAST(l_linenumber AS int) AS line FROM lineitem
+ UNION ALL SELECT concat('p', p_partkey), 0, concat('p', CASE WHEN p_partkey % 5 = 4 THEN p_partkey - 4 ELSE p_partkey + 1 END), CASE WHEN p_size % 2 = 0 THEN {list}('req.params.id') ELSE {list}('y') END, CAST(p_partkey * 10 + 1 AS int) FROM part""",
+    "routes": """SELECT concat(method, ' ', full_path) AS route, method, full_path, 's1.js' AS file, concat('h', o_orderkey) AS handler, o_orderkey % 17 <> 0 AS mounted, false AS dynamic FROM (
+ SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'PUT' ELSE 'DELETE' END AS method, concat(CASE WHEN o_orderkey % 11 = 0 THEN '/admin' ELSE '/c' END, o_custkey, '/o', o_orderkey) AS full_path FROM orders) o""",
+    "chain": """SELECT route, 0 AS ord, 'cors' AS name, 'cors' AS factory, NULL AS fn, 'app' AS origin, true AS external, false AS conditional FROM routes
+ UNION ALL SELECT route, 1, CASE WHEN o_custkey % 2 = 0 THEN 'authenticate' ELSE 'audit' END, NULL, concat('p', o_custkey % 20), 'router', false, o_orderkey % 19 = 0 FROM routes JOIN orders ON handler = concat('h', o_orderkey) WHERE o_orderkey % 3 <> 0""",
+    "inputs": "SELECT concat('h', o_orderkey, ':req.params.id') AS input, concat('h', o_orderkey) AS fn, 'params' AS source, 'id' AS path FROM orders WHERE o_orderkey % 2 = 0",
+    "ops": """SELECT concat('p', p_partkey) AS fn, 0 AS pos, CASE p_size % 5 WHEN 0 THEN 'find' WHEN 1 THEN 'findByIdAndUpdate' WHEN 2 THEN 'create' WHEN 3 THEN 'findOneAndRemove' ELSE 'findAndModify' END AS op, concat('m', p_partkey % 25) AS model,
+ CASE WHEN p_size % 2 = 0 THEN {list}('req.params.id') ELSE {list}('req.body') END AS args, CASE WHEN p_partkey % 9 = 0 THEN {list}('-secret') END AS selects, 'r' AS result, p_size % 4 = 0 AS filters_input, p_partkey % 6 = 0 AS scoped, CAST(p_partkey * 10 + 2 AS int) AS line FROM part WHERE p_partkey % 3 = 0
+ UNION ALL SELECT concat('h', o_orderkey), 0, 'findById', concat('m', o_orderkey % 25), {list}('req.params.id'), NULL, 'x', false, o_orderkey % 20 = 0, 2 FROM orders WHERE o_orderkey % 10 = 0""",
+    "models": "SELECT concat('m', n_nationkey) AS model, 's1.js' AS file FROM nation",
+    "fields": """SELECT concat('m', n_nationkey) AS model, 0 AS pos, 'email' AS field, false AS hidden FROM nation UNION ALL SELECT concat('m', n_nationkey), 1, 'secret', false FROM nation
+ UNION ALL SELECT concat('m', n_nationkey), 2, 'secret.part', false FROM nation UNION ALL SELECT concat('m', n_nationkey), 3, 'password', true FROM nation UNION ALL SELECT concat('m', n_nationkey), 4, 'total', false FROM nation""",
+    "responses": "SELECT concat('p', p_partkey) AS fn, {list}('r') AS vars, CAST(p_partkey * 10 + 3 AS int) AS line FROM part WHERE p_partkey % 4 <> 0",
+    "jwt_ops": "SELECT concat('p', p_partkey) AS fn, CASE WHEN p_partkey % 2 = 0 THEN 'sign' ELSE 'verify' END AS op, 'env' AS secret_kind, {list}('literal-fallback') AS flags, CAST(NULL AS {string}) AS expires, CAST(p_partkey * 10 + 4 AS int) AS line FROM part WHERE p_size IN (1, 30)",
+    "authz": "SELECT concat('p', p_partkey) AS fn, CASE WHEN p_partkey % 16 = 0 THEN 'role-check' ELSE 'ownership-compare' END AS kind, 'e' AS expr, p_partkey % 3 = 0 AS guarded, CAST(p_partkey * 10 + 5 AS int) AS line FROM part WHERE p_partkey % 8 = 0",
+    "secrets": """SELECT concat('SECRET_', s_suppkey) AS name, 'env' AS source, 'env-file-secret' AS kind, '.env' AS file, CAST(s_suppkey AS int) AS line, '***' AS preview FROM supplier
+ UNION ALL SELECT concat('literal', p_partkey), 'code', 'hardcoded-secret', concat('s', p_partkey % 10, '.js'), CAST(p_partkey * 10 + p_size % 15 AS int), '***' FROM part WHERE p_partkey % 4 = 1""",
+    "env_reads": """SELECT concat('SECRET_', p_partkey % 10) AS name, concat('p', p_partkey) AS fn, concat('s', p_partkey % 10, '.js') AS file, p_size > 10 AS has_default FROM part WHERE p_size % 10 = 3
+ UNION ALL SELECT concat('SECRET_', s_suppkey), NULL, concat('s', s_suppkey, '.js'), false FROM supplier UNION ALL SELECT 'PORT', NULL, concat('s', s_suppkey, '.js'), true FROM supplier""",
+    "deps": "SELECT DISTINCT lower(replace(p_brand, '#', '-')) AS name, '^1.0.0' AS range, p_brand LIKE '%1' AS dev FROM part UNION ALL SELECT '@slack/web', '^2', false FROM region WHERE r_regionkey = 0",
+    "imports": "SELECT concat('s', p_partkey % 10, '.js') AS file, concat(lower(replace(p_brand, '#', '-')), '/x') AS module FROM part WHERE p_size > 20",
+    "sanitizers": "SELECT concat('p', p_partkey) AS fn, 'req.params.id' AS var FROM part WHERE p_size % 6 = 0",
+}
+#: the same tables for DuckDB, in an order in which each uses earlier ones
+SQL = "WITH " + ",\n".join(f"{name} AS ({text.replace('{list}', 'list_value').replace('{string}', 'VARCHAR')})" for name, text in TABLES.items())
 
 
-def tables(spark: SparkSession) -> dict[str, DataFrame]:
-    made = rows()
-    return {name: spark.createDataFrame(made.get(name, []), schema) for name, schema in SCHEMAS.items()}
+def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    known: dict[str, DataFrame] = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "supplier", "part", "orders", "lineitem")}
+    made: dict[str, DataFrame] = {}
+    for name, text in TABLES.items():
+        used = {n: df for n, df in {**known, **made}.items() if f" {n}" in text}
+        body = text.replace("{list}", "array").replace("{string}", "string")
+        for n in used:  # names of frames are parameters in Spark's SQL
+            body = body.replace(f"FROM {n}", f"FROM {{{n}}}").replace(f"JOIN {n}", f"JOIN {{{n}}}")
+        made[name] = spark.sql(body, **{n: df for n, df in used.items() if f"{{{n}}}" in body}).to(spark.createDataFrame([], SCHEMAS[name]).schema)
+    made["playbooks"] = spark.createDataFrame(BOOKS, SCHEMAS["playbooks"])
+    return made
 
 
-def graph(spark: SparkSession) -> CodeGraph:
-    return CodeGraph(tables(spark))
+def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    return CodeGraph(tables(spark, sf_dir))
