@@ -2,37 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldra.sources.landing import fresh
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; where the cluster names none (as in tests), one under /tmp."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a small or middling result; lost executors do not lose it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """A result written as Parquet in the shared folder and read again: compressed, prunable, with known size."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
@@ -69,7 +52,3 @@ def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
     split = marked(rows, id_col, ids, mark)
     kept = split.where(~F.col(mark)).drop(mark)
     return kept.unionAll(split.where(mark).drop(mark).join(ids, id_col, "left_anti").select(rows.columns))
-
-
-def text_or_empty(c: Column | str) -> Column:
-    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
