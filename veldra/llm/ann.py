@@ -57,8 +57,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, corr: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int, sureness: float, seed: int) -> list[tuple[int, int, float]]:
     bits = codes.shape[1] * 8
-    words = np.ascontiguousarray(codes).view(np.uint64)
-    ones = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+    words = np.ascontiguousarray(np.ascontiguousarray(codes).view(np.uint64).T)  # word by word, each over all rows
+    ones = np.bitwise_count(words).sum(axis=0, dtype=np.int64)
     vectors, queries = scaled(vectors), scaled(queries)
     norms = np.sqrt((vectors * vectors).sum(axis=1))
     qnorms = np.sqrt((queries * queries).sum(axis=1))
@@ -72,7 +72,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, corr:
     found = []
     for i, qid in enumerate(qids):
         # <signs, q> = 2 <ones, q> - sum(q), and <ones, q> comes from bit counts, one plane of q's levels after another
-        counted = sum((np.bitwise_count(words & planes[p][i]).sum(axis=1, dtype=np.int64) << p for p in range(PLANES)), np.zeros(len(ids), np.int64))
+        counted = sum((np.bitwise_count(words & planes[p][i][:, None]).sum(axis=0, dtype=np.uint16).astype(np.int64) << p for p in range(PLANES)), np.zeros(len(ids), np.int64))
         estimate = (2 * (low[i] * ones + step[i] * counted) - rounded[i].sum()) / (np.sqrt(bits) * corr)
         upper = estimate + margin + off[i] / corr
         upper[ids == qid] = -np.inf
