@@ -50,13 +50,19 @@ def accesses(spark: SparkSession, sf_dir: str, cap: int = 3) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     pair, order = ["l_orderkey", "l_partkey"], ["l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"]
     grouped = lines.groupBy(*pair).agg(
-        F.min(F.struct(*order))["l_linenumber"].alias("first_line"),
+        F.min("l_linenumber").alias("first_line"),  # plain values, so that the aggregate is a hash table
+        F.min("l_quantity").cast("int").alias("quantity"),
+        F.min("l_suppkey").alias("supplier"),
         F.count("*").alias("calls"),
         F.bool_or(F.col("l_returnflag") == "R").alias("returned"),
         F.bool_and(F.col("l_linestatus") == "F").alias("finished"),
     )
-    ops = merge.capped_rows(lines, pair, F.col("l_quantity").cast("int"), order, cap, "ops")
-    grouped = grouped.join(ops, pair).join(merge.union_rows(lines, pair, "l_suppkey", order, "via"), pair)
+    # what one line says alone needs no ordered merge; the lines of the other pairs get one
+    several = lines.join(grouped.where("calls > 1").select(*pair), pair, "left_semi")
+    ops = merge.capped_rows(several, pair, F.col("l_quantity").cast("int"), order, cap, "ops")
+    grouped = grouped.join(ops.join(merge.union_rows(several, pair, "l_suppkey", order, "via"), pair), pair, "left").withColumns(
+        {"ops": F.coalesce("ops", F.array("quantity")), "via": F.coalesce("via", F.array("supplier"))}
+    )
     a, b = node_id(F.lit("Order"), "l_orderkey"), node_id(F.lit("Part"), "l_partkey")
     return grouped.select(edge_id(F.lit("ACCESSES"), a, b).alias("id"), F.lit("ACCESSES").alias("type"), a.alias("src"), b.alias("dst"), "first_line", "calls", "ops", "via", "returned", "finished")
 
