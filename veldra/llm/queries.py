@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.llm import ann, chat_format, decontaminate, license_scan, near_dup, pii, quality, sentencepiece_sampling, toxicity, url_filter
+from veldra.llm import ann, chat_format, clustering, decontaminate, language, lexical, license_scan, near_dup, pii, quality, sentencepiece_sampling, toxicity, url_filter
 from veldra.llm.common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -155,6 +155,78 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 QUALIFY rank <= 5
 """
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL
+), c AS (
+  SELECT count(*) AS n, sum(len(terms))::BIGINT AS l FROM d WHERE len(terms) > 0
+), p AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY row, term
+), q AS (
+  SELECT DISTINCT row, item_id, term FROM (
+    SELECT row_number() OVER () AS row, item_id,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark)
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c
+), m AS (
+  SELECT row, doc_id, 100 - 50 + (50 * len(terms) * n) // l AS m FROM d, c
+), s AS (
+  SELECT q.row, item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN m ON m.row = p.row GROUP BY q.row, item_id, m.row, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 50
+"""
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
+def rounds_sql(rounds: int) -> str:
+    """One assignment after another: n<i> has the number of each vector's nearest centroid of c<i>."""
+    near = """n{i} AS (
+  SELECT row, vec_id, v, min(number) AS cluster, min(d)::BIGINT AS distance FROM (
+    SELECT row, vec_id, v.v, number, list_sum(list_transform(list_zip(v.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d FROM v, c{i} AS c
+    QUALIFY d = min(d) OVER (PARTITION BY row)
+  ) GROUP BY row, vec_id, v
+)"""
+    move = """m{i} AS (
+  SELECT cluster, list(mean ORDER BY place) AS v FROM (
+    SELECT cluster, place, floor(sum(x) / count(*))::BIGINT AS mean FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM n{i}) GROUP BY cluster, place
+  ) GROUP BY cluster
+), c{j} AS (SELECT number, coalesce(m.v, c.v) AS v FROM c{i} AS c LEFT JOIN m{i} AS m ON number = cluster)"""
+    steps = [part.format(i=i, j=i + 1) for i in range(rounds) for part in (near, move)]
+    return ", ".join([*steps, near.format(i=rounds)])
+
+
+OP12_SQL = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS number, v FROM v WHERE vec_id IS NOT NULL QUALIFY number < 16
+), {rounds_sql(3)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM n3 JOIN c3 ON number = cluster
+"""
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language.train(docs.select("doc_id", "text", "lang"), crc_class(5) != 0)
+    made = docs.select("doc_id", (crc_class(5) == 0).alias("held_out"), language.identify(net, F.col("text")).alias("t"))
+    return made.select("doc_id", "held_out", F.col("t.lang").alias("lang_pred"), F.col("t.score").alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat_format": op2_chat_format,
@@ -166,5 +238,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
     "op10_ann": op10_ann,
+    "op11_lexical": op11_lexical,
+    "op12_clusters": op12_clusters,
+    "op13_language": op13_language,
 }
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_ann": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_ann": OP10_SQL, "op11_lexical": OP11_SQL, "op12_clusters": OP12_SQL}
