@@ -495,14 +495,5 @@ t AS (SELECT page_id, regexp_extract(h[i], 'href="([^"]+)"', 1) AS link, coalesc
 SELECT page_id, link, (1 + length(ahead) - length(replace(ahead, chr(10), '')))::INTEGER AS line FROM t""")
 def link_scan(spark, sf_dir):
     """Links with the line on which each begins."""
-    hits, gaps = F.regexp_extract_all("html", F.lit('href="[^"]+"'), F.lit(0)), F.split("html", 'href="[^"]+"', -1)
-    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(breaks(g).alias("before"), breaks(h).alias("inside"), h.alias("hit")))
-    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<line:int,hit:string>>").alias("out"))
-
-    def add(acc, x):
-        at = acc["line"] + x["before"]
-        return F.struct((at + x["inside"]).alias("line"), F.concat(acc["out"], F.array(F.struct(at.alias("line"), x["hit"].alias("hit")))).alias("out"))
-
-    each = table(spark, sf_dir, "pages").select("page_id", F.explode(F.aggregate(pairs, start, add, lambda acc: acc["out"])).alias("i"))
-    return each.select("page_id", F.regexp_extract("i.hit", 'href="([^"]+)"', 1).alias("link"), "i.line")
+    each = table(spark, sf_dir, "pages").select("page_id", F.explode(S.matches("html", {"link": 'href="[^"]+"'}, S.breaks)).alias("i"))
+    return each.select("page_id", F.regexp_extract("i.hit", 'href="([^"]+)"', 1).alias("link"), (F.col("i.start") + 1).alias("line"))
