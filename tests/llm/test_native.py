@@ -6,6 +6,7 @@ import re
 import textwrap
 
 import pytest
+from pyspark.sql import functions as F
 
 from veldra.llm import chat_format, license_scan, pii, queries, url_filter
 
@@ -268,3 +269,38 @@ def test_url_rules_against_plain_python(spark):
     assert url_filter.judge_urls(pages.where("false"), made.select("host", "path", "verdict")).count() == 0
     none = spark.createDataFrame([], "host string, path string, verdict string")
     assert {r.verdict for r in url_filter.judge_urls(pages, none).collect()} == {"allow"}
+
+
+def test_redaction_leaves_nothing_of_overlapping_spans(spark):
+    rng = random.Random(8)
+    rows = [(0, "host 10.0.0.4 111 1111 1111 1111 end"), (1, "+49 10.0.0.4 111 1111 1111 1111 x"), (2, "password=a1@b2c3d4.example.com 4111 1111 1111 1111")]
+    bits = ["10.0.0.4", " 4111 1111 1111 1111", "+49 171 5550 123", " a.b@c-d.org", " password=abc123def", ".", " ", "1", "x ", "word " * 300, "é😀"]
+    rows += [(i, "".join(rng.choices(bits, k=rng.choice([2, 6, 30])))) for i in range(3, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit(1))
+    made = pii.detect(docs, pii.train(docs))
+    got = made.select("doc_id", "text", "pii", "found", pii.redact(F.col("text"), F.col("pii")).alias("out")).collect()
+    assert got[0].out == "host [IP] end"
+    for r in got:
+        covered, want, at = set(), [], 0
+        for s in sorted(r.pii, key=lambda s: (s.start, -s.end, s.kind)):
+            if s.start >= at:
+                want += [r.text[at : s.start], f"[{s.kind.upper()}]"]
+            at = max(at, s.end)
+            assert s.base or not any(b.base and b.start < s.end and s.start < b.end for b in r.pii)
+        assert r.out == "".join(want) + r.text[at:] and r.found == 1
+        assert [(s.kind, s.start, s.end) for s in r.pii if s.base] == list(base_spans(r.text))
+
+
+def test_many_matches_in_one_text_take_seconds(spark):
+    import time
+
+    text = "a@b.co " * 100_000
+    docs = spark.createDataFrame([(1, text), (2, "card 4111 1111 1111 1111, token=abcdef123456; " * 20_000)], "doc_id long, text string")
+    model = pii.fit([])
+    pii.detect(docs.limit(0), model).count()
+    began = time.perf_counter()
+    made = pii.detect(docs, model)
+    got = made.select("doc_id", F.size("pii").alias("n"), F.length(pii.redact(F.col("text"), F.col("pii"))).alias("chars")).collect()
+    took = time.perf_counter() - began
+    assert {r.doc_id: (r.n, r.chars) for r in got}[1] == (100_000, 800_000)
+    assert took < 60, took

@@ -13,8 +13,10 @@ r"""Personal data by weak supervision, in DataFrame functions only.
 The patterns are the contract's, rewritten with possessive quantifiers and guards against rescans, so a run of 100,000
 digits or letters costs linear time and no stack.
 
+Offsets are running totals over matches and context comes from a text's blocks, so many matches in one text cost hardly more than as many in several.
+
 Defined cases: null text is empty and has no spans; spans added by the method that overlap a base span of any kind are
-dropped; repeated rows are judged each; an empty table gives no rows and the default model.
+dropped; repeated rows are judged each; other columns stay, but for one with the name of the result; an empty table gives no rows and the default model.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veldra.functions import scalars as S
+from veldra.llm.common import unused
+
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
@@ -48,23 +53,6 @@ CUES = {
 }
 COUNTER_CUES = r"(version|release|isbn|order|ticket|section|build)[^a-z0-9]*$"
 
-SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
-
-
-def found(text: Column, kind: str, pattern: str) -> Column:
-    """Matches with offsets: what lies between matches (split) and the matches give all lengths, hence all starts."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        one = F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["hit"].alias("value")))
-        return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
-
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
-
 
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
@@ -93,35 +81,33 @@ def valid(kind: Column, value: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """All candidates of a text; the cheap tests spare most texts the searches, and can't change what is found."""
-    none = F.array().cast(SPANS)
-    digit, mail = text.rlike("[0-9]"), text.contains("@")
-    hidden, keyed = F.lower(text).rlike(r"[\[(]at[\])]"), text.rlike("[=:]")
+    digit = text.rlike("[0-9]")
+    patterns = {
+        "email": (EMAIL, text.contains("@")),
+        "ip": (IP, digit),
+        "card": (CARD, digit),
+        "phone": (PHONE, digit),
+        "hidden": (HIDDEN_EMAIL, F.lower(text).rlike(r"[\[(]at[\])]")),
+        "secret": (SECRET, text.rlike("[=:]")),
+    }
     # a single digit or a digit run that is no card in length is no candidate
-    cards = F.filter(found(text, "card", CARD), lambda c: F.length(_digits(c["value"])).between(13, 19))
-    secret = F.transform(
-        found(text, "secret", SECRET),
-        lambda c: F.struct(
-            c["kind"].alias("kind"),
-            (c["end"] - F.length(F.regexp_extract(c["value"], "[A-Za-z0-9+/_-]+$", 0))).alias("start"),
-            c["end"].alias("end"),
-            c["value"].alias("value"),
-        ),
-    )
-    return F.concat(
-        F.when(mail, found(text, "email", EMAIL)).otherwise(none),
-        F.when(digit, F.concat(found(text, "ip", IP), cards, found(text, "phone", PHONE))).otherwise(none),
-        F.when(hidden, found(text, "email", HIDDEN_EMAIL)).otherwise(none),
-        F.when(keyed, secret).otherwise(none),
-    )
+    likely = F.filter(S.matches(text, patterns), lambda m: (m["name"] != "card") | F.length(_digits(m["hit"])).between(13, 19))
+
+    def named(m: Column) -> Column:
+        value_only = m["end"] - F.length(F.regexp_extract(m["hit"], "[A-Za-z0-9+/_-]+$", 0))
+        kind = F.when(m["name"] == "hidden", "email").otherwise(m["name"])
+        return F.struct(kind.alias("kind"), F.when(m["name"] == "secret", value_only).otherwise(m["start"]).alias("start"), m["end"].alias("end"), m["hit"].alias("value"))
+
+    return F.transform(likely, named)
 
 
 def judged(text: Column, spans: Column) -> Column:
     """Each candidate with its base flag, its four votes and its features."""
 
-    def one(c: Column) -> Column:
+    def one(c: Column, cut: Column) -> Column:
         kind, value = c["kind"], c["value"]
-        ahead = F.lower(F.substring(text, F.greatest(c["start"] - 23, F.lit(1)), F.least(c["start"], F.lit(24))))
-        last, after = F.substring(ahead, F.lit(-1), F.lit(1)), F.substring(text, c["end"] + 1, F.lit(1))
+        ahead = F.lower(S.piece(cut, F.greatest(c["start"] - 24, F.lit(0)), c["start"]))
+        last, after = F.substring(ahead, F.lit(-1), F.lit(1)), S.piece(cut, c["end"], c["end"] + 1)
         free = ~(last.rlike("[a-z0-9]")) & ~(after.rlike("[A-Za-z0-9]"))
         plain = value.contains("@")
         base = F.when(kind == "email", plain).otherwise(valid(kind, value))
@@ -148,7 +134,8 @@ def judged(text: Column, spans: Column) -> Column:
             F.array(size, F.when(value.rlike("[A-Za-z]"), 1).otherwise(0), F.when(value.rlike("[0-9]"), 1).otherwise(0)).alias("features"),
         )
 
-    return F.transform(spans, one)
+    cut = F.when(F.size(spans) > 0, S.blocks(text)).otherwise(F.array().cast("array<string>"))
+    return S.bound(cut, lambda b: F.transform(spans, lambda c: one(c, b)))
 
 
 def with_candidates(docs: DataFrame, text_col: str = "text", out: str = "candidates") -> DataFrame:
@@ -227,29 +214,45 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     return fit(sorted((r[0], list(r[1]), list(r[2]), r[3]) for r in counts.collect()))
 
 
+def apart(base: Column, more: Column) -> Column:
+    """Those of more that overlap none of base: by start, none of the bases up to a span ends behind its start, and the next begins behind its end."""
+    flag = lambda spans, n: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("added"), s.alias("s")))
+
+    def kept(row: Column) -> Column:
+        far = F.lit(2**31 - 1)
+        reach = S.running(F.transform(row, lambda x: F.when(x["added"] == 1, 0).otherwise(x["s"]["end"])), F.lit(0), F.greatest)
+        ahead = F.reverse(S.running(F.reverse(F.transform(row, lambda x: F.when(x["added"] == 1, far).otherwise(x["start"]))), far, F.least))
+        free = F.zip_with(F.zip_with(row, reach, lambda x, r: F.struct(x["added"].alias("added"), x["s"].alias("s"), (r <= x["start"]).alias("free"))), ahead, lambda x, a: F.struct(x["s"].alias("s"), ((x["added"] == 1) & x["free"] & (a >= x["s"]["end"])).alias("free")))
+        return F.transform(F.filter(free, lambda x: x["free"]), lambda x: x["s"])
+
+    return F.when((F.size(base) > 0) & (F.size(more) > 0), S.bound(F.array_sort(F.concat(flag(base, 0), flag(more, 1))), kept)).otherwise(more)
+
+
 def detect(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5, out: str = "pii") -> DataFrame:
-    """docs with ``out``: array<struct<kind, start, end, base>>, by kind as in KINDS, then start."""
+    """docs with ``out``: array<struct<kind, start, end, base>>, by kind as in KINDS, then start; a column of that name is replaced."""
     rank = lambda c: F.array_position(F.array(*[F.lit(k) for k in KINDS]), c["kind"]).cast("int")
     slim = lambda c: F.struct(rank(c).alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["base"].alias("base"))
-    made = with_candidates(docs, text_col, out)
-    base = F.filter(out, lambda c: c["base"])
-    more = F.filter(out, lambda c: ~c["base"] & (model.score(c) >= threshold))
-    apart = F.filter(more, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    spans = F.when(F.size(out) > 0, F.array_sort(F.transform(F.concat(base, apart), slim))).otherwise(
-        F.array().cast("array<struct<rank:int,start:int,end:int,kind:string,base:boolean>>")
-    )
-    return made.withColumn(out, spans)
+    found_col = unused(docs, "found")
+    made = with_candidates(docs, text_col, found_col)
+    none = F.array().cast("array<struct<rank:int,start:int,end:int,kind:string,base:boolean>>")
+    base = F.transform(F.filter(found_col, lambda c: c["base"]), slim)
+    more = F.transform(F.filter(found_col, lambda c: ~c["base"] & (model.score(c) >= threshold)), slim)
+    spans = S.bound(base, lambda b: S.bound(more, lambda m: F.array_sort(F.concat(b, apart(b, m)))))
+    return made.withColumn(out, F.when(F.size(found_col) > 0, spans).otherwise(none)).drop(*({found_col} - {out}))
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """text with each span replaced by ``[KIND]``; of overlapping spans the earlier, then the longer one counts."""
+    """text with its spans replaced by ``[KIND]``; overlapping spans are replaced as one, by the kind of the first, of several that begin together the longest."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        kept = F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.when(s["start"] >= acc["at"], F.struct((-s["end"]).alias("at"), kept.alias("out"))).otherwise(acc)
+    def written(row: Column, reach: Column, cut: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(reach, 1, F.size(reach) - 1))
+        mark = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        parts = F.zip_with(row, before, lambda s, b: F.when(s["start"] >= b, F.concat(S.piece(cut, b, s["start"]), mark(s))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), S.piece(cut, F.element_at(reach, -1), F.length(text)))
+
+    def whole(row: Column) -> Column:
+        reach = S.running(F.transform(row, lambda s: -s["end"]), F.lit(0), F.greatest)
+        return S.bound(reach, lambda r: S.bound(S.blocks(text), lambda cut: written(row, r, cut)))
 
-    joined = F.aggregate(ordered, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, joined).otherwise(text)
+    return F.when(F.size(spans) > 0, S.bound(ordered, whole)).otherwise(text)
