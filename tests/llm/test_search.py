@@ -196,3 +196,19 @@ def test_language_gradients():
             down = loss()
             w.flat[at] += 1e-6
             assert abs((up - down) / 2e-6 - g.flat[at]) < 1e-4
+
+
+def test_each_query_row_has_its_own_neighbours(spark):
+    from veldra.llm import ann
+
+    rng = random.Random(6)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(2)]) for i in range(1, 50)] + [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0])] + [(100, [-1.0, 0.0])] * 3
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search(vectors.repartition(3), vectors.where("vec_id % 50 = 0"), k=5, block=7, query_block=2).collect()
+
+    def near(q, v):
+        scores = sorted((-(v[0] * x[0] + v[1] * x[1]) / (math.hypot(*v) * math.hypot(*x)), i) for i, x in rows if i != q)
+        return [(q, r + 1, i, round(-s, 9)) for r, (s, i) in enumerate(scores[:5])]
+
+    want = sorted(w for q, v in rows if q % 50 == 0 for w in near(q, v))
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in found) == want

@@ -9,13 +9,14 @@ vectors with the best estimates are measured exactly; then each further one whos
 measure is, too. Estimates only choose what is measured: the scores returned are cosines of the original vectors in double
 precision, ties go to the smaller id.
 
-The index holds every vector, cut by hash of the id into blocks of about ``block`` rows; the queries, packed in blocks of
+The index holds every vector, cut by hash into blocks of about ``block`` rows; the queries, packed in blocks of
 ``query_block``, go to every block of the index in groups of at most ``GROUP`` packs. A task holds one index block and
-one group, whatever the number of rows or queries. Many equal vectors spread over the blocks by their ids.
+one group, whatever the number of rows or queries. The hash takes in
+the row's number, so rows of one id, or of one vector, spread over all blocks and packs.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither as query
 nor as candidate; vectors of different lengths aren't compared; a query never finds rows of its own id; repeated ids
-count as rows each; with fewer than k candidates all are returned; empty tables give no rows; other columns are ignored.
+count as rows each, and each query row has its own k answers; with fewer than k candidates all are returned; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,7 +56,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.where(F.col(id_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim"))
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, corr: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int, sureness: float, seed: int) -> list[tuple[int, int, float]]:
+def nearest(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, corr: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int, sureness: float, seed: int) -> list[tuple[int, int, int, float]]:
+    """(query's place, its id, id found, score) of the k nearest rows of a block."""
     bits = codes.shape[1] * 8
     words = np.ascontiguousarray(np.ascontiguousarray(codes).view(np.uint64).T)  # word by word, each over all rows
     ones = np.bitwise_count(words).sum(axis=0, dtype=np.int64)
@@ -89,10 +91,15 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, corr:
             more = np.flatnonzero(upper >= least)
             first, scores = np.concatenate([first, more]), np.concatenate([scores, exact(more)])
         best = np.lexsort((ids[first], -scores))[:k]
-        found += [(int(qid), int(ids[first[j]]), float(scores[j])) for j in best]
+        found += [(i, int(qid), int(ids[first[j]]), float(scores[j])) for j in best]
     return found
 
 
+def search_block(*given: np.ndarray | int | float) -> list[tuple[int, int, float]]:
+    """``nearest`` without the queries' places."""
+    return [row[1:] for row in nearest(*given)]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 256, block: int = 4096, query_block: int = 256, sureness: float = 4.5, seed: int = 11) -> DataFrame:
     """(query_id long, rank int, vec_id long, score double): the k nearest of each query among the other rows."""
     rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
@@ -108,26 +115,30 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
                 yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "dim": int(dim), "raw": [x.tobytes() for x in mat], "code": [x.tobytes() for x in codes], "corr": corr})
 
     coded = rows.mapInPandas(index, "vec_id long, dim int, raw binary, code binary, corr double")
-    blocked = coded.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    spread = lambda n: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    blocked = coded.withColumn("block", spread(blocks)).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        mat = np.array(pdf["v"].tolist(), dtype=np.float64)
-        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "grp": [int(pdf["pack"].iloc[0]) % groups], "qids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "qraw": [mat.tobytes()]})
+        mat, ids = np.array(pdf["v"].tolist(), dtype=np.float64), pdf["vec_id"].to_numpy(np.int64)
+        order = np.lexsort((*mat.T, ids))  # one order, however the rows arrive: a query is known by its pack and its place there
+        number = int(pdf["pack"].iloc[0])
+        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "pack": [number], "grp": [number % groups], "qids": [ids[order].tobytes()], "qraw": [mat[order].tobytes()]})
 
-    packed = asked.withColumn("pack", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(packs)).cast("int")).groupBy("dim", "pack").applyInPandas(pack, "dim int, grp int, qids binary, qraw binary")
+    packed = asked.withColumn("pack", spread(packs)).groupBy("dim", "pack").applyInPandas(pack, "dim int, pack int, grp int, qids binary, qraw binary")
     sent = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int, int, int, int, float]] = []
         if len(left) and len(right):
             dim = int(left["dim"].iloc[0])
             ids, corr = left["vec_id"].to_numpy(np.int64), left["corr"].to_numpy()
             raw = np.frombuffer(b"".join(left["raw"]), np.float64).reshape(-1, dim)
             codes = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(ids), -1)
-            for qids, qraw in zip(right["qids"], right["qraw"], strict=True):
-                out += search_block(ids, raw, codes, corr, np.frombuffer(qids, np.int64), np.frombuffer(qraw, np.float64).reshape(-1, dim), k, sureness, seed)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            for number, qids, qraw in zip(right["pack"], right["qids"], right["qraw"], strict=True):
+                met = nearest(ids, raw, codes, corr, np.frombuffer(qids, np.int64), np.frombuffer(qraw, np.float64).reshape(-1, dim), k, sureness, seed)
+                out += [(dim, number, *row) for row in met]
+        return pd.DataFrame(out, columns=["dim", "pack", "place", "query_id", "vec_id", "score"])
 
-    near = blocked.groupBy("block", "grp", "dim").cogroup(sent.groupBy("block", "grp", "dim")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = blocked.groupBy("block", "grp", "dim").cogroup(sent.groupBy("block", "grp", "dim")).applyInPandas(meet, "dim int, pack int, place int, query_id long, vec_id long, score double")
+    order = Window.partitionBy("dim", "pack", "place").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -169,12 +169,15 @@ def token_labels(texts: list[str], toxic: np.ndarray, least: float = 0.005, rate
     return words, [np.fromiter((bad and any(p in telling for p in parts(w)) for w in ws), bool, len(ws)) for ws, bad in zip(words, toxic, strict=True)]
 
 
-def fit_field(words: list[list[str]], labels: list[np.ndarray], steps: int = 32, passes: int = 6, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Feature weights of T against O, and transition scores; stretches without toxic tokens are thinned to as many again."""
+def fit_field(words: list[list[str]], labels: list[np.ndarray], steps: int = 32, passes: int = 6, seed: int = 5, plain_per_odd: int = 2, plain_least: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Feature weights of T against O, and transition scores, from stretches of ``steps`` words.
+
+    All stretches with toxic tokens are learned from; of those without, ``plain_per_odd`` times as many and ``plain_least`` more, chosen at random.
+    """
     stretches = [(ws[i : i + steps], ys[i : i + steps]) for ws, ys in zip(words, labels, strict=True) for i in range(0, len(ws), steps)]
     rng = np.random.default_rng(seed)
     odd, even = [w for w in stretches if w[1].any()], [w for w in stretches if not w[1].any()]
-    picked = odd + [even[i] for i in rng.permutation(len(even))[: 2 * len(odd) + 200]]
+    picked = odd + [even[i] for i in rng.permutation(len(even))[: plain_per_odd * len(odd) + plain_least]]
     # each stretch as numbers of words; a word's features, filled up with one that always weighs 0
     number: dict[str, int] = {}
     token, gold, real = np.zeros((len(picked), steps), np.int64), np.zeros((len(picked), steps)), np.zeros((len(picked), steps), bool)
