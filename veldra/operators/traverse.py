@@ -105,24 +105,41 @@ def subtree(parents: DataFrame, roots: DataFrame) -> DataFrame:
     return tree.select(F.col("start").alias("root"), "id", "depth")
 
 
-def call_tree(edges: DataFrame, starts: DataFrame, depth: int = 3, cap: int | None = 200) -> DataFrame:
-    """(start, path, id, depth, cycle, truncated): all call paths; a node already on its path is a leaf marked as a cycle.
+def call_tree(edges: DataFrame, starts: DataFrame, depth: int = 3, cap: int | None = 200, leaves: DataFrame | None = None) -> DataFrame:
+    """(start, path, id, kind, depth, cycle, truncated): call paths; a node already on its path is a leaf marked as a cycle.
 
-    At most ``cap`` rows a start, in pre-order; ``truncated`` tells whether there were more.
+    edges: (src, dst); leaves: (id, leaf, kind), what stands below a function beside its calls. At most ``cap`` rows a start, in
+    pre-order; ``truncated`` tells whether there were more. A level makes no row that the cut would drop: a row's place in
+    pre-order only grows with later levels, so each row of the frontier knows beforehand how many of its children there is room for.
     """
-    level = starts.select("start", F.array("start").alias("path"), F.col("start").alias("id"), F.lit(0).alias("depth"), F.lit(False).alias("cycle")).distinct()
-    steps = edges.select(F.col("src").alias("id"), F.col("dst").alias("next")).distinct()
-    out = level
+    children = edges.select(F.col("src").alias("id"), F.col("dst").alias("next"), F.lit("function").alias("kind")).distinct()
+    if leaves is not None:
+        children = children.unionByName(leaves.select("id", F.col("leaf").alias("next"), "kind").distinct())
+    degrees = children.groupBy("id").agg(F.count("*").alias("degree"))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("next", "kind"))
+    children = checkpointed(children if cap is None else children.withColumn("nth", nth).where(F.col("nth") <= cap))
+    columns = ["start", "path", "id", "kind", "depth", "cycle"]
+    known = starts.select("start", F.array("start").alias("path"), F.col("start").alias("id"), F.lit("function").alias("kind"), F.lit(0).alias("depth"), F.lit(False).alias("cycle")).distinct()
+    known, over = checkpointed(known.withColumn("n", F.lit(1))), None
     for d in range(1, depth + 1):
-        level = (
-            level.where("NOT cycle")
-            .join(steps, "id")
-            .select("start", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("id"), F.lit(d).alias("depth"), F.array_contains("path", F.col("next")).alias("cycle"))
-        )
-        out = out.unionByName(level)
-    if cap is None:
-        return out.withColumn("truncated", F.lit(False))
-    order = Window.partitionBy("start").orderBy("path")
-    ranked = out.withColumn("n", F.row_number().over(order))
-    total = out.groupBy("start").agg((F.count("*") > cap).alias("truncated"))
-    return ranked.where(F.col("n") <= cap).drop("n").join(total, "start")
+        front = known.where((F.col("depth") == d - 1) & (F.col("kind") == "function") & ~F.col("cycle"))
+        if cap is None:
+            met = front.join(children.withColumnRenamed("kind", "below"), "id")
+        else:
+            before = F.coalesce(F.sum("degree").over(Window.partitionBy("start").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            front = checkpointed(front.join(degrees, "id").withColumn("room", F.lit(cap) - F.col("n") - before))
+            cut = front.where("degree > room").select("start").distinct()
+            over = cut if over is None else over.unionByName(cut)
+            met = front.where("room > 0").join(children.withColumnRenamed("kind", "below"), "id").where(F.col("nth") <= F.col("room"))
+        cycle = (F.col("below") == "function") & F.array_contains("path", F.col("next"))
+        made = met.select("start", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("id"), F.col("below").alias("kind"), F.lit(d).alias("depth"), cycle.alias("cycle"))
+        both = known.select(columns).unionByName(made)
+        if cap is None:
+            known = checkpointed(both)
+        else:
+            ranked = checkpointed(both.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy("path", "kind"))))
+            over = over.unionByName(ranked.where(F.col("n") > cap).select("start"))  # pushed out by what came before them
+            known = ranked.where(F.col("n") <= cap)
+    if over is None:
+        return known.select(*columns, F.lit(False).alias("truncated"))
+    return known.select(columns).join(over.distinct().withColumn("truncated", F.lit(True)), "start", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))

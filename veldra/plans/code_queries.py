@@ -153,15 +153,25 @@ def code_attack_path(spark, sf_dir):
     return traverse.paths(store.edges, pairs, 8).where("step = 0").select("goal", "depth")
 
 
-@query(sample_app.SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT DISTINCT fn, callee FROM calls WHERE fn LIKE 'p%'), t AS (SELECT fn AS start, [fn] AS path, fn AS id, 0 AS depth, false AS cycle FROM functions WHERE fn LIKE 'p%'
+@query(sample_app.SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT DISTINCT fn, callee FROM calls), t AS (SELECT fn AS start, [fn] AS path, fn AS id, 0 AS depth, false AS cycle FROM functions
  UNION ALL SELECT start, list_append(path, callee), callee, depth + 1, list_contains(path, callee) FROM t JOIN e ON fn = id WHERE NOT cycle AND depth < 6)
-SELECT start, array_to_string(path, '>') AS path, 'function' AS kind, depth, cycle FROM t
-UNION ALL SELECT start, array_to_string(path, '>') || '>' || model, 'model', depth + 1, false FROM t JOIN (SELECT DISTINCT fn, model FROM ops) o ON o.fn = id WHERE NOT cycle AND depth < 6""")
+SELECT start, array_to_string(path, '>') AS path, 'function' AS kind, depth, cycle, false AS truncated FROM t
+UNION ALL SELECT start, array_to_string(path, '>') || '>' || model, 'model', depth + 1, false, false FROM t JOIN (SELECT DISTINCT fn, model FROM ops) o ON o.fn = id WHERE NOT cycle AND depth < 6""")
 def code_call_graph(spark, sf_dir):
-    """The call tree below each library function, with the models that it comes to."""
+    """The call tree below each function, handlers included, with the models that it comes to."""
     graph = sample_app.graph(spark, sf_dir)
-    starts = graph.t["functions"].where("fn LIKE 'p%'").select(F.col("fn").alias("start"))
-    return graph.call_graph(starts, depth=6).select("start", F.array_join("path", ">").alias("path"), "kind", "depth", "cycle")
+    found = graph.call_graph(graph.t["functions"].select(F.col("fn").alias("start")), depth=6)
+    return found.select("start", F.array_join("path", ">").alias("path"), "kind", "depth", "cycle", "truncated")
+
+
+@query(sample_app.SQL + """, up AS (SELECT DISTINCT callee, fn FROM calls)
+SELECT handler AS start, handler || '>' || route AS path, 'route' AS kind FROM routes UNION ALL SELECT DISTINCT fn, fn || '>' || name, 'middleware' FROM chain WHERE fn IS NOT NULL
+UNION ALL SELECT callee, callee || '>' || fn || '>' || route, 'route' FROM up JOIN routes ON handler = fn UNION ALL SELECT DISTINCT callee, callee || '>' || up.fn || '>' || name, 'middleware' FROM up JOIN chain USING (fn) WHERE callee <> up.fn""")
+def code_entry_points(spark, sf_dir):
+    """The routes and middleware from which each function is run, at most one call away."""
+    graph = sample_app.graph(spark, sf_dir)
+    found = graph.call_graph(graph.t["functions"].select(F.col("fn").alias("start")), depth=2, direction="in", cap=None).where("kind <> 'function'")
+    return found.select("start", F.array_join("path", ">").alias("path"), "kind")
 
 
 @query(sample_app.SQL + """, e AS (SELECT DISTINCT callee AS id, fn AS next FROM calls), m AS (SELECT 'm' || n_nationkey AS id FROM nation), a AS (SELECT DISTINCT fn FROM ops WHERE fn LIKE 'h%')

@@ -224,25 +224,18 @@ class CodeGraph:
         return self.handler_closure.drop("depth").join(self.exposure, "fn") if by_route else self.exposure
 
     def call_graph(self, starts: DataFrame, depth: int = 3, direction: str = "out", cap: int | None = 200) -> DataFrame:
-        """(start, path, kind, depth, cycle): call trees, downwards with the models used, or upwards with the routes and middleware that call.
+        """(start, path, kind, depth, cycle, truncated): call trees, downwards with the models used, or upwards with the routes and middleware that call.
 
-        depth is held within 1 and 6; at most ``cap`` rows a start, in pre-order.
+        depth is held within 1 and 6; at most ``cap`` rows a start, in pre-order, and ``truncated`` where there are more.
         """
-        depth = min(max(depth, 1), 6)
         near, far = ("src", "dst") if direction == "out" else ("dst", "src")
         steps = self.calls.select(F.col(near).alias("src"), F.col(far).alias("dst"))
-        tree = traverse.call_tree(steps, starts, depth, cap=None)
-        rows = tree.select("start", "path", F.lit("function").alias("kind"), "depth", "cycle")
+        leaf = lambda df, fn, name, kind: df.where(F.col(fn).isNotNull()).select(F.col(fn).alias("id"), F.col(name).alias("leaf"), F.lit(kind).alias("kind"))
         if direction == "out":
-            leaves = [("model", self.access_edges.select("fn", F.col("model").alias("leaf")))]
+            leaves = leaf(self.access_edges, "fn", "model", "model")
         else:
-            leaves = [("route", self.t["routes"].select(F.col("handler").alias("fn"), F.col("route").alias("leaf"))), ("middleware", self.t["chain"].select("fn", F.col("name").alias("leaf")).distinct())]
-        for kind, table in leaves:
-            ends = tree.where(~F.col("cycle") & (F.col("depth") < depth)).join(table, F.col("id") == F.col("fn"))
-            rows = rows.unionByName(ends.select("start", F.concat("path", F.array("leaf")).alias("path"), F.lit(kind).alias("kind"), (F.col("depth") + 1).alias("depth"), F.lit(False).alias("cycle")))
-        if cap is None:
-            return rows
-        return rows.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy("path", "kind"))).where(F.col("n") <= cap).drop("n")
+            leaves = leaf(self.t["routes"], "handler", "route", "route").unionByName(leaf(self.t["chain"], "fn", "name", "middleware"))
+        return traverse.call_tree(steps, starts, min(max(depth, 1), 6), cap, leaves).select("start", "path", "kind", "depth", "cycle", "truncated")
 
     def unprotected(self) -> DataFrame:
         return self.routes(protected=False)

@@ -281,17 +281,17 @@ def routes_reaching(spark, sf_dir):
     return traverse.reaching(star.edges(spark, sf_dir), targets, 3, "Customer", "Order")
 
 
-CALLS_ROWS = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "d"), ("c", "e"), ("f", "a")]
-
-
-@query("""WITH RECURSIVE e(src, dst) AS (VALUES ('a', 'b'), ('b', 'c'), ('c', 'a'), ('a', 'd'), ('d', 'd'), ('c', 'e'), ('f', 'a')),
-t AS (SELECT s AS start, [s] AS path, s AS id, 0 AS depth, false AS cycle FROM (VALUES ('a'), ('f')) v(s)
- UNION ALL SELECT start, list_append(path, dst), dst, depth + 1, list_contains(path, dst) FROM t JOIN e ON src = id WHERE NOT cycle AND depth < 4)
-SELECT start, array_to_string(path, '>') AS path, id, depth, cycle, false AS truncated FROM t""")
+@query("""WITH e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem),
+t AS (SELECT 'c' || c_custkey AS start, ['c' || c_custkey] AS path, 'c' || c_custkey AS id, 0 AS depth FROM customer
+ UNION ALL SELECT 'c' || c_custkey, [a.src, a.dst], a.dst, 1 FROM customer JOIN e a ON a.src = 'c' || c_custkey
+ UNION ALL SELECT 'c' || c_custkey, [a.src, a.dst, b.dst], b.dst, 2 FROM customer JOIN e a ON a.src = 'c' || c_custkey JOIN e b ON b.src = a.dst)
+SELECT start, array_to_string(path, '>') AS path, id, 'function' AS kind, depth, false AS cycle, count(*) OVER (PARTITION BY start) > 20 AS truncated FROM t QUALIFY row_number() OVER (PARTITION BY start ORDER BY path) <= 20""")
 def call_tree_nodes(spark, sf_dir):
-    edges = spark.createDataFrame(CALLS_ROWS, "src string, dst string")
-    tree = traverse.call_tree(edges, spark.createDataFrame([("a",), ("f",)], "start string"), depth=4)
-    return tree.withColumn("path", F.array_join("path", ">"))
+    """The first 20 rows, in pre-order, of the tree below each customer, and whether there are more."""
+    t = lambda name, src, dst: table(spark, sf_dir, name).selectExpr(f"{src} AS src", f"{dst} AS dst")
+    edges = t("orders", "concat('c', o_custkey)", "concat('o', o_orderkey)").unionByName(t("lineitem", "concat('o', l_orderkey)", "concat('p', l_partkey)"))
+    starts = table(spark, sf_dir, "customer").selectExpr("concat('c', c_custkey) AS start")
+    return traverse.call_tree(edges, starts, depth=4, cap=20).withColumn("path", F.array_join("path", ">"))
 
 
 @query("""SELECT 'Region:' || r_regionkey AS root, id, depth FROM region JOIN (
