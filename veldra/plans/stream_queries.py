@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veldra.operators.store import newest
 from veldra.plans.queries import ORACLE_SQL, query
-from veldra.sources.landing import landed, table_stream
-from veldra.streaming import changes
+from veldra.plans.star import table
+from veldra.sources.landing import fresh, landed, table_stream
+from veldra.streaming import changes, timers
 
 
 def _events(spark, sf_dir):
@@ -46,3 +48,26 @@ def stream_maintained(spark, sf_dir):
     path = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), (F.col("event_id") % 7).cast("string"))
     rows = _events(spark, sf_dir).select(path.alias("path"), "event_id", "ts", kind.alias("kind"))
     return changes.maintained(rows, "path", ["ts", "event_id"]).where("kind <> 'deleted'").select("path", "event_id", "kind")
+
+
+@query("""WITH e AS (SELECT user_id, epoch_ms(ts) // 86400000 AS day FROM events), last AS (SELECT (max(epoch_ms(ts)) - 3600000) // 86400000 AS day FROM events),
+w AS (SELECT user_id, unnest(range(min(e.day), (SELECT day FROM last))) AS day FROM e GROUP BY user_id)
+SELECT user_id, day * 86400000 AS began, (day + 1) * 86400000 AS ended FROM w WHERE (user_id, day) NOT IN (SELECT (user_id, day) FROM e)""")
+def stream_heartbeats(spark, sf_dir):
+    """The days on which a user, once seen, did nothing."""
+    return landed(timers.heartbeats(_events(spark, sf_dir), "user_id", "ts", 86_400_000, "1 hour"), "beats").select("user_id", "began", "ended")
+
+
+@query("""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_id % 17 = 0 AS lost FROM events), kept AS (SELECT user_id, max(seq) AS far FROM e WHERE NOT lost GROUP BY user_id)
+SELECT user_id, seq AS place, seq, CASE WHEN lost THEN 'gap' ELSE 'step' END AS kind FROM e JOIN kept USING (user_id) WHERE seq <= far UNION ALL SELECT -1, 1, 1, 'step'""")
+def stream_ordered_steps(spark, sf_dir):
+    """Each user's events by number, though they come in any order, twice in part, and some never."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    numbered = e.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("seq"), "ts").where("event_id % 17 <> 0").drop("event_id")
+    end = e.agg(F.lit(-1).cast("long").alias("user_id"), F.lit(1).cast("long").alias("seq"), (F.max("ts") + F.expr("INTERVAL 2000 DAYS")).alias("ts"))
+    numbered, path = numbered.withColumn("user_id", F.col("user_id").cast("long")), fresh(spark, "steps")
+    for i in range(3):  # a file a micro-batch; every seventh step comes twice
+        part = numbered.where((F.pmod(F.xxhash64("user_id", "seq"), F.lit(3)) == i) | ((F.col("seq") % 7 == 0) & F.lit(i == 1)))
+        (part if i < 2 else part.unionByName(end)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(numbered.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return landed(timers.ordered(stream, "user_id", "seq", "ts", 1000, "1000 days"), "ordered").select("user_id", "place", "seq", "kind")
