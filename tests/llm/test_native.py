@@ -304,3 +304,47 @@ def test_many_matches_in_one_text_take_seconds(spark):
     took = time.perf_counter() - began
     assert {r.doc_id: (r.n, r.chars) for r in got}[1] == (100_000, 800_000)
     assert took < 60, took
+
+
+BSD = """Copyright (c) 2010, The Regents of the University
+{0}Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{1} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+{2} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ENDORSE = """{3} Neither the name of the University of California, Berkeley nor the names of its
+   contributors may be used to endorse or promote products derived from this
+   software without specific prior written permission.
+"""
+
+
+def test_license_texts_with_names_marks_expressions_and_titles(spark):
+    """Texts and answers written down here, without the module's own splitter."""
+    marks = [("", "1.", "2.", "3."), ("", "(1)", "(2)", "(3)"), ("", "a)", "b)", "c)"), ("", " *", " *", " *"), ("# ", "#  (i)", "#  (ii)", "#  (iii)")]
+    cases = {f"bsd3 {m[1]}": ((BSD + ENDORSE).format(*m), ["BSD-3-Clause"]) for m in marks}
+    cases |= {f"bsd2 {m[1]}": (BSD.format(*m), ["BSD-2-Clause"]) for m in marks}
+    cases |= {
+        "author": (BSD.format("", "1.", "2.") + "3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.", ["BSD-3-Clause"]),
+        "or": ("// SPDX-License-Identifier: (MIT OR Apache-2.0)\nfn main() {}", ["MIT", "Apache-2.0"]),
+        "and": ("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note AND (BSD-2-Clause or ISC) */ int x;", ["GPL-2.0-only", "BSD-2-Clause", "ISC"]),
+        "one": ("# SPDX-License-Identifier: MIT\nAND then some more words", ["MIT"]),
+        "unknown": ("# SPDX-License-Identifier: NoSuch-1.0 OR MIT", ["MIT"]),
+        "gpl": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.", ["GPL-3.0-only"]),
+        "apache": ("\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/", ["Apache-2.0"]),
+        "mpl": ("Mozilla Public License Version 2.0\n==================================\n\n1. Definitions", ["MPL-2.0"]),
+        "go": ("// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.", ["BSD-style"]),
+        "none": ("The University (1) may use a) this software license b) or permission.", []),
+        "far": ("Neither the name of " + "word " * 40 + "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", []),
+    }
+    found = license_scan.scan(spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id string, text string")).collect()
+    assert {r.doc_id: r.licenses for r in found} == {k: want for k, (_, want) in cases.items()}
+
+
+def test_license_scan_keeps_null_ids_and_long_texts(spark):
+    rows = [(None, "MIT License"), (None, None), (1, "license " * 200_000), (2, "license (a) " * 50_000 + "\nMIT License")]
+    got = {(r.doc_id, tuple(r.licenses)) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, ("MIT",)), (None, ()), (1, ()), (2, ("MIT",))}

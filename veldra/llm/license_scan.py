@@ -2,7 +2,9 @@
 
 Texts are cut into pieces at line breaks and ends of sentences; each is normalised (lower case, letters and digits with
 single spaces). A known licence sentence is found where one piece or several, one after another, make up its words, so a
-notice may be wrapped over lines, stand in a comment, or hold such breaks itself; from the left, the longest counts. The ids
+notice may be wrapped over lines, stand in a comment, or hold such breaks itself; from the left, the longest counts. Where a
+known sentence has ``{}``, up to ``SLOT`` words may stand, as names of holders do; marks of lists before a sentence don't
+count; an SPDX tag with an expression counts as one tag for each licence that it names. The ids
 found, in order, are matched against ordered licence rules. A rule is a sequence of sentence ids that must stand one after
 another among a text's known sentences; rules are tried in their order (the longer first), and a sentence that one rule has
 used is not used by a later one.
@@ -26,7 +28,10 @@ SENTENCES = {
     "mit_grant": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
     ],
-    "mit_notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "mit_notice": [
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software.",
+    ],
     "as_is": [
         "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
     ],
@@ -63,8 +68,13 @@ SENTENCES = {
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
     ],
     "bsd_endorse": [
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Neither the name of {} nor the names of {} may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Neither the names of {} nor the names of {} may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "The name of {} may not be used to endorse or promote products derived from this software without specific prior written permission.",
+        "The names of {} may not be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
+    "bsd_style": ["Use of this source code is governed by a BSD-style license that can be found in {} file."],
     "isc_grant": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
@@ -94,6 +104,17 @@ SENTENCES = {
     "ccbync_ref": ["Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0."],
     "ccby_ref": ["Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0."],
     "ccbysa_ref": ["Licensed under CC BY-SA 4.0.", "This work is licensed under CC BY-SA 4.0."],
+    "gpl3_title": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "gpl2_title": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "lgpl3_title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "lgpl21_title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "agpl3_title": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "apache_title": ["Apache License Version 2.0, January 2004"],
+    "mpl_title": ["Mozilla Public License Version 2.0"],
+    "epl_title": ["Eclipse Public License - v 2.0"],
+    "ccby_title": ["Creative Commons Attribution 4.0 International Public License"],
+    "ccbysa_title": ["Creative Commons Attribution-ShareAlike 4.0 International Public License"],
+    "ccbync_title": ["Creative Commons Attribution-NonCommercial 4.0 International Public License"],
     "mpl_ref": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 SPDX = (
@@ -139,10 +160,27 @@ RULES = [
     ("CC-BY-SA-4.0", ["ccbysa_ref"]),
     ("MPL-2.0", ["mpl_ref"]),
     ("MIT", ["mit_title"]),
+    ("GPL-3.0-only", ["gpl3_title"]),
+    ("GPL-2.0-only", ["gpl2_title"]),
+    ("LGPL-3.0-only", ["lgpl3_title"]),
+    ("LGPL-2.1-only", ["lgpl21_title"]),
+    ("AGPL-3.0-only", ["agpl3_title"]),
+    ("Apache-2.0", ["apache_title"]),
+    ("MPL-2.0", ["mpl_title"]),
+    ("EPL-2.0", ["epl_title"]),
+    ("CC-BY-4.0", ["ccby_title"]),
+    ("CC-BY-SA-4.0", ["ccbysa_title"]),
+    ("CC-BY-NC-4.0", ["ccbync_title"]),
+    ("BSD-style", ["bsd_style"]),
     *((name, [f"spdx_{name}"]) for name in SPDX),
 ]
 TRIGGERS = ("licen", "warrant", "permission", "redistribut", "unencumbered")
 BREAK = r"(?<=[.!?;:])\s+|[\n\r]+"
+SLOT = 12
+#: ``(1)``, ``a)`` or ``iv)`` at the beginning of a line or after a sentence
+MARK = r"(?m)(?:^|(?<=[.!?;:]\s))[^\S\n\r]*[*#/;%-]{0,3}[^\S\n\r]*\(?(?:[0-9]{1,2}|[A-Za-z]|[ivx]{1,4})\)[^\S\n\r]+"
+#: a tag and the first licence of its expression, or the next licence of it
+TAG = r"(?i)(?:SPDX-License-Identifier:[ \t]*|(?<!^)\G[ \t]*\)*[ \t]*(?:OR|AND)[ \t]+)\(*[ \t]*([A-Za-z0-9][A-Za-z0-9.+-]*)(?:[ \t]+WITH[ \t]+[A-Za-z0-9.-]+)?"
 
 
 def normal(sentence: str) -> str:
@@ -152,7 +190,8 @@ def normal(sentence: str) -> str:
 
 def normal_pieces(text: Column) -> Column:
     """The normalised pieces of a text that hold words, each between two newlines."""
-    words = F.regexp_replace(F.lower(F.regexp_replace(text, BREAK, "\n")), r"[^a-z0-9\n\x{80}-\x{10FFFF}]+", " ")
+    plain = F.regexp_replace(F.regexp_replace(text, TAG, "\nSPDX-License-Identifier: $1\n"), MARK, "\n")
+    words = F.regexp_replace(F.lower(F.regexp_replace(plain, BREAK, "\n")), r"[^a-z0-9\n\x{80}-\x{10FFFF}]+", " ")
     return F.regexp_replace(F.concat(F.lit("\n"), words, F.lit("\n")), r" *\n[ \n]*", "\n")
 
 
@@ -164,12 +203,24 @@ def known_sentences(table: dict[str, list[str]] = SENTENCES) -> dict[str, str]:
     return known
 
 
-def sentence_ids(text: Column, known: dict[str, str]) -> Column:
+def filled(table: dict[str, list[str]] = SENTENCES) -> list[tuple[str, str]]:
+    """(pattern, sentence without its slots) of each known sentence that has some."""
+    out = []
+    for s in [s for each in table.values() for s in each if "{}" in s]:
+        parts = [normal(p).replace(" ", "[ \n]") for p in s.split("{}")]
+        out.append(("(?<=\n)" + (f"[ \n](?:[^ \n]+[ \n]){{1,{SLOT}}}?").join(parts) + "(?=\n)", normal(s)))
+    return out
+
+
+def sentence_ids(text: Column, known: dict[str, str], slots: list[tuple[str, str]] = ()) -> Column:
     """The ids of the known sentences of a text, in order."""
     pairs = [F.lit(x) for kv in known.items() for x in kv]
     longest_first = sorted(known, key=lambda s: -len(s))
     pattern = "(?<=\n)(?:" + "|".join(s.replace(" ", "[ \n]") for s in longest_first) + ")(?=\n)"
-    found = F.regexp_extract_all(normal_pieces(text), F.lit(pattern), F.lit(0))
+    pieces = normal_pieces(text)
+    for slotted, bare in slots:
+        pieces = F.regexp_replace(pieces, slotted, bare)
+    found = F.regexp_extract_all(pieces, F.lit(pattern), F.lit(0))
     return F.transform(found, lambda s: F.element_at(F.create_map(*pairs), F.translate(s, "\n", " ")))
 
 
@@ -183,7 +234,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table:
     known = known_sentences(table)
     none = F.array().cast("array<string>")
     hit = text.rlike("(?i)" + "|".join(TRIGGERS))
-    found = docs.select(F.col(id_col), F.when(hit, sentence_ids(text, known)).otherwise(none).alias("sentences"))
+    found = docs.select(F.col(id_col), F.when(hit, sentence_ids(text, known, filled(table))).otherwise(none).alias("sentences"))
     line = F.concat(F.lit(" "), F.array_join("sentences", "  "), F.lit(" "))
     for n, (_, sequence) in enumerate(rules):
         line = F.replace(line, F.lit(" " + "  ".join(sequence) + " "), F.lit(f" #{n} "))
