@@ -212,3 +212,20 @@ def test_each_query_row_has_its_own_neighbours(spark):
 
     want = sorted(w for q, v in rows if q % 50 == 0 for w in near(q, v))
     assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in found) == want
+
+
+def test_a_long_benchmark_item_leaves_the_passages_of_short_ones_alone(spark):
+    """A text that spreads an item's words over a thousand others scores the same, whatever other items there are."""
+    from veldra.llm import decontaminate
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("bcdfghjklm", k=7))
+    item = [word() for _ in range(20)]
+    spread = " ".join(w for x in item for w in (x, *(word() for _ in range(50))))
+    docs = spark.createDataFrame([(1, spread), (2, " ".join([word() for _ in range(500)] + item + [word() for _ in range(500)]))], "doc_id long, text string")
+    far = " ".join(word() for _ in range(2000))
+    found = {}
+    for name, items in (("alone", [(1, " ".join(item))]), ("with", [(1, " ".join(item)), (2, far)])):
+        leaks = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), overlap=0.0).collect()
+        found[name] = {(r.doc_id, r.item_id) for r in leaks}
+    assert found["alone"] == found["with"] == {(2, 1)}

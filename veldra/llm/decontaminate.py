@@ -1,7 +1,7 @@
 """Benchmark decontamination: a BM25 index of the test items, queried by every passage with block-max WAND.
 
-The test items are the indexed documents; the training documents are cut into passages, each long enough and overlapping
-enough that any item lies whole in one of them. A passage's words are the query; an item's BM25 score is divided by the
+The test items are the indexed documents, in classes of lengths; for each class the training documents are cut into passages, each long enough and overlapping
+enough that any item of the class lies whole in one of them. A passage's words are the query; an item's BM25 score is divided by the
 score that the item's own words would get, so one threshold serves all items, and all items at or above it are retrieved:
 lists are walked in item order, upper bounds of lists choose the pivot, and the bounds of the pivot's blocks allow skips.
 A passage is
@@ -10,11 +10,12 @@ of the question's and of the answer's word runs of five that occur in the passag
 is the item's last sentence, the question what precedes it (an item of one sentence is cut in the middle).
 
 The index goes to the tasks in shards of about ``SHARD`` items and ``SHARD_CHARS`` characters, so what is sent at once is bounded however large the
-benchmark is; each further shard is a further pass over the documents. Scores and passages don't depend on the shards: the
-number of items, their mean and largest lengths and the document frequencies of a shard's words are those of all items.
+benchmark is; each further shard is a further pass over the documents, stored before the next index is built. Scores and
+passages don't depend on the shards: the number of items, their mean length and the document frequencies of a shard's words
+are those of all items, and a class is the lengths between two powers of two.
 
 Defined cases: null texts are empty; items without words match nothing; items of equal text are all reported; repeated
-documents are reported each; empty tables give no rows; other columns are ignored; null item ids are left out.
+documents are reported each, repeated item ids, too; empty tables give no rows; other columns are ignored; null item ids are left out.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldra.llm.common import stored
+
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 RUN, BLOCK, SHARD, SHARD_CHARS, SHORT = 5, 32, 20_000, 8_000_000, 20
@@ -44,23 +47,25 @@ def runs(words: list[str]) -> set[tuple[str, ...]]:
 
 
 class Totals(NamedTuple):
-    """Of all items that have words: their number, mean length and largest length, and document frequencies of words."""
+    """Of all items that have words: their number, mean length, and document frequencies of words."""
 
     n: int
     mean: float
-    longest: int
     df: dict[str, int]
 
 
 def totals(words: list[list[str]]) -> Totals:
     sizes = [len(w) for w in words]
-    return Totals(len(sizes), sum(sizes) / max(1, len(sizes)), max(sizes, default=1), Counter(t for w in words for t in set(w)))
+    return Totals(len(sizes), sum(sizes) / max(1, len(sizes)), Counter(t for w in words for t in set(w)))
 
 
 class Index:
-    """Postings by term, in item order, cut into blocks with their largest scores. whole: totals of more items than these."""
+    """Postings by term, in item order, cut into blocks with their largest scores.
 
-    def __init__(self, items: list[tuple[int, str]], whole: Totals | None = None):
+    whole: totals of more items than these; terms: numbers of more terms than these items'.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], whole: Totals | None = None, terms: dict[str, int] | None = None):
         words = [WORD.findall(t.lower()) for _, t in items]
         keep = [i for i, w in enumerate(words) if w]
         self.ids, self.words = [items[i][0] for i in keep], [words[i] for i in keep]
@@ -73,8 +78,9 @@ class Index:
                 w = words[i]
                 q, a = w[: len(w) // 2], w[len(w) // 2 :]
             self.halves.append((runs(q), runs(a)))
-        n, mean, self.longest, df = whole or totals(self.words)
-        self.terms = {t: i for i, t in enumerate(sorted({t for w in self.words for t in w}))}
+        n, mean, df = whole or totals(self.words)
+        self.longest = (1 << max(map(len, self.words), default=1).bit_length()) - 1  # of all items of such a length
+        self.terms = terms or {t: i for i, t in enumerate(sorted({t for w in self.words for t in w}))}
         lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for d, w in enumerate(self.words):
             own = {}
@@ -86,7 +92,7 @@ class Index:
                 lists[t].append((d, s / full))
         self.docs = [[d for d, _ in lists[t]] for t in range(len(self.terms))]
         self.scores = [[s for _, s in lists[t]] for t in range(len(self.terms))]
-        self.bound = np.array([max(s) for s in self.scores] or [0.0])
+        self.bound = np.array([max(s, default=0.0) for s in self.scores] or [0.0])
         self.block_max = [[max(s[i : i + BLOCK]) for i in range(0, len(s), BLOCK)] for s in self.scores]
         # short lists in one array each, and what an item's long lists can add at most
         short = [len(d) <= SHORT for d in self.docs]
@@ -119,7 +125,7 @@ class Index:
     def wand(self, terms: list[int], least: float) -> list[tuple[int, float]]:
         """(item, score) of all items whose score over these distinct terms is at least ``least``."""
         at = {t: 0 for t in terms}
-        live = sorted(terms, key=lambda t: self.docs[t][0])
+        live = sorted((t for t in terms if self.docs[t]), key=lambda t: self.docs[t][0])
         found = []
         while live:
             total, pivot = 0.0, -1
@@ -160,11 +166,12 @@ class Index:
 
     def hits(self, text: str, least: float, overlap: float, codes: dict[str, int]) -> dict[int, tuple[float, float, float]]:
         """item -> (best score, question share, answer share) of the verified items of a text."""
-        stride = max(RUN, self.longest)
         words = WORD.findall(text)
-        if not words:
-            return {}
-        term = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+        return self.hits_of(words, np.fromiter(map(codes.__getitem__, words), np.int64, len(words)), least, overlap) if words else {}
+
+    def hits_of(self, words: list[str], term: np.ndarray, least: float, overlap: float) -> dict[int, tuple[float, float, float]]:
+        """``hits`` of a text's words and their terms."""
+        stride = max(RUN, self.longest)
         some = np.flatnonzero(self.short[term])
         near = np.empty(0, np.int64)
         if len(some):  # a word stands in the passage that begins in its stretch, and in the one before
@@ -194,6 +201,28 @@ class Index:
         return out
 
 
+class Classes:
+    """An index for each class of lengths (powers of two), over the same terms, so that a passage is about as long as the items it is held against."""
+
+    def __init__(self, items: list[tuple[int, str]], whole: Totals | None = None):
+        words = {i: WORD.findall(t.lower()) for i, (_, t) in enumerate(items)}
+        whole = whole or totals([w for w in words.values() if w])
+        self.terms = {t: i for i, t in enumerate(sorted({t for w in words.values() for t in w}))}
+        classes: dict[int, list[tuple[int, str]]] = defaultdict(list)
+        for i, w in words.items():
+            if w:
+                classes[len(w).bit_length()].append(items[i])
+        self.parts = [Index(part, whole, self.terms) for _, part in sorted(classes.items())]
+
+    def hits(self, text: str, least: float, overlap: float, codes: dict[str, int]) -> list[tuple[int, float, float, float]]:
+        """(item id, best score, question share, answer share) of the verified items of a text."""
+        words = WORD.findall(text)
+        if not words:
+            return []
+        term = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+        return [(part.ids[item], *found) for part in self.parts for item, found in part.hits_of(words, term, least, overlap).items()]
+
+
 class Codes(dict):
     """word as written -> its term, or -1; forgets everything when it grows large."""
 
@@ -224,7 +253,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
             return texts.map(lambda t: WORD.findall(t.lower()))
 
         counted = items.select("shard", words_of("text").alias("words")).where("size(words) > 0")
-        n, mean, longest = counted.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
+        n, mean = counted.agg(F.count("*"), F.avg(F.size("words"))).first()
         each = counted.select("shard", F.explode(F.array_distinct("words")).alias("word")).groupBy("word", "shard").agg(F.count("*").alias("n"))
         df = each.select("shard", "word", F.sum("n").over(Window.partitionBy("word")).alias("df")).persist()  # a word has a row a shard
 
@@ -232,8 +261,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         part, whole = items, None
         if shards > 1:
             part = items.where(F.col("shard") == k)
-            whole = Totals(n, mean or 0.0, longest or 1, {r.word: r.df for r in df.where(F.col("shard") == k).collect()})  # words of about SHARD items
-        index = docs.sparkSession.sparkContext.broadcast(Index(sorted((r.item_id, r.text) for r in part.collect()), whole))
+            whole = Totals(n, mean or 0.0, {r.word: r.df for r in df.where(F.col("shard") == k).collect()})  # words of about SHARD items
+        index = docs.sparkSession.sparkContext.broadcast(Classes(sorted((r.item_id, r.text) for r in part.collect()), whole))
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = index.value
@@ -241,12 +270,15 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
             for batch in it:
                 rows = []
                 for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                    for item, found in own.hits(text.as_py(), least, overlap, codes).items():
-                        rows.append((doc.as_py(), own.ids[item], *found))
+                    rows += [(doc.as_py(), *found) for found in own.hits(text.as_py(), least, overlap, codes)]
                 columns = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(5)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), *[pa.float64()] * 3], strict=True)], ["doc_id", "item_id", "bm25_share", "question_overlap", "answer_overlap"])
 
-        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, schema)
+        made = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, schema)
+        if shards > 1:  # one index at a time is on the driver and in the executors
+            made = stored(made, "leaks-of-shard")
+            index.destroy()
+        return made
 
     found = reduce(DataFrame.unionAll, [one(k) for k in range(shards)])
     if shards > 1:
