@@ -80,3 +80,31 @@ def test_odd_records(spark):
     assert [r.x for r in text.select(S.masked_text("t").alias("x")).collect()] == ["a '***' b", "z" * 119 + "…", "", None]
     words = spark.createDataFrame([(["react-dom", "typescript"],), ([],), (None,)], "n array<string>")
     assert [r.x for r in words.select(records.tags(F.col("n")).alias("x")).collect()] == [["React", "TypeScript"], ["Node.js"], ["Express", "Node.js", "MongoDB"]]
+
+
+def test_front_matter_and_rule_documents(spark):
+    from veldra.operators import records
+
+    texts = {
+        "null": None,
+        "plain": "no block\n---\nx: 1",
+        "empty": "---\n---\nbody",
+        "crlf": "---\r\na: 1\r\nb: 'x # y'\r\n---\r\nbody\r\n",
+        "lists": "---\nflow: [a, \"b, c\" , d]\nbelow:\n- x\n  - 'y'\nlast: \n---",
+        "comment": "---\n# note\n\nkey: value # why\nurl: http://x/y#z\n---\nrest\n---\nmore",
+        "open": "---\na: 1\n",
+        "odd": "---\nno value here\n---\n",
+        "twice": "---\na: 1\na: 2\n---\n",
+    }
+    made = records.front_matter(spark.createDataFrame(list(texts.items()), "name string, text string"), "name", "text")
+    got = {r.name: (r.meta, r.body, r.meta_problem) for r in made.collect()}
+    assert got["null"] == ({}, "", None) and got["plain"] == ({}, texts["plain"], None) and got["empty"] == ({}, "body", None)
+    assert got["crlf"] == ({"a": "1", "b": "x # y"}, "body\n", None)
+    assert got["lists"][0] == {"flow": '["a","\\"b","c\\"","d"]', "below": '["x","y"]', "last": ""}
+    assert got["comment"] == ({"key": "value", "url": "http://x/y#z"}, "rest\n---\nmore", None)
+    assert [got[n][2] for n in ("open", "odd", "twice")] == ["front matter never ends", "no name and value: no value here", "given twice: a"]
+    none = made.limit(0)
+    good, bad = records.rule_documents(none, "name", "text", {"rule": ["A"]})
+    assert good.count() == bad.count() == 0
+    one = spark.createDataFrame([("a", 1, "A", "t"), ("a", 2, "B", "u")], "file string, pos long, name string, text string")
+    assert [r.name for r in records.chosen_sections(one, ["B"]).collect()] == ["B"] and records.chosen_sections(one).count() == 2

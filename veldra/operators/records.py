@@ -101,3 +101,77 @@ def tags(names: Column) -> Column:
         tag(has("express"), "Express"), tag(has("react", "react-dom"), "React"), tag(has("mongoose", "mongodb"), "MongoDB"), tag(has("next"), "Next.js"), F.when(has("typescript"), F.lit("TypeScript")).otherwise(F.lit("Node.js"))
     )
     return F.when(names.isNull(), F.array(*map(F.lit, ("Express", "Node.js", "MongoDB")))).otherwise(F.array_compact(found))
+
+
+def front_matter(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """documents with ``meta`` (map of names to texts, lists as JSON arrays), ``body`` and ``meta_problem``.
+
+    A document begins with ``---``, lines of names and values, and ``---``. Values are scalars, quoted or not; ``[a, b]``; or ``- a`` lines below an
+    empty value. Lines that are none of these, names given twice, and a block that never ends are problems; a document
+    without a block has an empty map.
+    """
+    t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\r\n", "\n")
+    opened = t.rlike(r"^---[ \t]*\n")
+    end = r"(?s)^---[ \t]*\n(.*?)(?:\n|^|(?<=\n))---[ \t]*(?:\n(.*))?$"
+    closed = opened & t.rlike(end)
+    block = F.when(closed, F.regexp_extract(t, end, 1)).otherwise("")
+    # a list below its name is written on the name's line, so that each line says all
+    joined = F.regexp_replace(block, r"\n[ \t]*-[ \t]+", "\u0001")
+    lines = F.filter(F.split(joined, "\n"), lambda x: ~x.rlike(r"^[ \t]*(#.*)?$"))
+    named = r"^([A-Za-z_][A-Za-z0-9_-]*)[ \t]*:[ \t]*(.*)$"
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"^\"(.*)\"$", "$1"), r"^'(.*)'$", "$1")
+
+    def value(raw: Column) -> Column:
+        below = F.filter(F.split(raw, "\u0001"), lambda x: F.trim(x) != "")
+        flow = F.filter(F.split(F.regexp_replace(raw, r"^\[|\][ \t]*$", ""), ","), lambda x: F.trim(x) != "")
+        as_list = lambda xs: F.to_json(F.transform(xs, bare))
+        plain = bare(F.regexp_replace(raw, r"[ \t]+#.*$", ""))
+        return F.when(raw.contains("\u0001"), as_list(below)).when(raw.rlike(r"^\[.*\][ \t]*$"), as_list(flow)).when(raw.rlike(r"^[\"'].*[\"'][ \t]*$"), bare(raw)).otherwise(plain)
+
+    entry = lambda x: F.struct(F.regexp_extract(x, named, 1).alias("key"), value(F.regexp_extract(x, named, 2)).alias("value"))
+    entries = F.transform(F.filter(lines, lambda x: x.rlike(named)), entry)
+    odd = F.get(F.filter(lines, lambda x: ~x.rlike(named)), F.lit(0))
+    names = F.transform(entries, lambda e: e["key"])
+    twice = F.get(F.filter(F.array_distinct(names), lambda n: F.size(F.filter(names, lambda m: m == n)) > 1), F.lit(0))
+    problem = F.when(opened & ~closed, "front matter never ends").when(odd.isNotNull(), F.concat(F.lit("no name and value: "), odd)).when(twice.isNotNull(), F.concat(F.lit("given twice: "), twice))
+    first = F.map_from_entries(F.filter(entries, lambda e: F.lit(True)))
+    return documents.withColumns(
+        {"meta": F.when(twice.isNull(), first).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), "body": F.when(closed, F.coalesce(F.regexp_extract(t, end, 2), F.lit(""))).otherwise(t), "meta_problem": problem}
+    )
+
+
+def rule_documents(documents: DataFrame, path: str, text: str, wanted: dict[str, list[str]], needed: tuple[str, ...] = ("type", "title", "kind"), shortest: int = 40) -> tuple[DataFrame, DataFrame]:
+    """(rules, problems) of rule documents: (type, kind, meta, hash, version, file), and (file, problem), the first of each file.
+
+    A document needs the names in ``needed``, a type that is its file's name, the sections that its kind wants, in order and not too short,
+    and a type that no other document has. A rule's version is the beginning of its content's hash.
+    """
+    read = front_matter(documents.select(F.col(path).alias("file"), F.col(text).alias("raw")), "file", "raw")
+    got = sections(read.where(F.col("meta_problem").isNull()), "file", "body")
+    listed = got.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", "name", F.length("text").alias("size")))).alias("parts"))
+    rows = read.join(listed, "file", "left").withColumns({"type": F.try_element_at("meta", F.lit("type")), "kind": F.try_element_at("meta", F.lit("kind"))})
+    names = F.coalesce(F.array_join(F.transform("parts", lambda p: p["name"]), " | "), F.lit("none"))
+    short = F.get(F.filter("parts", lambda p: p["size"] < shortest), F.lit(0))["name"]
+    absent = F.get(F.filter(F.array(*map(F.lit, needed)), lambda n: F.coalesce(F.try_element_at("meta", n), F.lit("")) == ""), F.lit(0))
+    order = F.create_map(*[F.lit(x) for k, v in wanted.items() for x in (k, " | ".join(v))])
+    right = F.try_element_at(order, F.col("kind"))
+    twice = F.count("*").over(Window.partitionBy("type")) > 1
+    base = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.md$", "")
+    problem = (
+        F.when(F.col("meta_problem").isNotNull(), F.col("meta_problem"))
+        .when(absent.isNotNull(), F.concat(F.lit("absent: "), absent))
+        .when(right.isNull(), F.concat(F.lit("no such kind: "), "kind"))
+        .when(F.col("type") != base, F.concat(F.lit("type isn't the file's name: "), "type"))
+        .when(names != right, F.concat(F.lit("sections: "), names))
+        .when(short.isNotNull(), F.concat(F.lit("too short: "), short))
+    )
+    rows = rows.withColumn("problem", problem)
+    rows = rows.withColumn("problem", F.when(F.col("problem").isNull() & twice, F.concat(F.lit("given twice: "), "type")).otherwise(F.col("problem")))
+    hash_ = F.sha1("raw")
+    good = rows.where("problem IS NULL").select("type", "kind", "meta", hash_.alias("hash"), F.substring(hash_, 1, 8).alias("version"), "file")
+    return good, rows.where("problem IS NOT NULL").select("file", "problem")
+
+
+def chosen_sections(parts: DataFrame, chosen: list[str] | None = None) -> DataFrame:
+    """The sections with these names, or all."""
+    return parts if chosen is None else parts.where(F.col("name").isin(chosen))

@@ -38,9 +38,11 @@ def set_versions_differ(spark, sf_dir):
     return logs.sets_differ(lines.where("l_linenumber <= 3"), lines.where("l_linenumber >= 2"), "l_orderkey", "l_suppkey")
 
 
-@query("""SELECT * FROM (VALUES ('a', 'duplicate', '2'), ('ref', 'unknown reference', 'gone'), ('b', 'unknown reference', 'lost')) t(type, problem, detail)""")
+@query("""WITH r AS (SELECT 't' || CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS type, ['t' || o_orderkey + 2, CASE WHEN o_orderkey % 30 = 0 THEN 'gone' || o_custkey ELSE 't' || o_orderkey // 2 END] AS applies_to FROM orders)
+SELECT type, 'duplicate' AS problem, count(*)::VARCHAR AS detail FROM r GROUP BY type HAVING count(*) > 1 UNION ALL SELECT DISTINCT type, 'unknown reference', detail FROM (SELECT type, unnest(applies_to) AS detail FROM r) WHERE detail NOT IN (SELECT type FROM r)""")
 def rule_integrity(spark, sf_dir):
-    rules = spark.createDataFrame([("a", []), ("a", ["b"]), ("b", ["lost", "lost", "a"]), ("ref", ["a", "gone"])], "type string, applies_to array<string>")
+    """Types that occur twice, and references to types that don't exist."""
+    rules = table(spark, sf_dir, "orders").selectExpr("concat('t', IF(o_orderkey % 50 = 0, o_orderkey + 1, o_orderkey)) AS type", "array(concat('t', o_orderkey + 2), IF(o_orderkey % 30 = 0, concat('gone', o_custkey), concat('t', o_orderkey div 2))) AS applies_to")
     return logs.rule_problems(rules)
 
 

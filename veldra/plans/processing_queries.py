@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from veldra.plans.queries import query
 from veldra.plans.star import table
 from veldra.sources.landing import fresh
-from veldra.sources.tableset import TableSet
+from veldra.sources.tableset import Table, TableSet
 from veldra.streaming import processing
 
 PROJECTS = 4
@@ -94,3 +94,18 @@ def stream_committed_logs(spark, sf_dir):
     sets = tables.read("change_sets").select("project", F.lit("set").alias("type"), counts.alias("summary"))
     moved = tables.read("transitions").select("project", F.concat_ws(" to ", "old", "new").alias("type"), F.col("finding_id").cast("string").alias("summary"))
     return sets.unionByName(tables.read("timeline").select("project", "type", "summary")).unionByName(moved)
+
+
+@query(
+    """WITH r AS (SELECT event_id AS id, event_id % 1000 AS finding, event_type AS outcome, epoch_ms(ts) AS at, row_number() OVER (PARTITION BY event_id % 1000 ORDER BY ts DESC, event_id DESC) AS nth FROM events)
+SELECT finding, id, outcome, (SELECT count(*) FROM events) AS records FROM r WHERE nth = 1"""
+)
+def log_latest(spark, sf_dir):
+    """Records appended in batches that repeat each other in part: the last of each key, and how many there are."""
+    rows = table(spark, sf_dir, "events").selectExpr("event_id AS id", "event_id % 1000 AS finding", "event_type AS outcome", "unix_millis(CAST(ts AS timestamp)) AS at")
+    tables = TableSet(spark, fresh(spark, "records"), {"runs": Table("id bigint, finding bigint, outcome string, at bigint", ["id"], log=True)}, new=True)
+    for i in range(3):  # each batch delivers a third again
+        tables.commit(i, {"runs": rows.where(f"id % 3 IN ({i}, {(i + 1) % 3})")})
+    tables.commit(2, {"runs": rows})
+    count = tables.read("runs").agg(F.count("*").alias("records"))
+    return tables.latest("runs", ["finding"], ["at", "id"]).select("finding", "id", "outcome").join(F.broadcast(count))  # one row

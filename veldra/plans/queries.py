@@ -215,18 +215,18 @@ def prefix_service_lookup(spark, sf_dir):
     return joins.prefix_lookup(rows, "name", spark.createDataFrame(SERVICES, "ord int, key string, value string"))
 
 
-USES_ROWS = [("r1", "u1", "/", 1, False), ("r1", "u2", "/api", 2, False), ("r1", "u3", "/api/:id", 3, True), ("r1", "u4", "/api/users", 9, False), ("r2", "u5", "/api", 1, False)]
-ROUTE_ROWS = [("r1", "a", "/api/users", 5), ("r1", "b", "/api", 2), ("r1", "c", "/other/7", 6), ("r1", "d", "/:any/x", 10), ("r2", "e", "/", 3), ("r2", "f", "/api/y/z", 4)]
+USES = "SELECT concat('r', s_suppkey % 20) AS router, concat('u', s_suppkey) AS use_id, CASE s_suppkey % 5 WHEN 0 THEN '/' WHEN 1 THEN concat('/c', s_suppkey % 7) WHEN 2 THEN concat('/c', s_suppkey % 7, '/:id') WHEN 3 THEN '/:any/x1' ELSE concat('/c', s_suppkey % 7, '/x', s_suppkey % 3, '/deep') END AS use_path, CAST(s_suppkey * 50 AS int) AS use_order, s_suppkey % 4 = 0 AS dynamic FROM supplier"
+ROUTES = "SELECT concat('r', o_custkey % 20) AS router, concat('o', o_orderkey) AS route_id, CASE o_orderkey % 6 WHEN 0 THEN '/' WHEN 1 THEN concat('/:p/x', o_orderkey % 3) ELSE concat('/c', o_orderkey % 7, '/x', o_orderkey % 3, CASE WHEN o_orderkey % 2 = 0 THEN '/deep' ELSE '' END) END AS route_path, CAST(o_orderkey AS int) AS route_order FROM orders"
 
 
-@query("""WITH u(router, use_id, use_path, use_order, dynamic) AS (VALUES ('r1', 'u1', '/', 1, false), ('r1', 'u2', '/api', 2, false), ('r1', 'u3', '/api/:id', 3, true), ('r1', 'u4', '/api/users', 9, false), ('r2', 'u5', '/api', 1, false)),
-r(router, route_id, route_path, route_order) AS (VALUES ('r1', 'a', '/api/users', 5), ('r1', 'b', '/api', 2), ('r1', 'c', '/other/7', 6), ('r1', 'd', '/:any/x', 10), ('r2', 'e', '/', 3), ('r2', 'f', '/api/y/z', 4)),
+@query(f"""WITH u AS ({USES}), r AS ({ROUTES}),
 s AS (SELECT *, list_filter(string_split(use_path, '/'), lambda x: x <> '') AS a, list_filter(string_split(route_path, '/'), lambda x: x <> '') AS b FROM u JOIN r USING (router) WHERE use_order < route_order)
 SELECT use_id, route_id, dynamic AS conditional FROM s WHERE len(a) <= len(b)
  AND len(list_filter(range(1, len(a) + 1), lambda i: NOT (a[i] = b[i] OR starts_with(a[i], ':') OR starts_with(b[i], ':')))) = 0""")
 def segment_match_join(spark, sf_dir):
-    uses = spark.createDataFrame(USES_ROWS, "router string, use_id string, use_path string, use_order int, dynamic boolean")
-    routes = spark.createDataFrame(ROUTE_ROWS, "router string, route_id string, route_path string, route_order int")
+    """Which earlier uses of a router apply to its routes, by the segments of their paths."""
+    uses = spark.sql(USES.replace("FROM supplier", "FROM {supplier}"), supplier=table(spark, sf_dir, "supplier"))
+    routes = spark.sql(ROUTES.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
     return joins.prefix_segments(uses, routes, "router")
 
 

@@ -225,3 +225,29 @@ def redacted_requests(spark, sf_dir):
     body, header = S.redacted(F.create_map(name, F.lit("v"))), S.redacted_headers(F.create_map(F.lit("Authorization"), F.lit("Bearer abc"), F.lit("x-token"), F.lit("t")))
     rules = S.projection_rules(F.when(key % 3 == 0, F.lit(" -a,\n b")).otherwise(F.lit("c")))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(body, name).alias("body"), F.element_at(header, "Authorization").alias("header"), F.array_join(rules, "|").alias("rules"))
+
+
+# a document a part; what is wrong with it goes by the remainder
+DOCUMENT = """concat('---\\ntype: ', CASE WHEN p_partkey % 40 = 8 THEN 'other' WHEN p_partkey % 40 = 16 THEN 'same' ELSE concat('r', p_partkey) END, '\\n', CASE p_partkey % 8 WHEN 4 THEN '# none\\n' ELSE concat('title: "', p_name, ': x"\\n') END,
+ CASE p_partkey % 8 WHEN 2 THEN 'odd line\\n' WHEN 3 THEN 'title: again\\n' ELSE '' END, 'kind: ', CASE p_partkey % 8 WHEN 5 THEN 'none' ELSE 'rule' END, '  # kind\\nsignals: [a', p_size, ', "b c"]\\nrequires:\\n  - x\\n  - ', p_size, '\\n', CASE p_partkey % 8 WHEN 1 THEN '' ELSE '---\\n' END, CASE p_partkey % 8 WHEN 6 THEN '## Proof\\nlong enough\\n' ELSE '' END,
+ '## Signals\\n', CASE p_partkey % 8 WHEN 7 THEN 'short' ELSE 'long enough' END, '\\n## Proof\\nlong enough, too')"""
+FILE = "concat('rules/', CASE WHEN p_partkey % 40 = 16 THEN concat('d', p_partkey, '/same') ELSE concat('r', p_partkey) END, '.md')"
+
+
+def _rules(spark, sf_dir):
+    documents = table(spark, sf_dir, "part").selectExpr(f"{FILE} AS file", f"{DOCUMENT} AS text")
+    return records.rule_documents(documents, "file", "text", {"rule": ["Signals", "Proof"], "reference": ["Background"]}, shortest=8)
+
+
+@query(f"""SELECT 'r' || p_partkey AS type, 'rule' AS kind, p_name || ': x' AS title, '["a' || p_size || '","b c"]' AS signals, '["x","' || p_size || '"]' AS requires, substr(sha1(replace({DOCUMENT}, chr(92) || 'n', chr(10))), 1, 8) AS version FROM part WHERE p_partkey % 8 = 0 AND p_partkey % 40 NOT IN (8, 16)""")
+def rule_list(spark, sf_dir):
+    """Rule documents that are whole, with what their front matter says and their versions."""
+    good, _ = _rules(spark, sf_dir)
+    return good.select("type", "kind", F.col("meta")["title"].alias("title"), F.col("meta")["signals"].alias("signals"), F.col("meta")["requires"].alias("requires"), "version")
+
+
+@query(f"""SELECT {FILE} AS file, CASE WHEN p_partkey % 40 = 8 THEN 'type isn''t the file''s name: other' WHEN p_partkey % 40 = 16 THEN 'given twice: same' ELSE ['front matter never ends', 'no name and value: odd line', 'given twice: title', 'absent: title', 'no such kind: none', 'sections: Proof | Signals | Proof', 'too short: Signals'][p_partkey % 8] END AS problem
+ FROM part WHERE p_partkey % 8 <> 0 OR p_partkey % 40 = 8 OR (p_partkey % 40 = 16 AND (SELECT count(*) FROM part WHERE p_partkey % 40 = 16) > 1)""")
+def rule_list_problems(spark, sf_dir):
+    """The first problem of each other document."""
+    return _rules(spark, sf_dir)[1]

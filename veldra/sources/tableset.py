@@ -62,8 +62,8 @@ class TableSet:
         return self._merged(name, self.folders[name]).drop("gone", "batch")
 
     def latest(self, name: str, key: list[str], order: list[str]) -> DataFrame:
-        """The last record of each key of a log."""
-        return newest(self.read(name), key, [F.desc("batch"), *[F.desc(c) for c in order]])
+        """The last record of each key of a log by ``order``; of equals the one that came last."""
+        return newest(self.read(name), key, [*[F.desc(c) for c in order], F.desc("batch")])
 
     def commit(self, batch: int, rows: dict[str, DataFrame], gone: dict[str, DataFrame] | None = None) -> bool:
         """Applies rows (new or changed, or to be appended) and ``gone`` (keys that go) of each table; False if the batch is there already."""
