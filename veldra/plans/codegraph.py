@@ -67,10 +67,15 @@ class CodeGraph:
 
     @cached_property
     def handler_closure(self) -> DataFrame:
-        """(route, fn, depth) of what a route's handler runs."""
-        routes = self.t["routes"].where("handler IS NOT NULL").select("route", F.col("handler").alias("start"))
-        within = traverse.closure(self.calls, routes.select("start").distinct(), DATA_DEPTH)
-        return routes.join(within, "start").select("route", F.col("id").alias("fn"), "depth")
+        """(route, fn, depth) of what a route's handler runs.
+
+        What the called functions run is found once for each of them, though many handlers call it; handlers only join that.
+        """
+        routes = self.t["routes"].where("handler IS NOT NULL").select("route", F.col("handler").alias("fn"))
+        called = routes.join(self.calls.select(F.col("src").alias("fn"), F.col("dst").alias("start")), "fn").select("route", "start")
+        within = traverse.closure(self.calls, called.select("start").distinct(), DATA_DEPTH - 1)
+        below = called.join(within, "start").select("route", F.col("id").alias("fn"), (F.col("depth") + 1).alias("depth"))
+        return routes.withColumn("depth", F.lit(0)).unionByName(below).groupBy("route", "fn").agg(F.min("depth").alias("depth"))
 
     @cached_property
     def nested(self) -> DataFrame:
