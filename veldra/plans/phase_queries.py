@@ -10,9 +10,9 @@ from veldra.plans.queries import query
 from veldra.plans.star import table
 
 # functions are parts, models suppliers, each by a remainder, so that edges have more writers than their lists take
-OPS = """SELECT concat('Function:f', l_partkey % 40) AS src, concat('Model:m', l_suppkey % 5) AS dst, (CAST(l_orderkey AS bigint) * 8 + l_linenumber) * 100000000 + l_partkey * 2000 + l_suppkey AS ord, concat('op', l_returnflag) AS op,
+OPS = """SELECT concat('Function:f', l_partkey % 40) AS src, concat('Model:m', l_suppkey % 5) AS dst, ((CAST(l_orderkey AS bigint) * 8 + l_linenumber) * 100000000 + l_partkey * 2000 + l_suppkey) * 64 + CAST(l_quantity AS int) AS ord, concat('op', l_returnflag) AS op,
  CAST(l_quantity AS int) * 2 + l_partkey % 2 AS line, CASE WHEN l_linenumber = 7 THEN {none} WHEN l_linenumber % 2 = 0 THEN {list}('req.body') ELSE {list}(concat('req.params.p', l_orderkey % 3), 'req.body') END AS sources FROM lineitem"""
-SINKS = """SELECT concat('Function:f', l_partkey % 40) AS src, CASE WHEN l_linenumber % 3 = 0 THEN 'Sink:exec' ELSE concat('Model:m', l_suppkey % 5 + l_linenumber % 2) END AS dst, (CAST(l_orderkey AS bigint) * 8 + l_linenumber) * 100000000 + l_partkey * 2000 + l_suppkey AS ord, concat('op', l_returnflag) AS op,
+SINKS = """SELECT concat('Function:f', l_partkey % 40) AS src, CASE WHEN l_linenumber % 3 = 0 THEN 'Sink:exec' ELSE concat('Model:m', l_suppkey % 5 + l_linenumber % 2) END AS dst, ((CAST(l_orderkey AS bigint) * 8 + l_linenumber) * 100000000 + l_partkey * 2000 + l_suppkey) * 64 + CAST(l_quantity AS int) AS ord, concat('op', l_returnflag) AS op,
  CAST(l_quantity AS int) AS line, CASE WHEN l_linenumber = 1 THEN {none} ELSE {list}('req.query.q', concat('req.params.p', l_orderkey % 4)) END AS sources, l_linestatus = 'F' AS tainted, l_linenumber % 2 = 0 AS possible, l_quantity > 2 AS sanitized,
  CASE WHEN l_orderkey % 5 = 0 THEN concat('clean', l_linenumber) END AS sanitizer FROM lineitem WHERE l_orderkey % 4 = 0"""
 
