@@ -95,7 +95,7 @@ class Index:
         self.bound = np.array([max(s, default=0.0) for s in self.scores] or [0.0])
         self.block_max = [[max(s[i : i + BLOCK]) for i in range(0, len(s), BLOCK)] for s in self.scores]
         # short lists in one array each, and what an item's long lists can add at most
-        short = [len(d) <= SHORT for d in self.docs]
+        short = [0 < len(d) <= SHORT for d in self.docs]
         self.short = np.array([*short, False], bool)  # the last one for words that no item has, term -1
         self.start = np.concatenate([[0], np.cumsum([len(d) if s else 0 for d, s in zip(self.docs, short, strict=True)])]).astype(np.int64)
         self.short_docs = np.array([x for d, s in zip(self.docs, short, strict=True) if s for x in d], np.int64)
