@@ -212,7 +212,19 @@ class Classes:
         for i, w in words.items():
             if w:
                 classes[len(w).bit_length()].append(items[i])
-        self.parts = [Index(part, whole, self.terms) for _, part in sorted(classes.items())]
+        self.parts = {c: Index(part, whole, self.terms) for c, part in sorted(classes.items())}
+        self.all = Index(items, whole, self.terms)
+        self.class_of = np.array([len(w).bit_length() for w in self.all.words], np.int64)
+
+    def likely(self, term: np.ndarray, least: float) -> list[int]:
+        """The classes with an item that all words of a text together could bring to ``least``; no passage can do what its text can't."""
+        own, all_ = np.unique(term), self.all
+        own = own[all_.short[own]]
+        sizes = all_.start[own + 1] - all_.start[own]
+        at = np.repeat(all_.start[own] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        total = all_.rest + np.bincount(all_.short_docs[at], all_.short_scores[at], len(all_.rest))
+        near = np.flatnonzero(total >= least - 1e-9)
+        return np.unique(self.class_of[near]).tolist() if len(near) else []
 
     def hits(self, text: str, least: float, overlap: float, codes: dict[str, int]) -> list[tuple[int, float, float, float]]:
         """(item id, best score, question share, answer share) of the verified items of a text."""
@@ -220,7 +232,8 @@ class Classes:
         if not words:
             return []
         term = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-        return [(part.ids[item], *found) for part in self.parts for item, found in part.hits_of(words, term, least, overlap).items()]
+        likely = [self.parts[c] for c in self.likely(term, least)]
+        return [(part.ids[item], *found) for part in likely for item, found in part.hits_of(words, term, least, overlap).items()]
 
 
 class Codes(dict):
