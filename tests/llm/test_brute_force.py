@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -206,6 +207,56 @@ def test_long_runs_and_many_spaces_are_in_the_lattice():
     assert any(dict((t, i) for i, t in pieces)["the"] in c for c in crossing)
 
 
+def test_sampling_takes_few_times_a_plain_pass_over_the_words(spark, sf_dir):
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    model, keys, word = sentencepiece_sampling.pieces_of(sentencepiece_sampling.MODEL), np.arange(len(texts), dtype=np.uint64), re.compile(r" +[^ \n]*|\n|[^ \n]+")
+    times = []
+    for _ in range(5):
+        lattice, start = sentencepiece_sampling.Lattice(*model, 0.6), time.process_time()
+        for at in range(0, len(texts), 256):
+            lattice.sample(texts[at : at + 256], keys[at : at + 256])
+        sampled = time.process_time()
+        for t in texts:
+            Counter(word.findall(t))
+        times.append((sampled - start) / (time.process_time() - sampled))
+    assert sorted(times)[2] < 6.5
+
+
+def test_units_have_the_same_tables_in_whichever_batch_they_come():
+    model, one = sentencepiece_sampling.pieces_of(sentencepiece_sampling.MODEL), np.arange(1, dtype=np.uint64)
+    alone, among = sentencepiece_sampling.Lattice(*model, 0.6), sentencepiece_sampling.Lattice(*model, 0.6)
+    alone.sample(["there there there"], one)
+    among.sample([" ".join(f"{w} {w}" for w in ["x" * 90, *(f"w{n}é" for n in range(3000)), "there there", "東京 🎉" * 9, "a\n\n \n"])], one)
+
+    def arcs(lattice, unit):
+        states, found = [lattice.at[unit]], []
+        for s in states:
+            arc = int(lattice.first[s])
+            while True:
+                found.append((float(lattice.cum[arc]), int(lattice.piece[arc])))
+                if lattice.back[arc] >= 0:
+                    states.append(int(lattice.back[arc]))
+                if lattice.cum[arc] == 2.0:
+                    break
+                arc += 1
+        return found
+
+    assert arcs(alone, b" there") == arcs(among, b" there")
+
+
+def test_check_finds_each_text_that_its_ids_do_not_give():
+    speller = sentencepiece_sampling.Speller(*sentencepiece_sampling.pieces_of(sentencepiece_sampling.MODEL))
+    lattice = sentencepiece_sampling.Lattice(*sentencepiece_sampling.pieces_of(sentencepiece_sampling.MODEL), 0.6)
+    parts = [sentencepiece_sampling.spaced(t) for t in ODD_TEXTS]
+    ids, ends = lattice.draw(parts, np.arange(len(parts), dtype=np.uint64))
+    assert all(speller.same(ids, ends, parts))
+    for i, part in enumerate(parts):
+        wrong = [*parts[:i], part[:-1] if part else b" ", *parts[i + 1 :]]
+        assert speller.same(ids, ends, wrong) == [n != i for n in range(len(parts))]
+    nothing = lattice.draw([b"", b""], np.arange(2, dtype=np.uint64))
+    assert nothing[0].tolist() == [] and nothing[1].tolist() == [0, 0] and speller.same(*nothing, [b"", b""]) == [True, True]
+
+
 def test_segmentations_are_drawn_in_proportion_to_their_weight():
     pieces, byte_ids, size = sentencepiece_sampling.pieces_of(sentencepiece_sampling.MODEL)
     lattice = sentencepiece_sampling.Lattice(pieces, byte_ids, size, 0.6)

@@ -8,8 +8,8 @@ to each position, scaled by logarithms, so a unit may have any length; backward
 proportion to their weight. The numbers drawn are a hash of (row key, seed, unit, step): a row's segmentation depends
 neither on the partitioning nor on other rows.
 
-Tables of arcs are made once per distinct unit, for all new units of a batch at a time, and all units of a batch are
-sampled together; caches are bounded. The piece ``▁`` stands for a space only: a ``▁`` in a text is spelt as bytes, so
+A batch's texts are cut on their bytes and their distinct units numbered by Arrow. Tables of arcs are made once per
+distinct unit, for all new units of a batch at a time, and all units of a batch are sampled together; caches are bounded. The piece ``▁`` stands for a space only: a ``▁`` in a text is spelt as bytes, so
 decoding returns each text exactly.
 
 Defined cases: a null text has null ids; an empty text has none, and decodes to an empty text; rows with equal keys and
@@ -19,10 +19,8 @@ texts get equal segmentations; an empty table gives no rows; other columns, what
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +31,6 @@ from pyspark.sql import types as T
 from veldra.llm.common import unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNIT = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 SPELT = 1 << 24  # arcs that spell a character as bytes are numbered from here
 KEEP = 5_000_000  # arcs kept between batches
 
@@ -61,6 +58,14 @@ class Speller:
             self.bytes[i] = text.encode("utf-8")
         for b, i in enumerate(byte_ids):
             self.bytes[i] = bytes([b])
+        self.table, self.lengths = pa.array(self.bytes, pa.large_binary()), np.array([len(b) for b in self.bytes])
+
+    def same(self, ids: np.ndarray, ends: np.ndarray, parts: list[bytes]) -> list[bool]:
+        """Whether the ids of each part, which lie one after another, are spelt as the part."""
+        made = self.table.take(pa.array(ids))
+        spelt = b"" if made.buffers()[2] is None else memoryview(made.buffers()[2]).cast("B")
+        at = np.r_[0, np.cumsum(self.lengths[ids])][np.r_[0, ends]].tolist()
+        return [spelt[a:b] == part for a, b, part in zip(at[:-1], at[1:], parts, strict=True)]
 
     def text(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
@@ -77,7 +82,6 @@ class Lattice:
         log_p = -total - np.log(np.exp(-total).sum())
         self.log_p = np.full(size, 2 * log_p.min())
         self.deepest = max((len(text) for _, text in pieces), default=1)
-        self.shift = self.deepest.bit_length()
         for rank, (i, text) in enumerate(pieces):
             self.log_p[i] = log_p[rank]
             node = 0
@@ -88,18 +92,24 @@ class Lattice:
                     ends.append(-1)
                 node = children[key]
             ends[node] = i
-        keys = np.array([n << 21 | c for n, c in children], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.next = keys[order], np.array(list(children.values()), np.int64)[order]
+        self.bits = max(len(children) * 4, 2).bit_length()
+        self.keys, self.next = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, np.int64)  # open addressing, a quarter full
+        keys, to = np.array([n << 21 | c for n, c in children], np.int64), np.array(list(children.values()), np.int64)
+        slot = self.slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            self.keys[slot[free]], self.next[slot[free]] = keys[free], to[free]
+            left = self.keys[slot] != keys
+            keys, to, slot = keys[left], to[left], slot[left] + 1 & (1 << self.bits) - 1
         self.ends = np.array(ends, np.int64)
         self.alpha, self.spelt = alpha, float(log_p.min())
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}  # unit -> number of its last state
+        self.at: dict[bytes, int] = {}  # unit -> number of its last state
         self.states = self.n = 0  # used lengths of the tables: one row a state, one row an arc
         self.first = np.empty(1024, np.int64)  # state -> its first arc
-        self.cum, self.piece, self.back = np.empty(1024), np.empty(1024, np.int32), np.empty(1024, np.int16)
+        self.cum, self.piece, self.back = np.empty(1024), np.empty(1024, np.int32), np.empty(1024, np.int64)
 
     def put(self, table: str, at: int, values: np.ndarray) -> None:
         """Writes values from ``at`` on; tables grow by halves."""
@@ -110,133 +120,182 @@ class Lattice:
             setattr(self, table, old := grown)
         old[at : at + len(values)] = values
 
-    def arcs(self, units: list[str]) -> tuple[np.ndarray, ...]:
-        """All arcs of units' lattices: end position (over all units), length, piece; and each position's place in its unit."""
-        sizes = np.array([len(u) for u in units])
-        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        place = np.arange(len(chars)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at, node = np.arange(len(chars)), np.zeros(len(chars), np.int64)
-        found = []
-        whole = np.zeros(len(chars), bool)
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where the search for a trie's edge begins."""
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def follow(self, node: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which nodes have an edge of the character, and the nodes it leads to."""
+        key = node << 21 | char
+        slot = self.slots(key)
+        met = self.keys[slot]
+        hit = met == key
+        open_ = np.flatnonzero(~hit & (met >= 0))
+        while len(open_):
+            slot[open_] = slot[open_] + 1 & (1 << self.bits) - 1
+            met = self.keys[slot[open_]]
+            hit[open_] = met == key[open_]
+            open_ = open_[(met != key[open_]) & (met >= 0)]
+        hit = np.flatnonzero(hit)
+        return hit, self.next[slot[hit]]
+
+    def add(self, units: list[bytes]) -> np.ndarray:
+        """Forward filtering of new units; appends their states and arcs to the tables and returns their last states.
+
+        States lie by their place in the unit, and within a place by unit, longest units first.
+        """
+        whole = b"".join(units)
+        chars = np.frombuffer(whole.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        in_bytes = np.fromiter(map(len, units), np.int64, len(units))
+        sizes = np.add.reduceat((np.frombuffer(whole, np.uint8) & 0xC0 != 0x80).astype(np.int64), np.cumsum(in_bytes) - in_bytes)
+        order = np.argsort(-sizes, kind="stable")
+        rank = np.empty(len(units), np.int64)
+        rank[order] = np.arange(len(units))
+        many = len(units) - np.cumsum(np.bincount(sizes))[:-1]  # place -> units that have it
+        start = np.cumsum(many) - many
+        inside = np.arange(len(chars)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        char = np.empty(len(chars), np.int64)
+        char[start[inside] + np.repeat(rank, sizes)] = chars
+        place = np.repeat(np.arange(len(many)), many)
+        before = np.where(place > 0, np.arange(len(char)) - many[place - 1], -1)  # the state before; -1 at a unit's start
+
+        found = []  # of each length: last state, state before the first, piece
+        at, node, left = np.arange(len(char)), np.zeros(len(char), np.int64), np.arange(len(char))
+        bare = np.ones(len(char), bool)
         for d in range(1, self.deepest + 1):
-            key = node << 21 | chars[at - d + 1]
-            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[i] == key
-            at, node = at[hit], self.next[i[hit]]
+            hit, node = self.follow(node, char[left])
+            at, left = at[hit], before[left[hit]]
             piece = self.ends[node]
-            good = piece >= 0
-            found.append((at[good], np.full(int(good.sum()), d, np.int32), piece[good]))
+            good = np.flatnonzero(piece >= 0)
+            found.append((at[good], left[good], piece[good]))
             if d == 1:
-                whole[at[good]] = True
-            more = place[at] >= d
-            at, node = at[more], node[more]
+                bare[at[good]] = False
+            more = np.flatnonzero(left >= 0)
+            at, node, left = at[more], node[more], left[more]
             if not len(at):
                 break
-        bare = np.flatnonzero(~whole)
-        found.append((bare, np.ones(len(bare), np.int32), SPELT + chars[bare]))
-        end, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-        return end, length, piece, place
-
-    def add(self, units: list[str]) -> None:
-        """Forward filtering of new units; appends their states and arcs to the tables."""
-        end, length, piece, place = self.arcs(units)
-        ordinary = piece < SPELT
-        log_w = np.full(len(piece), self.spelt)
-        log_w[ordinary] = self.log_p[piece[ordinary]]
-        in_bytes = np.select([piece - SPELT < 0x80, piece - SPELT < 0x800, piece - SPELT < 0x10000], [1, 2, 3], 4)
-        log_w[~ordinary] *= in_bytes[~ordinary]
+        bare = np.flatnonzero(bare)
+        found.append((bare, before[bare], SPELT + char[bare]))
+
+        arcs = np.zeros(len(char), np.int64)
+        for at, _, _ in found:
+            arcs[at] += 1
+        free = np.cumsum(arcs) - arcs
+        first = free.copy()
+        n = int(arcs.sum())
+        back, piece = np.empty(n, np.int64), np.empty(n, np.int64)
+        for at, to, p in reversed([found[0], found[-1], *found[1:-1]]):  # long arcs first
+            back[free[at]], piece[free[at]] = to, p
+            free[at] += 1
+        log_w = self.log_p[np.minimum(piece, len(self.log_p) - 1)]
+        odd = np.flatnonzero(piece >= SPELT)
+        log_w[odd] = self.spelt * utf8_length(piece[odd] - SPELT)
         log_w *= self.alpha
-        order = np.lexsort((-length, end, place[end]))
-        end, length, piece, log_w = end[order], length[order], piece[order], log_w[order]
-        inside = place[end]
-        steps = np.flatnonzero(np.r_[True, inside[1:] != inside[:-1], True])
-        ahead = np.zeros(len(place))  # logarithm of the weight of all ways up to a position
-        cum = np.empty(len(end))
-        for a, b in zip(steps[:-1], steps[1:], strict=True):
-            e, n = end[a:b], length[a:b]
-            log_v = log_w[a:b] + np.where(inside[a] >= n, ahead[e - n], 0.0)
-            heads = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
-            many = np.diff(np.r_[heads, b - a])
+        ahead = np.zeros(len(char) + 1)  # logarithm of the weight of all ways up to a state; the last is that of starts
+        cum = np.empty(n)
+        cuts = np.r_[start, len(char)].tolist()
+        arc_cuts = np.r_[first, n][cuts].tolist()
+        for p, (a, b) in enumerate(zip(arc_cuts[:-1], arc_cuts[1:], strict=True)):
+            states = slice(cuts[p], cuts[p + 1])
+            heads = first[states] - a
+            log_v = log_w[a:b] + ahead[back[a:b]]
             top = np.maximum.reduceat(log_v, heads)
-            w = np.exp(log_v - np.repeat(top, many))
+            w = np.exp(log_v - np.repeat(top, arcs[states]))
             total = np.add.reduceat(w, heads)
-            ahead[e[heads]] = top + np.log(total)
-            run = np.cumsum(w / np.repeat(total, many))
-            cum[a:b] = run - np.repeat(np.r_[0.0, run[heads[1:] - 1]], many)
-        order = np.argsort(end << self.shift | (self.deepest - length))
-        end, length, piece, cum = end[order], length[order], piece[order], cum[order]
-        heads = np.flatnonzero(np.r_[True, end[1:] != end[:-1]])
-        cum[np.r_[heads[1:] - 1, len(cum) - 1]] = 2.0  # the last arc takes what rounding leaves
-        # an arc leads back by its length; at a unit's first state there is nothing left
-        self.put("back", self.n, np.where(place[end] >= length, length, 0))
+            ahead[states] = top + np.log(total)
+            cum[a:b] = w / np.repeat(total, arcs[states])
+        more, k = np.flatnonzero(arcs > 1), 1
+        while len(more):  # sums within each state, the same in whichever batch it comes
+            cum[first[more] + k] += cum[first[more] + k - 1]
+            k += 1
+            more = more[arcs[more] > k]
+        cum[first + arcs - 1] = 2.0  # the last arc takes what rounding leaves
+        self.put("back", self.n, np.where(back < 0, -1, back + self.states))
         self.put("cum", self.n, cum)
         self.put("piece", self.n, piece)
-        self.put("first", self.states, heads + self.n)
-        last = self.states - 1 + np.cumsum([len(u) for u in units])
-        self.at.update(zip(units, last.tolist(), strict=True))
-        self.n, self.states = self.n + len(end), self.states + len(heads)
+        self.put("first", self.states, first + self.n)
+        last = self.states + start[sizes - 1] + rank
+        self.n, self.states = self.n + n, self.states + len(char)
+        return last
 
     def sample(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """Ids of each text."""
-        units: list[list[str]] = []
-        for t in texts:
-            units.append(UNIT.findall(" " + t) if t else [])
-        seen = Counter(chain.from_iterable(units))
-        new = seen.keys() - self.at.keys()
-        again = [u for u in new if seen[u] > 1] if self.n < KEEP else []
-        if again:
-            self.add(again)
+        ids, ends = self.draw([spaced(t) for t in texts], keys)
+        return np.split(ids, ends[:-1])
+
+    def draw(self, parts: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in UTF-8, one after another, and where each text's end."""
+        whole = b"".join(parts)
+        data = np.frombuffer(whole, np.uint8)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        newline, space = data == 10, data == 32
+        cut = newline.copy()
+        cut[1:] |= newline[:-1] | (space[1:] & ~space[:-1])
+        cut[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        starts = np.flatnonzero(cut)
+        counts = np.diff(np.searchsorted(starts, np.cumsum(np.r_[0, sizes])))
+        total = len(starts)
+        if not total:
+            return np.empty(0, np.int32), np.zeros(len(parts), np.int64)
+        units = pa.Array.from_buffers(pa.large_binary(), total, [None, pa.py_buffer(np.r_[starts, len(data)]), pa.py_buffer(whole)]).dictionary_encode()
+        unit, names = units.indices.to_numpy(), units.dictionary.to_pylist()
+        last = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
+        again = (last < 0) & (np.bincount(unit, minlength=len(names)) > 1) & (self.n < KEEP)
+        once = np.flatnonzero((last < 0) & ~again)
+        again = np.flatnonzero(again)
+        if len(again):
+            kept_names = [names[i] for i in again.tolist()]
+            last[again] = self.add(kept_names)
+            self.at.update(zip(kept_names, last[again].tolist(), strict=True))
         kept = self.n, self.states
-        once = list(new - self.at.keys())
-        if once:
-            self.add(once)
-        counts = np.array([len(u) for u in units])
-        total = int(counts.sum())
-        state = np.fromiter(map(self.at.__getitem__, chain.from_iterable(units)), np.int64, total)
+        if len(once):  # what a batch has once, or what comes when the tables are full, isn't kept
+            last[once] = self.add([names[i] for i in once.tolist()])
+        state = last[unit]
         ordinal = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
         seed = mixed(np.repeat(keys.astype(np.uint64), counts) + ordinal.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         live, drawn = np.arange(total), []
         made = np.zeros(total, np.int64)
         while len(live):
-            u = (mixed(seed[live] + np.uint64((len(drawn) + 1) * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            arc = self.first[state[live]]
+            u = (mixed(seed + np.uint64((len(drawn) + 1) * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            arc = self.first[state]
             open_ = np.flatnonzero(self.cum[arc] <= u)
             while len(open_):
                 arc[open_] += 1
                 open_ = open_[self.cum[arc[open_]] <= u[open_]]
             drawn.append((live, self.piece[arc]))  # copies: the tables may be cut back
             made[live] += 1
-            step = self.back[arc]
-            more = step > 0
-            live = live[more]
-            state[live] -= step[more]
-        for u in once:  # what a batch has once, or what comes when the tables are full, isn't kept
-            del self.at[u]
+            state = self.back[arc]
+            more = np.flatnonzero(state >= 0)
+            live, state, seed = live[more], state[more], seed[more]
         self.n, self.states = kept
         ends = np.cumsum(made)
-        out = np.empty(int(ends[-1]) if total else 0, np.int64)
+        out = np.empty(int(ends[-1]), np.int32)
         for n, (who, piece) in enumerate(drawn):
             out[ends[who] - 1 - n] = piece
-        pieces = np.zeros(len(texts), np.int64)
-        np.add.at(pieces, np.repeat(np.arange(len(texts)), counts), made)
-        return self.spell(out, np.cumsum(pieces))
-
-    def spell(self, pieces: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        """Replaces arcs that spell a character by the ids of its bytes, and cuts at ends."""
-        odd = np.flatnonzero(pieces >= SPELT)
-        if len(odd):
-            spelt = [self.byte_ids[list(chr(int(c)).encode("utf-8", "surrogatepass"))] for c in pieces[odd] - SPELT]
-            extra = np.zeros(len(pieces), np.int64)
-            extra[odd] = [len(s) - 1 for s in spelt]
-            shift = np.cumsum(extra)
-            wide = np.repeat(pieces, extra + 1)
-            at = odd + shift[odd] - extra[odd]
-            places = np.concatenate([np.arange(a, a + len(s)) for a, s in zip(at, spelt, strict=True)])
-            wide[places] = np.concatenate(spelt)
-            ends = ends + np.concatenate([[0], shift])[ends]
-            pieces = wide
-        return np.split(pieces.astype(np.int32), ends[:-1])
+        return self.spell(out, np.r_[0, ends][np.cumsum(counts)])
+
+    def spell(self, pieces: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Replaces arcs that spell a character by the ids of its bytes; moves the ends, too."""
+        odd = pieces >= SPELT
+        if odd.any():
+            codes = pieces[odd] - SPELT
+            spelt = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+            times = np.ones(len(pieces), np.int64)
+            times[odd] = utf8_length(codes)
+            ends = np.r_[0, np.cumsum(times)][ends]
+            pieces = np.repeat(pieces, times)
+            pieces[np.repeat(odd, times)] = self.byte_ids[np.frombuffer(spelt, np.uint8)]
+        return pieces, ends
+
+
+def spaced(text: str | None) -> bytes:
+    """A text in UTF-8 with one space before it; nothing for an empty one."""
+    return (" " + text).encode("utf-8", "surrogatepass") if text else b""
+
 
+def utf8_length(codes: np.ndarray) -> np.ndarray:
+    """Bytes of characters."""
+    return 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -270,12 +329,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 batch = whole.slice(at, rows)
                 texts = batch.column(text_col).to_pylist()
                 keys = batch.column(key).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                ids = lattice.sample([t or "" for t in texts], keys)
-                sizes = np.array([len(x) for x in ids], np.int32)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
-                made = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))]
+                parts = [spaced(t) for t in texts]
+                ids, ends = lattice.draw(parts, keys)
+                offsets = pa.array(np.r_[0, ends].astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
+                made = [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))]
                 if check:
-                    made.append(pa.array([speller.text(i.tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]))
+                    made.append(pa.array(speller.same(ids, ends, parts)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], [*names, *(f.name for f in added)])
 
     return keyed.mapInArrow(run, schema)
