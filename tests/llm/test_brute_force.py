@@ -7,9 +7,11 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +246,37 @@ def test_units_have_the_same_tables_in_whichever_batch_they_come():
     assert arcs(alone, b" there") == arcs(among, b" there")
 
 
+def test_segmentation_needs_little_memory_for_many_new_units():
+    lattice, rng = sentencepiece_sampling.Lattice(*sentencepiece_sampling.pieces_of(sentencepiece_sampling.MODEL), 0.6), random.Random(7)
+    texts = [" ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(3, 12))) for _ in range(300)) for _ in range(256)]
+    for parts in ([sentencepiece_sampling.spaced(t) for t in texts], [sentencepiece_sampling.spaced(" ".join(texts))]):  # many texts, and a long one
+        lattice.forget()
+        tracemalloc.start()
+        lattice.draw(parts, np.arange(len(parts), dtype=np.uint64))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 90e6
+
+
+def test_blocks_and_chunks_do_not_change_segmentations(monkeypatch):
+    model = sentencepiece_sampling.pieces_of(sentencepiece_sampling.MODEL)
+    parts = [sentencepiece_sampling.spaced(t) for t in [*ODD_TEXTS, None, " ".join(f"w{n % 700} w{n % 900}é 東京" for n in range(2000)), ""]]
+    keys = np.arange(len(parts), dtype=np.uint64)
+    ids, ends = sentencepiece_sampling.Lattice(*model, 0.6).draw(parts, keys)
+    for sizes in ({"BLOCK": 1000, "CHUNK": 50}, {"BLOCK": 1, "CHUNK": 1}, {"BLOCK": 5000, "CHUNK": 300, "KEEP": 0}):
+        for name, size in sizes.items():
+            monkeypatch.setattr(sentencepiece_sampling, name, size)
+        again = sentencepiece_sampling.Lattice(*model, 0.6).draw(parts, keys)
+        assert again[0].tolist() == ids.tolist() and again[1].tolist() == ends.tolist()
+
+
+def test_slices_of_a_batch_hold_a_block_of_text_or_one_row():
+    texts = ["a" * 400_000] * 5 + ["b" * 3_000_000, None, ""] + ["c"] * 600
+    cut = list(sentencepiece_sampling.slices(pa.RecordBatch.from_pydict({"text": texts}), "text", 256))
+    assert [t for b in cut for t in b.column("text").to_pylist()] == texts
+    assert all(b.num_rows == 1 or b.num_rows <= 256 and sum(len(t or "") for t in b.column("text").to_pylist()) <= sentencepiece_sampling.BLOCK for b in cut)
+
+
 def test_check_finds_each_text_that_its_ids_do_not_give():
     speller = sentencepiece_sampling.Speller(*sentencepiece_sampling.pieces_of(sentencepiece_sampling.MODEL))
     lattice = sentencepiece_sampling.Lattice(*sentencepiece_sampling.pieces_of(sentencepiece_sampling.MODEL), 0.6)

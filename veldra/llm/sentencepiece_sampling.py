@@ -8,8 +8,10 @@ to each position, scaled by logarithms, so a unit may have any length; backward
 proportion to their weight. The numbers drawn are a hash of (row key, seed, unit, step): a row's segmentation depends
 neither on the partitioning nor on other rows.
 
-A batch's texts are cut on their bytes and their distinct units numbered by Arrow. Tables of arcs are made once per
-distinct unit, for all new units of a batch at a time, and all units of a batch are sampled together; caches are bounded. The piece ``▁`` stands for a space only: a ``▁`` in a text is spelt as bytes, so
+A batch's texts are cut on their bytes and their distinct units numbered by Arrow, in blocks of ``BLOCK`` bytes. Tables of
+arcs are made once per distinct unit, for new units of ``CHUNK`` bytes at a time, and many units are sampled together; caches
+are bounded, and tables of units that aren't kept are cut back at once. So a worker needs memory for its caches, one block and
+its longest unit, however many or long its texts are. The piece ``▁`` stands for a space only: a ``▁`` in a text is spelt as bytes, so
 decoding returns each text exactly.
 
 Defined cases: a null text has null ids; an empty text has none, and decodes to an empty text; rows with equal keys and
@@ -24,6 +26,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +35,9 @@ from veldra.llm.common import unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPELT = 1 << 24  # arcs that spell a character as bytes are numbered from here
-KEEP = 5_000_000  # arcs kept between batches
+KEEP = 2_000_000  # arcs kept between batches
+BLOCK = 1 << 20  # bytes of text whose units are numbered together
+CHUNK = 1 << 16  # bytes of units whose arcs are made together, and units sampled together
 
 
 def pieces_of(model_file: str) -> tuple[list[tuple[int, str]], list[int], int]:
@@ -232,47 +237,68 @@ class Lattice:
         cut = newline.copy()
         cut[1:] |= newline[:-1] | (space[1:] & ~space[:-1])
         cut[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-        starts = np.flatnonzero(cut)
-        counts = np.diff(np.searchsorted(starts, np.cumsum(np.r_[0, sizes])))
-        total = len(starts)
-        if not total:
-            return np.empty(0, np.int32), np.zeros(len(parts), np.int64)
-        units = pa.Array.from_buffers(pa.large_binary(), total, [None, pa.py_buffer(np.r_[starts, len(data)]), pa.py_buffer(whole)]).dictionary_encode()
+        starts = np.r_[np.flatnonzero(cut), len(data)]
+        first = np.searchsorted(starts[:-1], np.cumsum(np.r_[0, sizes]))  # unit of each text
+        made = [(np.empty(0, np.int32), np.empty(0, np.int64))]
+        at = 0
+        while at < len(starts) - 1:
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + BLOCK, "right")) - 1)
+            units = pa.Array.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(starts[at : to + 1]), pa.py_buffer(whole)])
+            text = np.searchsorted(first, np.arange(at, to), "right") - 1
+            seed = mixed(keys[text].astype(np.uint64) + (np.arange(at, to) - first[text]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            made.append(self.block(units.dictionary_encode(), seed))
+            at = to
+        ids, counts = map(np.concatenate, zip(*made, strict=True))
+        return ids, np.r_[0, np.cumsum(counts)][first[1:]]
+
+    def block(self, units: pa.DictionaryArray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, one after another, and how many each has."""
         unit, names = units.indices.to_numpy(), units.dictionary.to_pylist()
         last = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
-        again = (last < 0) & (np.bincount(unit, minlength=len(names)) > 1) & (self.n < KEEP)
-        once = np.flatnonzero((last < 0) & ~again)
-        again = np.flatnonzero(again)
-        if len(again):
-            kept_names = [names[i] for i in again.tolist()]
-            last[again] = self.add(kept_names)
-            self.at.update(zip(kept_names, last[again].tolist(), strict=True))
-        kept = self.n, self.states
-        if len(once):  # what a batch has once, or what comes when the tables are full, isn't kept
-            last[once] = self.add([names[i] for i in once.tolist()])
-        state = last[unit]
-        ordinal = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-        seed = mixed(np.repeat(keys.astype(np.uint64), counts) + ordinal.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        live, drawn = np.arange(total), []
-        made = np.zeros(total, np.int64)
-        while len(live):
-            u = (mixed(seed + np.uint64((len(drawn) + 1) * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        new = np.flatnonzero(last < 0)
+        again = new[np.bincount(unit, minlength=len(names))[new] > 1] if self.n < KEEP else new[:0]
+        for some in chunks(again, names):
+            kept_names = [names[i] for i in some.tolist()]
+            last[some] = self.add(kept_names)
+            self.at.update(zip(kept_names, last[some].tolist(), strict=True))
+        drawn: list[tuple[int, np.ndarray, np.ndarray]] = []  # steps from a unit's end, units, pieces
+        known = np.flatnonzero(last[unit] >= 0)
+        for at in range(0, len(known), CHUNK):
+            self.walk(known[at : at + CHUNK], last[unit[known[at : at + CHUNK]]], seed, drawn)
+        once = np.setdiff1d(new, again, assume_unique=True)  # what a block has once, or what comes when the tables are full, isn't kept
+        if len(once):
+            kept, order = (self.n, self.states), np.argsort(unit, kind="stable")
+            places = np.r_[0, np.cumsum(np.bincount(unit, minlength=len(names)))]
+            for some in chunks(once, names):
+                states = self.add([names[i] for i in some.tolist()])
+                times = places[some + 1] - places[some]
+                who = order[np.repeat(places[some] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))]
+                self.walk(who, np.repeat(states, times), seed, drawn)
+                self.n, self.states = kept
+        counts = np.zeros(len(unit), np.int64)
+        for _, who, _ in drawn:
+            counts[who] += 1
+        ends = np.cumsum(counts)
+        out = np.empty(int(ends[-1]), np.int32)
+        for n, who, piece in drawn:
+            out[ends[who] - 1 - n] = piece
+        ids, ends = self.spell(out, np.r_[0, ends])
+        return ids, np.diff(ends)
+
+    def walk(self, who: np.ndarray, state: np.ndarray, seed: np.ndarray, drawn: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        """Backward sampling of some units from their last states; appends what is drawn."""
+        seed, n = seed[who], 0
+        while len(who):
+            u = (mixed(seed + np.uint64((n + 1) * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             arc = self.first[state]
             open_ = np.flatnonzero(self.cum[arc] <= u)
             while len(open_):
                 arc[open_] += 1
                 open_ = open_[self.cum[arc[open_]] <= u[open_]]
-            drawn.append((live, self.piece[arc]))  # copies: the tables may be cut back
-            made[live] += 1
+            drawn.append((n, who, self.piece[arc]))  # copies: the tables may be cut back
             state = self.back[arc]
             more = np.flatnonzero(state >= 0)
-            live, state, seed = live[more], state[more], seed[more]
-        self.n, self.states = kept
-        ends = np.cumsum(made)
-        out = np.empty(int(ends[-1]), np.int32)
-        for n, (who, piece) in enumerate(drawn):
-            out[ends[who] - 1 - n] = piece
-        return self.spell(out, np.r_[0, ends][np.cumsum(counts)])
+            who, state, seed, n = who[more], state[more], seed[more], n + 1
 
     def spell(self, pieces: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Replaces arcs that spell a character by the ids of its bytes; moves the ends, too."""
@@ -293,6 +319,27 @@ def spaced(text: str | None) -> bytes:
     return (" " + text).encode("utf-8", "surrogatepass") if text else b""
 
 
+def chunks(some: np.ndarray, names: list[bytes]) -> list[np.ndarray]:
+    """Numbers of units, longest first, in parts of CHUNK bytes or one unit."""
+    if not len(some):
+        return []
+    sizes = np.fromiter((len(names[i]) for i in some.tolist()), np.int64, len(some))
+    order = np.argsort(-sizes, kind="stable")
+    part = (np.cumsum(sizes[order]) - 1) // CHUNK
+    return np.split(some[order], np.flatnonzero(np.diff(part)) + 1)
+
+
+def slices(batch: pa.RecordBatch, text_col: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, of at most so many rows and of BLOCK bytes of text or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
+    total = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, min(at + rows, int(np.searchsorted(total, total[at] + BLOCK, "right")) - 1))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def utf8_length(codes: np.ndarray) -> np.ndarray:
     """Bytes of characters."""
     return 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
@@ -325,8 +372,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, speller = Lattice(*model, alpha), Speller(*model)
         for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, rows)
+            for batch in slices(whole, text_col, rows):
                 texts = batch.column(text_col).to_pylist()
                 keys = batch.column(key).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 parts = [spaced(t) for t in texts]
