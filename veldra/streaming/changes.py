@@ -6,12 +6,13 @@ by watermark, statuses because their state doesn't depend on the order of arriva
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from veldra.operators.store import newest
 from veldra.sources.landing import fresh
@@ -58,26 +59,59 @@ def statuses(events: DataFrame, key: str) -> DataFrame:
     )
 
 
+def kept_statuses(events: DataFrame, key: str, every: int = 8) -> DataFrame:
+    """(key, status, steps) of each key after all events that are there, as ``statuses`` would say it last; events as there.
+
+    A batch writes what ``statuses`` has as its state for the keys it touches, made by plain aggregation; states of several
+    batches add up. A base and a log are kept as in ``maintained``.
+    """
+    schema = events.select(key, F.lit(0).cast("long").alias("steps"), F.array(F.struct("ts", "event_id", "verdict")).alias("last")).schema
+
+    def summed(states: DataFrame) -> DataFrame:
+        """The states of a key as one: the last two decisive verdicts of all, and the number of steps."""
+        each = states.select(key, F.explode("last").alias("one"))
+        nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("one.ts"), F.desc("one.event_id"), F.desc("one.verdict")))
+        two = each.withColumn("nth", nth).where("nth <= 2").groupBy(key).agg(F.sort_array(F.collect_list("one")).alias("last"))
+        steps = states.groupBy(key).agg(F.sum("steps").alias("steps"))
+        return steps.join(two.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "steps", F.coalesce("last", F.array().cast(schema["last"].dataType)).alias("last"))
+
+    def state_of(rows: DataFrame) -> DataFrame:
+        one = F.struct("ts", "event_id", "verdict")
+        decisive = F.col("verdict").isin("CONFIRMED", "REJECTED")
+        return summed(rows.select(key, F.lit(1).cast("long").alias("steps"), F.when(decisive, F.array(one)).otherwise(F.array().cast(schema["last"].dataType)).alias("last")))
+
+    last = F.col("last")
+    after, before = F.get(last, F.size(last) - 1)["verdict"], F.get(last, F.size(last) - 2)["verdict"]
+    status = F.when(after == "REJECTED", "resolved").when((after == "CONFIRMED") & (before == "REJECTED"), "regressed").otherwise("open")
+    return _logged(events, "statuses", schema, state_of, summed, every).select(key, status.alias("status"), "steps")
+
+
 def maintained(changes: DataFrame, key: str, order: list[str], every: int = 8) -> DataFrame:
     """The newest change of each key, kept as a base and a log of the micro-batches since.
 
     A batch writes its own rows; each ``every``-th one also merges base and log into a new base. A batch overwrites its own
     folders only, so a repeated batch gives the same table. Deletions stay as marks, so a late older event can't bring a key back.
     """
-    path = fresh(changes.sparkSession, "maintained")
+    order_by = [F.desc(c) for c in order]
+    return _logged(changes, "maintained", changes.schema, lambda rows: newest(rows, [key], order_by), lambda rows: newest(rows, [key], order_by), every)
+
+
+def _logged(stream: DataFrame, name: str, schema: StructType, own: Callable[[DataFrame], DataFrame], merged: Callable[[DataFrame], DataFrame], every: int) -> DataFrame:
+    """What all micro-batches of a stream come to: own makes a batch's rows, merged puts those of several together."""
+    path = fresh(stream.sparkSession, name)
 
     def table(spark: SparkSession, batch: int) -> DataFrame:
         base = batch // every * every - 1  # the last batch that wrote a base before this one
         parts = [f"{path}/log/{i}" for i in range(base + 1, batch + 1)] + ([f"{path}/base/{base}"] if base >= 0 else [])
-        return newest(spark.read.schema(changes.schema).parquet(*parts), [key], [F.desc(c) for c in order])
+        return merged(spark.read.schema(schema).parquet(*parts))
 
     def apply(rows: DataFrame, batch: int) -> None:
-        newest(rows, [key], [F.desc(c) for c in order]).write.mode("overwrite").parquet(f"{path}/log/{batch}")
+        own(rows).write.mode("overwrite").parquet(f"{path}/log/{batch}")
         if batch % every == every - 1:
             table(rows.sparkSession, batch).write.mode("overwrite").parquet(f"{path}/base/{batch}")
 
-    run = changes.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(apply).start()
+    run = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(apply).start()
     run.awaitTermination()
     if not run.lastProgress:
-        return changes.sparkSession.createDataFrame([], changes.schema)
-    return table(changes.sparkSession, run.lastProgress["batchId"])
+        return stream.sparkSession.createDataFrame([], schema)
+    return table(stream.sparkSession, run.lastProgress["batchId"])
